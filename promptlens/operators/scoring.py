@@ -77,7 +77,8 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     replacement only on rows whose count is positive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    verdict = R.injection_verdict(text) if enable_injection else F.lit(None)
+    verdict = (R.injection_verdict(text) if enable_injection
+               else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
     out = df.withColumn("__v", verdict)
     if custom_rules:
         out = _apply_custom_rules(out, text_col, custom_rules, key_col)

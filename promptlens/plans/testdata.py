@@ -89,10 +89,9 @@ def ip_of(user_id, event_id):
                                  F.lit("."), F.pmod(user_id, F.lit(256)).cast("string"))))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals: event_id, id, ts, unix_ts, ip_address, latency_ms, doc_id (the prompt sent)."""
-    n_docs = table(spark, sf_dir, "documents").count()  # scalar from parquet footers
-    ev = table(spark, sf_dir, "events")
+def requests_from(ev: DataFrame, n_docs: int) -> DataFrame:
+    """Arrivals from ``events`` rows (batch or stream): event_id, id, ts, unix_ts,
+    ip_address, latency_ms, doc_id (the prompt sent)."""
     return ev.select(
         "event_id",
         F.concat(F.lit(ID_PREFIX), F.lpad(F.col("event_id").cast("string"), ID_DIGITS, "0")).alias("id"),
@@ -104,6 +103,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def n_documents(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "documents").count()  # a scalar, answered from parquet footers
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(table(spark, sf_dir, "events"), n_documents(spark, sf_dir))
+
+
 def ledger(spark: SparkSession, sf_dir: str, **score_kw) -> DataFrame:
     """The 13-column verdict ledger for every event.
 
