@@ -21,6 +21,26 @@ STATUSES = [R.STATUS_BLOCKED, R.STATUS_SANITIZED, R.STATUS_PASSED]
 AVG_DIGITS = 4
 
 
+def cents(c):
+    """A 2-decimal amount as exact integer hundredths."""
+    return F.round(c * 100).cast("long")
+
+
+def avg4(units_sum, n, units_per_1e4: int):
+    """Average rounded half-up to 4 decimals, computed exactly from an integer sum.
+
+    A double average depends on summation order, which differs between tasks
+    and engines; an integer sum does not. ``units_per_1e4`` converts the sum's
+    unit into 1e-4 (100 for cents, 10000 for whole units).
+    """
+    q = F.floor((F.lit(2 * units_per_1e4) * units_sum + n) / (F.lit(2) * n))
+    return F.when(n > 0, q / F.lit(10000.0))
+
+
+def avg_latency(c="latency_ms"):
+    return avg4(F.sum(cents(F.col(c))), F.count(c), 100)
+
+
 def hour_of_day(ts_text):
     return F.concat(F.substring(ts_text, 12, 2), F.lit(":00"))
 
@@ -153,7 +173,7 @@ def threat_report(ledger: DataFrame, now_unix: float) -> DataFrame:
 def hourly_stats_7d(ledger: DataFrame, now_unix: float) -> DataFrame:
     return (ledger.filter(_since(now_unix, WEEK_S))
             .groupBy(hour_label(F.col("timestamp")).alias("hour"), "status")
-            .agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("latency_ms"), AVG_DIGITS).alias("avg_latency"))
+            .agg(F.count(F.lit(1)).alias("count"), avg_latency().alias("avg_latency"))
             .orderBy("hour", "status"))
 
 
@@ -164,16 +184,16 @@ def daily_stats_30d(ledger: DataFrame, now_unix: float, days: int = 30) -> DataF
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(st == R.STATUS_BLOCKED).alias("blocked"),
                  F.count_if(st == R.STATUS_SANITIZED).alias("sanitized"),
-                 F.round(F.avg("latency_ms"), AVG_DIGITS).alias("avg_latency"))
+                 avg_latency().alias("avg_latency"))
             .orderBy(F.col("day").desc()).limit(days))
 
 
 def performance_summary(ledger: DataFrame) -> DataFrame:
     """Global latency and size figures; all null on an empty ledger."""
-    return ledger.agg(F.round(F.avg("latency_ms"), AVG_DIGITS).alias("avg_latency"),
+    return ledger.agg(avg_latency().alias("avg_latency"),
                       F.min("latency_ms").alias("min_latency"),
                       F.max("latency_ms").alias("max_latency"),
-                      F.round(F.avg("payload_bytes"), AVG_DIGITS).alias("avg_payload_size"))
+                      avg4(F.sum("payload_bytes"), F.count("payload_bytes"), 10000).alias("avg_payload_size"))
 
 
 def pii_summary(ledger: DataFrame) -> DataFrame:
@@ -195,12 +215,12 @@ def analytics_report(ledger: DataFrame, now_unix: float) -> DataFrame:
     """
     pre = (ledger.groupBy(hour_label(F.col("timestamp")).alias("hour"), "status",
                           _since(now_unix, WEEK_S).alias("in7"), _since(now_unix, MONTH_S).alias("in30"))
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("lat_sum"),
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("latency_ms"))).alias("lat_sum"),
                 F.count("latency_ms").alias("lat_n"),
                 F.min("latency_ms").alias("lat_min"), F.max("latency_ms").alias("lat_max"),
                 F.sum("payload_bytes").alias("bytes_sum"), F.count("payload_bytes").alias("bytes_n"),
                 F.sum("tokens_masked").alias("tok_sum"), F.count_if(F.col("tokens_masked") > 0).alias("pii_n")))
-    avg_lat = F.round(F.sum("lat_sum") / F.sum("lat_n"), AVG_DIGITS)
+    avg_lat = avg4(F.sum("lat_sum"), F.sum("lat_n"), 100)
     null_s, null_l, null_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
     hourly = (pre.filter("in7").groupBy("hour", "status")
               .agg(F.sum("n").alias("count"), avg_lat.alias("avg_latency"))
@@ -217,7 +237,7 @@ def analytics_report(ledger: DataFrame, now_unix: float) -> DataFrame:
                      "count", "blocked", "sanitized", "avg_latency"))
     glob = pre.agg(avg_lat.alias("avg_latency"), F.min("lat_min").alias("min_latency"),
                    F.max("lat_max").alias("max_latency"),
-                   F.round(F.sum("bytes_sum") / F.sum("bytes_n"), AVG_DIGITS).alias("avg_payload_size"),
+                   avg4(F.sum("bytes_sum"), F.sum("bytes_n"), 10000).alias("avg_payload_size"),
                    F.sum("tok_sum").cast("long").alias("total_tokens_masked"),
                    F.coalesce(F.sum("pii_n"), F.lit(0)).cast("long").alias("events_with_pii"))
     perf = glob.select(F.lit("performance").alias("section"), "avg_latency", "min_latency", "max_latency",

@@ -499,14 +499,22 @@ def q_threat(spark, sf):
     return E.threat_report(ledger(spark, sf), NOW)
 
 
+def _avg4_sql(units: str, n: str, per: int) -> str:
+    return f"CASE WHEN {n} > 0 THEN CAST((2 * {per} * {units} + {n}) // (2 * {n}) AS DOUBLE) / 10000.0 END"
+
+
+_AVG_LAT = _avg4_sql("sum(CAST(round(latency_ms * 100) AS BIGINT))", "count(latency_ms)", 100)
+_AVG_BYTES = _avg4_sql("sum(payload_bytes)", "count(payload_bytes)", 10000)
+
+
 _HOURLY_SQL = f"""SELECT substr("timestamp", 1, 13) || ':00' AS hour, status, count(*) AS count,
-  round(avg(latency_ms), 4) AS avg_latency FROM ledger WHERE {_since_sql(E.WEEK_S)} GROUP BY 1, 2"""
+  {_AVG_LAT} AS avg_latency FROM ledger WHERE {_since_sql(E.WEEK_S)} GROUP BY 1, 2"""
 _DAILY_SQL = f"""SELECT substr("timestamp", 1, 10) AS day, count(*) AS total,
   count(*) FILTER (WHERE status = 'BLOCKED') AS blocked, count(*) FILTER (WHERE status = 'SANITIZED') AS sanitized,
-  round(avg(latency_ms), 4) AS avg_latency FROM ledger WHERE {_since_sql(E.MONTH_S)}
+  {_AVG_LAT} AS avg_latency FROM ledger WHERE {_since_sql(E.MONTH_S)}
   GROUP BY 1 ORDER BY day DESC LIMIT 30"""
-_PERF_SQL = """SELECT round(avg(latency_ms), 4) AS avg_latency, min(latency_ms) AS min_latency,
-  max(latency_ms) AS max_latency, round(avg(payload_bytes), 4) AS avg_payload_size FROM ledger"""
+_PERF_SQL = f"""SELECT {_AVG_LAT} AS avg_latency, min(latency_ms) AS min_latency,
+  max(latency_ms) AS max_latency, {_AVG_BYTES} AS avg_payload_size FROM ledger"""
 _PII_SQL = """SELECT CAST(sum(tokens_masked) AS BIGINT) AS total_tokens_masked,
   count(*) FILTER (WHERE tokens_masked > 0) AS events_with_pii FROM ledger"""
 
@@ -679,8 +687,8 @@ def q_counters_stream(spark, sf):
                                                   "counters_stream", mode="complete"))
 
 
-@query("hourly_stream", O.with_ledger("""SELECT substr("timestamp", 1, 13) || ':00' AS hour, status,
-  count(*) AS count, round(sum(latency_ms) / count(*), 4) AS avg_latency FROM ledger GROUP BY 1, 2"""))
+@query("hourly_stream", O.with_ledger(f"""SELECT substr("timestamp", 1, 13) || ':00' AS hour, status,
+  count(*) AS count, {_AVG_LAT} AS avg_latency FROM ledger GROUP BY 1, 2"""))
 def q_hourly_stream(spark, sf):
     return spark.read.parquet(H.run_available_now(H.hourly_stream(_ledger_stream(spark, sf)), "hourly_stream",
                                                   mode="complete"))

@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from promptlens.functions import rules as R
 from promptlens.operators import ledger as L
 from promptlens.operators.ratelimit import NULL_KEY
+from promptlens.operators.reports import avg4, cents
 from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
 from promptlens.session import scratch_path
 
@@ -48,9 +49,10 @@ def hourly_stream(ledger_stream: DataFrame, watermark: str = "1 day") -> DataFra
     """
     return (event_time(ledger_stream).withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", "1 hour").alias("w"), "status")
-            .agg(F.count(F.lit(1)).alias("count"), F.sum("latency_ms").alias("latency_sum"))
+            .agg(F.count(F.lit(1)).alias("count"), F.sum(cents(F.col("latency_ms"))).alias("lat_cents"),
+                 F.count("latency_ms").alias("lat_n"))
             .select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:00").alias("hour"), "status", "count",
-                    F.round(F.col("latency_sum") / F.col("count"), 4).alias("avg_latency")))
+                    avg4(F.col("lat_cents"), F.col("lat_n"), 100).alias("avg_latency")))
 
 
 def dedup_stream(ledger_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
