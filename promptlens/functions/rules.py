@@ -61,7 +61,19 @@ SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 # u = Unicode case folding, U = Unicode \b \d \s \w (the reference's regex
 # engine is Unicode-aware; JDK 19+ would otherwise use ASCII \b).
 PII_ALTERNATION = "|".join(f"({p})" for p, _ in PII_PATTERNS)
-PII_REGEX = "(?iuU)" + PII_ALTERNATION
+
+# Execution form for Java. The e-mail alternative starts with a run of
+# EMAIL_LOCAL characters, so a match of it that starts inside such a run also
+# matches from the run's first character, which the scan reaches earlier; it can
+# therefore only win at a run start or where the previous match ended (\G).
+# Guarding it this way skips the hopeless attempts at every later character of
+# every word and leaves the matches unchanged. RE2 (the SQL oracle) has no
+# lookbehind and uses PII_ALTERNATION as is.
+EMAIL_LOCAL = r"[a-zA-Z0-9._%+\-]"
+_EMAIL = PII_PATTERNS[6][0]
+assert _EMAIL.startswith(EMAIL_LOCAL + "+@")
+PII_REGEX = "(?iuU)" + "|".join(
+    f"((?:(?<!{EMAIL_LOCAL})|\\G){p})" if p == _EMAIL else f"({p})" for p, _ in PII_PATTERNS)
 
 
 def injection_verdict(text: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
@@ -101,6 +113,12 @@ def pii_redact(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(PII_REGEX), F.lit(REDACTION_MARK))
 
 
+def marks_in(text: Column) -> Column:
+    """Occurrences of the redaction mark (a literal search, no regex)."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(REDACTION_MARK), F.lit(""))))
+            / F.lit(len(REDACTION_MARK))).cast("int")
+
+
 def pii_group_counts(text: Column) -> Column:
     """array<int> with the number of matches won by each of the ten patterns.
 

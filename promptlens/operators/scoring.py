@@ -83,9 +83,10 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     if custom_rules:
         out = _apply_custom_rules(out, text_col, custom_rules, key_col)
     if enable_pii:
-        out = out.withColumn("__n", F.when(F.col("__v").isNull(), R.pii_count(text)).otherwise(F.lit(0)))
+        out = _redact_once(out.withColumn("__r", F.when(F.col("__v").isNull(), R.pii_redact(text))), text)
+        out = out.withColumn("__n", F.coalesce(F.col("__n"), F.lit(0)))
     else:
-        out = out.withColumn("__n", F.lit(0))
+        out = out.withColumn("__r", F.lit(None).cast("string")).withColumn("__n", F.lit(0))
     blocked = F.col("__v").isNotNull()
     n = F.col("__n")
     return (out.withColumns({
@@ -95,9 +96,23 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
                      .when(n > 0, F.lit("MEDIUM")).otherwise(F.lit("LOW")),
         "matched_rule": F.when(blocked, F.col("__v.rule"))
                          .when(n > 0, F.lit(R.PII_RULE_LABEL)),
-        "sanitized_text": F.when(n > 0, R.pii_redact(text)).otherwise(text),
+        "sanitized_text": F.when(n > 0, F.col("__r")).otherwise(text),
         "tokens_masked": n.cast("int"),
-    }).drop("__v", "__n"))
+    }).drop("__v", "__n", "__r"))
+
+
+def _redact_once(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``__n`` = replacements made in ``__r`` (the redacted text), without a second regex pass.
+
+    Every replacement inserts one mark, and the mark cannot straddle a
+    replacement boundary ('[' and ']' occur only at its ends), so the marks in
+    the output are the replacements — unless the input already held the mark
+    text, in which case the matches are counted by the regex itself.
+    """
+    r = F.col("__r")
+    return df.withColumn("__n", F.when(r.isNull(), F.lit(None))
+                         .when(text.contains(R.REDACTION_MARK), R.pii_count(text))
+                         .otherwise(R.marks_in(r)))
 
 
 def _apply_custom_rules(df: DataFrame, text_col: str, rules: list[tuple[int, str, str, str]],
@@ -126,10 +141,9 @@ def pii_count(df: DataFrame, text_col: str = "prompt") -> DataFrame:
 
 def pii_redact(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (df.withColumn("__n", R.pii_count(text))
-              .withColumn("redacted", F.when(F.col("__n") > 0, R.pii_redact(text)).otherwise(text))
-              .withColumnRenamed("__n", "pii_matches")
-              .withColumn("pii_matches", F.col("pii_matches").cast("int")))
+    return (_redact_once(df.withColumn("__r", R.pii_redact(text)), text)
+            .withColumn("pii_matches", F.col("__n").cast("int"))
+            .withColumn("redacted", F.col("__r")).drop("__n", "__r"))
 
 
 def pii_by_type(df: DataFrame, text_col: str = "prompt") -> DataFrame:

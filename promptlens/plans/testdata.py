@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.operators import scoring
+from promptlens.plans.layout import spread
 
 # FIXED VALUES — planted prefixes by doc_id % 16. Parts: literal text, or a token
 # ID (doc_id), MD5 (md5 hex of doc_id text), MD5_10 (its first 10 chars),
@@ -76,7 +77,7 @@ def planted_text(text_col: str = "text"):
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, prompt — one prompt per document."""
-    return table(spark, sf_dir, "documents").select("doc_id", planted_text().alias("prompt"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", planted_text().alias("prompt")), "doc_id")
 
 
 def scored_prompts(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
