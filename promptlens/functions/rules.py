@@ -119,6 +119,40 @@ def marks_in(text: Column) -> Column:
             / F.lit(len(REDACTION_MARK))).cast("int")
 
 
+_SEG_OPEN, _SEG_SEP, _SEG_CLOSE = "\u0001", "\u0002", "\u0003"
+
+
+def pii_match_patterns(text: Column) -> Column:
+    """array<int>: for every match, in order, the 1-based index of the pattern that won it.
+
+    One regex pass: each match is replaced by OPEN $1 SEP $2 ... SEP $10 CLOSE,
+    where only the winning alternative's group is non-empty; the markers are
+    then split back out with literal searches. Rows whose text already holds a
+    marker character take the exact per-group form (``pii_group_counts``).
+    """
+    n = len(PII_PATTERNS)
+    enc = F.regexp_replace(text, F.lit(PII_REGEX),
+                           F.lit(_SEG_OPEN + _SEG_SEP.join(f"${g}" for g in range(1, n + 1)) + _SEG_CLOSE))
+    segs = F.regexp_extract_all(enc, F.lit(f"{_SEG_OPEN}([^{_SEG_CLOSE}]*){_SEG_CLOSE}"), F.lit(1))
+    return F.transform(segs, lambda sg: F.array_position(
+        F.transform(F.split(sg, _SEG_SEP), lambda x: x != F.lit("")), F.lit(True)).cast("int"))
+
+
+def pii_pattern_counts(text: Column, idx: Column) -> Column:
+    """array<int> with the number of matches won by each of the ten patterns.
+
+    ``idx`` is ``pii_match_patterns(text)``, computed once by the caller.
+    """
+
+    def won_by(g: int):
+        # One-argument lambda: F.filter passes (element, index) to two-argument ones.
+        return lambda x: x == F.lit(g)
+
+    fast = F.array(*[F.size(F.filter(idx, won_by(g))) for g in range(1, len(PII_PATTERNS) + 1)])
+    has_marker = text.rlike(f"[{_SEG_OPEN}{_SEG_SEP}{_SEG_CLOSE}]")
+    return F.when(has_marker, pii_group_counts(text)).otherwise(fast)
+
+
 def pii_group_counts(text: Column) -> Column:
     """array<int> with the number of matches won by each of the ten patterns.
 

@@ -149,15 +149,16 @@ def pii_redact(df: DataFrame, text_col: str = "prompt") -> DataFrame:
 def pii_by_type(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """Matches per PII pattern label over all prompts: label, matches, prompts.
 
-    Per-group extraction is costly, so it runs only on rows with a match; the
+    One regex pass per prompt tags every match with its pattern; the
     aggregation is partial (map-side) over ten labels.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     labels = F.array(*[F.lit(lbl) for _, lbl in R.PII_PATTERNS])
     per_row = (df.select(text.alias("__t"))
-                 .filter(R.pii_count(F.col("__t")) > 0)
+                 .withColumn("__idx", R.pii_match_patterns(F.col("__t")))
+                 .filter(F.size("__idx") > 0)
                  .select(F.arrays_zip(labels.alias("label"),
-                                      R.pii_group_counts(F.col("__t")).alias("n")).alias("z"))
+                                      R.pii_pattern_counts(F.col("__t"), F.col("__idx")).alias("n")).alias("z"))
                  .select(F.inline("z"))
                  .filter(F.col("n") > 0))
     return per_row.groupBy("label").agg(F.sum("n").cast("long").alias("matches"),

@@ -98,6 +98,22 @@ def test_each_pii_pattern_alone(spark):
     assert by_type == {lbl: 1 for lbl in labels}
 
 
+def test_pii_by_type_against_model(spark):
+    # Several types per row, and rows holding the control characters that the
+    # one-pass tagging uses as markers (they take the per-pattern fallback).
+    texts = ["a@b.co 555-867-5309 x@y.org 123-45-6789",
+             "\u0001 a@b.co \u0002 password=x \u0003 4111111111111111",
+             "sk-" + "q" * 25 + " Bearer t0k AKIA" + "C" * 16,
+             "\u0002\u0003", "nothing here", ""]
+    want: dict = {}
+    for t in texts:
+        for g in model.pii_types(t):
+            want[PII_PATTERNS[g - 1][1]] = want.get(PII_PATTERNS[g - 1][1], 0) + 1
+    got = {r["label"]: r["matches"] for r in S.pii_by_type(
+        spark.createDataFrame([(t,) for t in texts], "prompt string")).collect()}
+    assert got == want
+
+
 def test_projection_vectors(spark):
     df = spark.createDataFrame([("a" * 80, 1.0), ("b" * 81, 2.0), ("äé", 3.0)], "prompt string, unix_ts double")
     scored = S.score_prompts(df).withColumn("id", F.lit("x")).withColumn("latency_ms", F.lit(1.234)) \
