@@ -1,20 +1,43 @@
 """Exact per-key sliding-window admission (the gateway's rate limiter).
 
-Semantics per key, in arrival order: forget remembered hits with
+Semantics per key, in arrival order (ts, then id): forget remembered hits with
 ``now - t >= window``; if ``limit`` or more remain, deny and do NOT remember
 the hit; otherwise admit and remember it. Denied hits never count, so this is
-not a rolling count and has no closed form in SQL window functions.
+not a rolling count and has no closed form in SQL window functions: it is an
+ordered recurrence per key.
+
+Plan (no stage holds a whole key, so one key with a third of all rows is
+spread over its time buckets):
 
-Plan:
 1. Only (key, ts, id) enter the limiter; the decisions are joined back by id,
-   so payload columns are shuffled once and never cross into Python.
-2. Segmentation (JVM, one shuffle by key): a gap of at least ``window`` since
-   the key's previous request empties its state, so each (key, segment) is
-   independent. ``lag`` + running ``sum`` number the segments.
-3. ``repartition(key, segment)`` spreads the segments of a busy key over
-   tasks; ``sortWithinPartitions`` orders them; ``mapInPandas`` walks each
-   partition with a deque of at most ``limit`` timestamps, carried across
-   Arrow batches and reset at each new (key, segment). Memory is O(limit).
+   so payload columns never cross into Python.
+2. Split points, computed per (key, time bucket) with halo rows. Each bucket
+   of ``bucket_windows`` windows also receives the previous bucket's last
+   window and the next bucket's first window (a few percent duplication), so
+   every windowed value of its own rows is complete. A hit ``s`` starts an
+   independent segment when
+     - the key's previous hit is at least ``window`` older (state is empty), or
+     - every hit q with s <= q < s + window sees fewer than ``limit`` hits of
+       any kind in its own trailing window. Those hits are admitted whatever
+       the history, and once the history has expired both runs hold the same
+       state, so decisions from ``s`` on do not depend on anything before it.
+   The sizes are over-approximated (a frame slightly wider than the window,
+   ties included), which can only drop split points, never add a wrong one.
+3. Segment id = the ts of the last split point at or before a row: local
+   within its bucket, else carried from earlier buckets through a per-(key,
+   bucket) summary (one row per bucket, small) joined back by (key, bucket).
+4. ``repartition(key, segment)`` + ``sortWithinPartitions`` + ``mapInPandas``
+   walk each segment with a deque of at most ``limit`` timestamps, carried
+   across Arrow batches. A run of denied hits is skipped with one binary
+   search (the state cannot change until the oldest hit expires), so the
+   Python work is O(admitted hits), at most ``limit`` per window per key,
+   whatever the request volume. A key that stays over its limit for a long
+   stretch is one ordered stream for that stretch: the recurrence itself is
+   sequential there; the stream is sorted by the shuffle (spillable) and held
+   in O(limit) memory.
+
+Merging two segments of a key into one stream keeps every decision (a split
+point is valid for any earlier state), so segment ids need not be unique.
 """
 
 from __future__ import annotations
@@ -33,44 +56,124 @@ from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
 # as the gateway files them under one "unknown" client.
 NULL_KEY = "\u0000"
 
+# Time buckets are this many windows long (halo share is about 2 / this).
+BUCKET_WINDOWS = 32
+
+
+def _widen(window: float) -> float:
+    """A width that surely covers ``now - t < window`` despite float rounding."""
+    return window * (1.0 + 1e-9) + 1e-3
+
+
+def _frame_ms(window: float) -> int:
+    """Frame width on the whole-millisecond order key; covers ``now - t < window``
+    (flooring moves either end by under 1 ms)."""
+    return int(np.ceil(_widen(window) * 1000.0)) + 2
+
+
+def _first_expired(ts: np.ndarray, lo: int, hi: int, oldest: float, window: float) -> int:
+    """First index j in [lo, hi) with ts[j] - oldest >= window (ts sorted), else hi."""
+    j = lo + int(np.searchsorted(ts[lo:hi], oldest + window, side="left"))
+    # searchsorted used oldest + window; settle on the exact predicate.
+    while j > lo and ts[j - 1] - oldest >= window:
+        j -= 1
+    while j < hi and ts[j] - oldest < window:
+        j += 1
+    return j
+
 
 def _limiter(limit: int, window: float):
     def run(batches):
-        cur_key, cur_seg = None, None
+        cur = None
         hits: deque = deque()
         for pdf in batches:
+            n = len(pdf)
             keys = pdf["__k"].to_numpy(dtype=object)
-            segs = pdf["__seg"].to_numpy()
+            segs = pdf["__seg"].to_numpy(dtype=np.float64)
             ts = pdf["__ts"].to_numpy(dtype=np.float64)
-            out = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != cur_key or segs[i] != cur_seg:
-                    cur_key, cur_seg = keys[i], segs[i]
+            out = np.zeros(n, dtype=bool)
+            # Segment runs inside this batch: [starts[r], starts[r+1]).
+            change = np.ones(n, dtype=bool)
+            if n > 1:
+                change[1:] = (keys[1:] != keys[:-1]) | (segs[1:] != segs[:-1])
+            starts = np.flatnonzero(change).tolist() + [n]
+            for r in range(len(starts) - 1):
+                lo, hi = starts[r], starts[r + 1]
+                if (keys[lo], segs[lo]) != cur:
+                    cur = (keys[lo], segs[lo])
                     hits.clear()
-                now = ts[i]
-                while hits and now - hits[0] >= window:
-                    hits.popleft()
-                if len(hits) >= limit:
-                    out[i] = False
-                else:
-                    hits.append(now)
-                    out[i] = True
+                i = lo
+                while i < hi:
+                    now = ts[i]
+                    while hits and now - hits[0] >= window:
+                        hits.popleft()
+                    if len(hits) < limit:
+                        hits.append(now)
+                        out[i] = True
+                        i += 1
+                    else:
+                        # Full: every hit before the oldest one expires is denied.
+                        i = _first_expired(ts, i + 1, hi, hits[0], window)
             yield pd.DataFrame({"__id": pdf["__id"], "admitted": out})
     return run
 
 
+def _segments(keyed: DataFrame, limit: int, window: float, bucket_windows: int) -> DataFrame:
+    """(__k, __ts, __id, __seg) for every row; see the module docstring, step 2-3."""
+    wide = _frame_ms(window) / 1000.0 + 1e-3
+    span = float(window) * max(int(bucket_windows), 2)
+    own = F.floor(F.col("__ts") / F.lit(span)).cast("long")
+    b_start, b_end = own * F.lit(span), (own + 1) * F.lit(span)
+    # Each row goes to its own bucket (role 0), and as halo to the next bucket
+    # (role -1: it precedes that bucket) or the previous one (role 1).
+    placed = keyed.withColumn("__own", own).select(
+        "__k", "__ts", "__id",
+        F.explode(F.array(
+            F.struct(F.col("__own").alias("b"), F.lit(0).alias("role")),
+            F.when(F.col("__ts") >= b_end - F.lit(wide),
+                   F.struct((F.col("__own") + 1).alias("b"), F.lit(-1).alias("role"))),
+            F.when(F.col("__ts") < b_start + F.lit(wide),
+                   F.struct((F.col("__own") - 1).alias("b"), F.lit(1).alias("role"))),
+        )).alias("p")).filter(F.col("p").isNotNull()).select("__k", "__ts", "__id", "p.b", "p.role")
+    # Stated here, not inferred later from the join, so that both consumers of
+    # this plan below are identical and share one shuffle (exchange reuse).
+    placed = placed.filter(F.col("b").isNotNull())
+
+    # Range frames need an integral order key: whole milliseconds, widened.
+    ms = _frame_ms(window)
+    by_ms = Window.partitionBy("__k", "b").orderBy("__ms")
+    back = by_ms.rangeBetween(-ms, 0)
+    ahead = by_ms.rangeBetween(0, ms)
+    in_order = Window.partitionBy("__k", "b").orderBy("__ts", "__id")
+    prev = F.lag("__ts").over(in_order)
+    seen = (F.count(F.lit(1)).over(back) - 1).alias("__seen")  # >= hits in the trailing window
+    marked = (placed.withColumn("__ms", F.floor(F.col("__ts") * F.lit(1000.0)).cast("long"))
+              .withColumn("__seen", seen)
+              .withColumn("__gap", prev.isNull() | (F.col("__ts") - prev >= F.lit(float(window))))
+              .withColumn("__calm", F.max("__seen").over(ahead) < F.lit(int(limit))))
+    owned = marked.filter(F.col("role") == 0)
+    split = F.when(F.col("__gap") | F.col("__calm"), F.col("__ts"))
+    local = owned.withColumn(
+        "__local", F.last(split, ignorenulls=True).over(
+            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    # Last split point of every earlier bucket of the key: one row per bucket.
+    per_bucket = local.groupBy("__k", "b").agg(F.max("__local").alias("__last"))
+    carry = per_bucket.select(
+        "__k", "b", F.last("__last", ignorenulls=True).over(
+            Window.partitionBy("__k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    return (local.join(carry, ["__k", "b"])
+            .select("__k", "__ts", "__id", F.coalesce("__local", "__carry").alias("__seg")))
+
+
 def rate_limit_decisions(df: DataFrame, key_col: str = "ip_address", ts_col: str = "unix_ts",
                          id_col: str = "id", limit: int = DEFAULT_RATE_LIMIT,
-                         window: float = DEFAULT_RATE_WINDOW_S) -> DataFrame:
+                         window: float = DEFAULT_RATE_WINDOW_S,
+                         bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """(id, admitted) for every request."""
     keyed = df.select(F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY)).alias("__k"),
                       F.col(ts_col).cast("double").alias("__ts"), F.col(id_col).alias("__id"))
-    w = Window.partitionBy("__k").orderBy("__ts", "__id")
-    prev = F.lag("__ts").over(w)
-    starts = F.when(prev.isNull() | (F.col("__ts") - prev >= F.lit(float(window))), 1).otherwise(0)
-    seg = keyed.withColumn("__new", starts).withColumn(
-        "__seg", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
-    ordered = (seg.select("__k", "__seg", "__ts", "__id")
+    ordered = (_segments(keyed, int(limit), float(window), bucket_windows)
                .repartition("__k", "__seg")
                .sortWithinPartitions("__k", "__seg", "__ts", "__id"))
     id_type = df.schema[id_col].dataType
@@ -81,9 +184,10 @@ def rate_limit_decisions(df: DataFrame, key_col: str = "ip_address", ts_col: str
 
 def rate_limit_admit(df: DataFrame, key_col: str = "ip_address", ts_col: str = "unix_ts",
                      id_col: str = "id", limit: int = DEFAULT_RATE_LIMIT,
-                     window: float = DEFAULT_RATE_WINDOW_S) -> DataFrame:
+                     window: float = DEFAULT_RATE_WINDOW_S,
+                     bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Every request with an ``admitted`` flag (denied ones are never scored or stored)."""
-    return df.join(rate_limit_decisions(df, key_col, ts_col, id_col, limit, window), id_col)
+    return df.join(rate_limit_decisions(df, key_col, ts_col, id_col, limit, window, bucket_windows), id_col)
 
 
 def rate_limit_denials(decided: DataFrame, key_col: str = "ip_address") -> DataFrame:

@@ -64,3 +64,41 @@ def test_denials_report(spark):
     rep = RL.rate_limit_denials(RL.rate_limit_admit(req, limit=3, window=21600.0))
     tot = rep.agg(F.sum("requests"), F.sum("denied")).collect()[0]
     assert tot[0] == 10000 and 0 < tot[1] < 10000
+
+
+def _bursty(seed, n_keys=3, n=1500):
+    """A hot key with alternating calm and overloaded stretches, no idle gaps, ties."""
+    import random
+    rnd = random.Random(seed)
+    rows, t = [], 1_700_000_000.0
+    for i in range(n):
+        calm = (i // 150) % 2 == 0
+        t += rnd.uniform(2.5, 4.0) if calm else rnd.uniform(0.0, 0.4)
+        if rnd.random() < 0.05:
+            t = float(round(t))  # ties on whole seconds
+        key = "hot" if rnd.random() < 0.8 else (f"k{rnd.randrange(n_keys)}" if rnd.random() < 0.9 else None)
+        rows.append((f"r{i:05d}", key, t))
+    return rows
+
+
+@pytest.mark.parametrize("limit,window,bucket_windows", [(5, 10.0, 2), (5, 10.0, 32), (2, 7.5, 3), (40, 30.0, 2)])
+def test_bursty_hot_key_against_loop(spark, limit, window, bucket_windows):
+    rows = _bursty(limit * 7 + bucket_windows)
+    df = spark.createDataFrame(rows, "id string, ip_address string, unix_ts double")
+    want = model.rate_limit([(k, ts, i) for i, k, ts in rows], limit, window)
+    got = {r["id"]: r["admitted"] for r in RL.rate_limit_decisions(
+        df, limit=limit, window=window, bucket_windows=bucket_windows).collect()}
+    assert got == want
+    assert 0 < list(want.values()).count(False) < len(rows)
+
+
+def test_busy_key_without_idle_gap_is_split(spark):
+    # One key, a hit every 2 s for 2,000 hits: never idle for a whole window
+    # (10 s), but always under the limit, so nearly every hit is a split point.
+    rows = [(f"r{i:05d}", "hot", 1000.0 + 2.0 * i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, ip_address string, unix_ts double")
+    keyed = df.select(F.col("ip_address").alias("__k"), F.col("unix_ts").alias("__ts"), F.col("id").alias("__id"))
+    segs = RL._segments(keyed, 6, 10.0, 4).select("__seg").distinct().count()
+    assert segs > 1000
+    got = RL.rate_limit_decisions(df, limit=6, window=10.0, bucket_windows=4)
+    assert got.filter("admitted").count() == 2000
