@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from promptlens.functions import rules as R
 from promptlens.functions.text import payload_bytes, snippet
 
-# Custom rules are compiled into the plan as literals. Above this many enabled
-# rules the rule set is split into chunks of this size, each chunk is one
-# narrow pass, and the first hit over all chunks is taken with a min_by.
+# Up to this many enabled custom rules are compiled into the plan as literals
+# (one CASE chain). Larger rule tables stay distributed: each rule is anchored
+# on its first RULE_ANCHOR characters, prompts emit their grams of the anchor
+# lengths, an equi-join finds candidates, ``contains`` confirms them.
 MAX_INLINE_RULES = 256
+RULE_ANCHOR = 8
 
 
 def injection_scan(df: DataFrame, text_col: str = "prompt") -> DataFrame:
@@ -50,23 +52,28 @@ def _custom_verdict(text: Column, rules: list[tuple[int, str, str, str]]) -> Col
     return expr
 
 
-def load_policy_rules(rules_df: DataFrame, max_rules: int = 100_000) -> list[tuple[int, str, str, str]]:
-    """Enabled custom rules in evaluation order (created_at, id) as a small driver-side list.
+def _enabled_rules(rules_df: DataFrame) -> DataFrame:
+    return rules_df.filter(F.col("enabled") & (F.length("pattern") > 0))
 
-    The rule table is an administered dimension. Its size is checked before it
-    is brought to the driver; a table above ``max_rules`` is refused rather
-    than silently truncated.
+
+def load_policy_rules(rules_df: DataFrame) -> list[tuple[int, str, str, str]] | DataFrame:
+    """Enabled custom rules, ready for ``score_prompts(custom_rules=...)``.
+
+    At most MAX_INLINE_RULES rules come back as a driver-side list in
+    evaluation order (created_at, id) to be compiled into the plan; the count
+    is bounded before anything is collected. A larger table is returned as the
+    filtered DataFrame and is matched by a distributed join.
     """
-    enabled = rules_df.filter(F.col("enabled") & (F.length("pattern") > 0))
-    n = enabled.count()
-    if n > max_rules:
-        raise ValueError(f"{n} enabled policy rules exceed the compile limit {max_rules}")
+    enabled = _enabled_rules(rules_df)
+    if enabled.limit(MAX_INLINE_RULES + 1).count() > MAX_INLINE_RULES:
+        return enabled
     rows = enabled.orderBy("created_at", "id").select("pattern", "severity", "name").collect()
     return [(i, r["pattern"], r["severity"], r["name"]) for i, r in enumerate(rows, start=1)]
 
 
 def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection: bool = True,
-                  enable_pii: bool = True, custom_rules: list[tuple[int, str, str, str]] | None = None,
+                  enable_pii: bool = True,
+                  custom_rules: list[tuple[int, str, str, str]] | DataFrame | None = None,
                   key_col: str | None = None) -> DataFrame:
     """Full verdict per prompt.
 
@@ -80,7 +87,7 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     verdict = (R.injection_verdict(text) if enable_injection
                else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
     out = df.withColumn("__v", verdict)
-    if custom_rules:
+    if isinstance(custom_rules, DataFrame) or custom_rules:
         out = _apply_custom_rules(out, text_col, custom_rules, key_col)
     if enable_pii:
         out = _redact_once(out.withColumn("__r", F.when(F.col("__v").isNull(), R.pii_redact(text))), text)
@@ -115,26 +122,71 @@ def _redact_once(df: DataFrame, text: Column) -> DataFrame:
                          .otherwise(R.marks_in(r)))
 
 
-def _apply_custom_rules(df: DataFrame, text_col: str, rules: list[tuple[int, str, str, str]],
-                        key_col: str | None) -> DataFrame:
+def _apply_custom_rules(df: DataFrame, text_col: str, rules, key_col: str | None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if len(rules) <= MAX_INLINE_RULES:
-        return df.withColumn("__v", F.coalesce(F.col("__v"), _custom_verdict(text, rules)))
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_INLINE_RULES:
+            return df.withColumn("__v", F.coalesce(F.col("__v"), _custom_verdict(text, rules)))
+        rules = df.sparkSession.createDataFrame(
+            [(f"{rank:012d}", name, pattern, severity, True, "") for rank, pattern, severity, name in rules],
+            "id string, name string, pattern string, severity string, enabled boolean, created_at string")
     if key_col is None:
-        raise ValueError("more than MAX_INLINE_RULES custom rules need a key column")
-    # Chunked: each chunk is one narrow pass that keeps only its hits; the
-    # first hit per prompt over all chunks wins (partial min_by per key).
-    hits = None
-    for i in range(0, len(rules), MAX_INLINE_RULES):
-        part = (df.filter(F.col("__v").isNull())
-                  .select(key_col, _custom_verdict(text, rules[i:i + MAX_INLINE_RULES]).alias("__c"))
-                  .filter(F.col("__c").isNotNull()))
-        hits = part if hits is None else hits.unionByName(part)
-    first = hits.groupBy(key_col).agg(F.min_by("__c", F.col("__c.rank")).alias("__c"))
+        raise ValueError("a custom rule table above MAX_INLINE_RULES needs a unique key column")
+    first = _rule_join(df, text_col, key_col, _enabled_rules(rules))
     return (df.join(first, key_col, "left")
               .withColumn("__v", F.coalesce(F.col("__v"), F.col("__c"))).drop("__c"))
 
 
+def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) -> DataFrame:
+    """(key, __c) with the first enabled rule (by created_at, id) contained in each unblocked text.
+
+    Exact for any number of rules, and nothing passes through the driver but
+    the set of anchor lengths (at most RULE_ANCHOR values):
+    1. a rule's anchor is its first min(len, RULE_ANCHOR) lower-cased chars;
+    2. each unblocked prompt emits its grams of those lengths (one linear regex
+       pass per length, a generator, no shuffle), and an equi-join on (length,
+       gram) yields the candidate (prompt, rule) pairs; the planner broadcasts
+       the anchor side only when its measured size allows, else both sides
+       are shuffled (AQE splits skewed grams);
+    3. a rule no longer than its anchor is matched by the join itself; longer
+       ones are confirmed with ``contains`` on the prompt, joined back by key;
+    4. ``min_by`` over (created_at, id) per prompt picks the winner (partial
+       aggregation before the shuffle).
+    """
+    lp = F.lower(F.col("pattern"))
+    # Join key: the anchor length (one digit) followed by the anchor.
+    anchored = (rules.select(lp.alias("__p"), "severity", "name", F.struct("created_at", "id").alias("__o"),
+                             F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
+                .withColumn("__g", F.concat(F.col("__a").cast("string"),
+                                            F.col("__p").substr(F.lit(1), F.col("__a")))))
+    lengths = sorted(r[0] for r in anchored.select("__a").distinct().collect())  # <= RULE_ANCHOR values
+    texts = df.filter(F.col("__v").isNull()).select(
+        F.col(key_col).alias("__key"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lt"))
+
+    def grams(a: int) -> Column:
+        # Every window of ``a`` code points, in one linear regex pass (a zero-width
+        # lookahead at each position); positional substrings would rescan the
+        # UTF-8 text from its start for every window.
+        return F.transform(F.regexp_extract_all("__lt", F.lit(f"(?s)(?=(.{{{a}}}))"), F.lit(1)),
+                           lambda w: F.concat(F.lit(str(a)), w))
+
+    every = grams(lengths[0]) if len(lengths) == 1 else F.flatten(F.array(*[grams(a) for a in lengths]))
+    emitted = texts.select("__key", F.explode(every).alias("__g"))
+    # A gram repeated in a text gives repeated pairs: de-duplicate the (small)
+    # candidate set rather than every text's gram list.
+    cand = (emitted.join(anchored, "__g").select("__key", "__p", "__a", "severity", "name", "__o")
+                   .dropDuplicates(["__key", "__o"]))
+    whole = cand.filter(F.length("__p") == F.col("__a"))
+    longer = (cand.filter(F.length("__p") > F.col("__a")).join(texts, "__key")
+                  .filter(F.col("__lt").contains(F.col("__p"))))
+    cols = ["__key", "severity", "name", "__o"]
+    hits = whole.select(*cols).unionByName(longer.select(*cols))
+    verdict = F.struct(F.col("severity").alias("severity"), F.col("name").alias("rule"),
+                       F.lit(None).cast("int").alias("rank"))
+    return (hits.groupBy("__key").agg(F.min_by(verdict, F.col("__o")).alias("__c"))
+                .withColumnRenamed("__key", key_col))
+
+
 def pii_count(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     return df.withColumn("pii_matches", R.pii_count(F.coalesce(F.col(text_col), F.lit(""))).cast("int"))
 

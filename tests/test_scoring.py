@@ -182,9 +182,45 @@ def test_custom_rules_order_and_chunking(spark, monkeypatch):
               for r in S.score_prompts(df, custom_rules=rules, key_col="k").collect()}
     assert inline == want
     monkeypatch.setattr(S, "MAX_INLINE_RULES", 1)
-    chunked = {r["k"]: (r["status"], r["severity"], r["matched_rule"])
-               for r in S.score_prompts(df, custom_rules=rules, key_col="k").collect()}
-    assert chunked == want
+    joined = {r["k"]: (r["status"], r["severity"], r["matched_rule"])
+              for r in S.score_prompts(df, custom_rules=rules, key_col="k").collect()}
+    assert joined == want
+    table = S.load_policy_rules(rules_df)
+    assert not isinstance(table, list)
+    joined = {r["k"]: (r["status"], r["severity"], r["matched_rule"])
+              for r in S.score_prompts(df, custom_rules=table, key_col="k").collect()}
+    assert joined == want
+
+
+def test_rule_join_against_loop(spark, monkeypatch):
+    """Distributed rule join vs a plain loop: short and long rules, shared anchors, ties on created_at."""
+    import random
+    rnd = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "zeta", "Omega", "ab", "a", "betamax", "alphabet", "é", "ÉCOLE"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 12))) for _ in range(300)]
+    rules = []
+    for j in range(60):
+        pat = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4)))[: rnd.randrange(1, 30)]
+        rules.append((f"r{j:03d}", f"rule {j}", pat, rnd.choice(["LOW", "HIGH"]), rnd.random() < 0.9,
+                      f"2024-01-{rnd.randrange(1, 4):02d}"))
+    rules_df = spark.createDataFrame(rules, "id string, name string, pattern string, severity string, "
+                                            "enabled boolean, created_at string")
+    order = sorted((r for r in rules if r[4] and r[2]), key=lambda r: (r[5], r[0]))
+
+    def first(t):
+        low = t.lower()
+        if any(term in low for term, _, _ in INJECTION_RULES):
+            return None
+        return next((r[1] for r in order if r[2].lower() in low), None)
+
+    want = {i: first(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, prompt string")
+    monkeypatch.setattr(S, "MAX_INLINE_RULES", 4)
+    table = S.load_policy_rules(rules_df)
+    got = {r["k"]: (r["matched_rule"] if r["status"] == "BLOCKED" else None)
+           for r in S.score_prompts(df, custom_rules=table, key_col="k").collect()}
+    assert got == want
+    assert sum(v is not None for v in want.values()) > 50
 
 
 def test_payload_size_filter(spark):
