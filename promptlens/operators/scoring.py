@@ -154,27 +154,26 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
        aggregation before the shuffle).
     """
     lp = F.lower(F.col("pattern"))
-    # Join key: the anchor length (one digit) followed by the anchor.
     anchored = (rules.select(lp.alias("__p"), "severity", "name", F.struct("created_at", "id").alias("__o"),
                              F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
-                .withColumn("__g", F.concat(F.col("__a").cast("string"),
-                                            F.col("__p").substr(F.lit(1), F.col("__a")))))
+                .withColumn("__g", F.col("__p").substr(F.lit(1), F.col("__a"))))
     lengths = sorted(r[0] for r in anchored.select("__a").distinct().collect())  # <= RULE_ANCHOR values
     texts = df.filter(F.col("__v").isNull()).select(
         F.col(key_col).alias("__key"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lt"))
 
-    def grams(a: int) -> Column:
+    def grams(a: int) -> DataFrame:
         # Every window of ``a`` code points, in one linear regex pass (a zero-width
         # lookahead at each position); positional substrings would rescan the
         # UTF-8 text from its start for every window.
-        return F.transform(F.regexp_extract_all("__lt", F.lit(f"(?s)(?=(.{{{a}}}))"), F.lit(1)),
-                           lambda w: F.concat(F.lit(str(a)), w))
+        return texts.select("__key", F.lit(a).alias("__a"),
+                            F.explode(F.regexp_extract_all("__lt", F.lit(f"(?s)(?=(.{{{a}}}))"), F.lit(1))).alias("__g"))
 
-    every = grams(lengths[0]) if len(lengths) == 1 else F.flatten(F.array(*[grams(a) for a in lengths]))
-    emitted = texts.select("__key", F.explode(every).alias("__g"))
+    emitted = grams(lengths[0])
+    for a in lengths[1:]:
+        emitted = emitted.unionByName(grams(a))
     # A gram repeated in a text gives repeated pairs: de-duplicate the (small)
     # candidate set rather than every text's gram list.
-    cand = (emitted.join(anchored, "__g").select("__key", "__p", "__a", "severity", "name", "__o")
+    cand = (emitted.join(anchored, ["__a", "__g"]).select("__key", "__p", "__a", "severity", "name", "__o")
                    .dropDuplicates(["__key", "__o"]))
     whole = cand.filter(F.length("__p") == F.col("__a"))
     longer = (cand.filter(F.length("__p") > F.col("__a")).join(texts, "__key")
