@@ -82,6 +82,26 @@ def _first_expired(ts: np.ndarray, lo: int, hi: int, oldest: float, window: floa
     return j
 
 
+def admit_run(ts: np.ndarray, lo: int, hi: int, hits: deque, limit: int, window: float,
+              out: np.ndarray) -> None:
+    """Decide hits ts[lo:hi] (one key, sorted) into ``out``; ``hits`` is the carried state.
+
+    Python work is O(admitted): a run of denials is skipped with one binary search.
+    """
+    i = lo
+    while i < hi:
+        now = ts[i]
+        while hits and now - hits[0] >= window:
+            hits.popleft()
+        if len(hits) < limit:
+            hits.append(float(now))
+            out[i] = True
+            i += 1
+        else:
+            # Full: every hit before the oldest one expires is denied.
+            i = _first_expired(ts, i + 1, hi, hits[0], window)
+
+
 def _limiter(limit: int, window: float):
     def run(batches):
         cur = None
@@ -102,18 +122,7 @@ def _limiter(limit: int, window: float):
                 if (keys[lo], segs[lo]) != cur:
                     cur = (keys[lo], segs[lo])
                     hits.clear()
-                i = lo
-                while i < hi:
-                    now = ts[i]
-                    while hits and now - hits[0] >= window:
-                        hits.popleft()
-                    if len(hits) < limit:
-                        hits.append(now)
-                        out[i] = True
-                        i += 1
-                    else:
-                        # Full: every hit before the oldest one expires is denied.
-                        i = _first_expired(ts, i + 1, hi, hits[0], window)
+                admit_run(ts, lo, hi, hits, limit, window, out)
             yield pd.DataFrame({"__id": pdf["__id"], "admitted": out})
     return run
 

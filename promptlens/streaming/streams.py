@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from promptlens.functions import rules as R
 from promptlens.operators import ledger as L
-from promptlens.operators.ratelimit import NULL_KEY
+from promptlens.operators.ratelimit import NULL_KEY, admit_run
 from promptlens.operators.reports import avg4, cents
 from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
 from promptlens.session import scratch_path
@@ -67,17 +68,11 @@ def _stream_limiter(limit: int, window: float):
             state.remove()
             return
         hits = deque(state.get[0]) if state.exists else deque()
+        # One key's rows of one micro-batch (bounded by the trigger's batch size).
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["__ts", "__id"], kind="stable")
-        ts = batch["__ts"].to_numpy()
-        admitted = []
-        for now in ts:
-            while hits and now - hits[0] >= window:
-                hits.popleft()
-            if len(hits) >= limit:
-                admitted.append(False)
-            else:
-                hits.append(float(now))
-                admitted.append(True)
+        ts = batch["__ts"].to_numpy(dtype=np.float64)
+        admitted = np.zeros(len(ts), dtype=bool)
+        admit_run(ts, 0, len(ts), hits, limit, window, admitted)
         if hits:
             state.update((list(hits),))
             # Once the watermark passes the newest hit + window, every hit has expired.
