@@ -133,7 +133,8 @@ def prune_expired(ledger: DataFrame, now_unix: float, retention_days: int = 30)
     cutoff = float(now_unix) - retention_days * 86400.0
     out = ledger.filter(F.col("unix_ts") >= F.lit(cutoff))
     if LEDGER_PARTITION in ledger.columns:
-        out = out.filter(F.col(LEDGER_PARTITION) >= F.to_date(F.timestamp_seconds(F.lit(cutoff))))
+        first_day = F.date_sub(F.to_date(F.timestamp_seconds(F.lit(cutoff))), 1)  # any zone's text
+        out = out.filter((F.col(LEDGER_PARTITION) >= first_day) | F.col(LEDGER_PARTITION).isNull())
     return out
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
+from promptlens.schemas import LEDGER_PARTITION
 
 DAY_S, WEEK_S, MONTH_S = 86400, 604800, 2592000
 STATUSES = [R.STATUS_BLOCKED, R.STATUS_SANITIZED, R.STATUS_PASSED]
@@ -57,6 +58,20 @@ def _since(now_unix: float, span_s: int):
     return F.col("unix_ts") > F.lit(float(now_unix) - span_s)
 
 
+def _recent(ledger: DataFrame, now_unix: float, span_s: int) -> DataFrame:
+    """Rows with ``unix_ts > now - span``; on a stored ledger also a partition bound.
+
+    The bound keeps one spare day below the cut-off's UTC date, so it holds
+    for timestamp text written in any zone and only ever skips whole
+    partitions that cannot hold a qualifying row.
+    """
+    out = ledger.filter(_since(now_unix, span_s))
+    if LEDGER_PARTITION in ledger.columns:
+        first_day = F.date_sub(F.to_date(F.timestamp_seconds(F.lit(float(now_unix) - span_s))), 1)
+        out = out.filter((F.col(LEDGER_PARTITION) >= first_day) | F.col(LEDGER_PARTITION).isNull())
+    return out
+
+
 def _blocked(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.col("status") == F.lit(R.STATUS_BLOCKED))
 
@@ -73,7 +88,7 @@ def counters_total(ledger: DataFrame) -> DataFrame:
 
 def chart_24h(ledger: DataFrame, now_unix: float) -> DataFrame:
     """Hour-of-day label (no date) x status counts over the last 24 h, ordered by hour."""
-    return (ledger.filter(_since(now_unix, DAY_S))
+    return (_recent(ledger, now_unix, DAY_S)
                   .groupBy(hour_of_day(F.col("timestamp")).alias("hour"), "status")
                   .agg(F.count(F.lit(1)).alias("count"))
                   .orderBy("hour", "status"))
@@ -120,7 +135,7 @@ def severity_distribution(ledger: DataFrame) -> DataFrame:
 
 
 def recent_threats_24h(ledger: DataFrame, now_unix: float, k: int = 5) -> DataFrame:
-    return (_blocked(ledger).filter(_since(now_unix, DAY_S))
+    return (_recent(_blocked(ledger), now_unix, DAY_S)
             .groupBy("matched_rule", "severity").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col("matched_rule").asc_nulls_first(),
                      F.col("severity").asc()).limit(k))
@@ -171,7 +186,7 @@ def threat_report(ledger: DataFrame, now_unix: float) -> DataFrame:
 
 
 def hourly_stats_7d(ledger: DataFrame, now_unix: float) -> DataFrame:
-    return (ledger.filter(_since(now_unix, WEEK_S))
+    return (_recent(ledger, now_unix, WEEK_S)
             .groupBy(hour_label(F.col("timestamp")).alias("hour"), "status")
             .agg(F.count(F.lit(1)).alias("count"), avg_latency().alias("avg_latency"))
             .orderBy("hour", "status"))
@@ -179,7 +194,7 @@ def hourly_stats_7d(ledger: DataFrame, now_unix: float) -> DataFrame:
 
 def daily_stats_30d(ledger: DataFrame, now_unix: float, days: int = 30) -> DataFrame:
     st = F.col("status")
-    return (ledger.filter(_since(now_unix, MONTH_S))
+    return (_recent(ledger, now_unix, MONTH_S)
             .groupBy(day_label(F.col("timestamp")).alias("day"))
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(st == R.STATUS_BLOCKED).alias("blocked"),

@@ -154,3 +154,18 @@ def test_audit_log_parse(spark):
     assert (got[1]["status"], got[1]["event_id"], got[1]["masked"]) == ("SANITIZED", "29204aa1-919", 4)
     assert got[2]["status"] is None and got[2]["level"] == "INFO"
     assert got[3]["ts"] is None and got[3]["message"] == "garbage"
+
+
+def test_reports_on_stored_ledger_equal_in_memory(spark):
+    """Partition bounds on the stored ledger only skip partitions, never rows."""
+    from conftest import SF_SMOKE
+    from promptlens.plans import testdata as TD
+    mem = TD.ledger(spark, SF_SMOKE)
+    path = scratch_path(spark, "test-stored-ledger")
+    IO.ledger_append(mem, path)
+    disk = IO.ledger_scan(spark, path)
+    now = TD.NOW_UNIX
+    for build in (lambda d: E.daily_stats_30d(d, now), lambda d: E.hourly_stats_7d(d, now),
+                  lambda d: E.chart_24h(d, now), lambda d: E.recent_threats_24h(d, now),
+                  lambda d: L.prune_expired(d, now, 7).select(*mem.columns)):
+        assert sorted(build(mem).collect()) == sorted(build(disk).collect())
