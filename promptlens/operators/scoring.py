@@ -138,7 +138,7 @@ def _apply_custom_rules(df: DataFrame, text_col: str, rules, key_col: str | None
 
 
 def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) -> DataFrame:
-    """(key, __c) with the first enabled rule (by created_at, id) contained in each unblocked text.
+    """(key, __c) with the first enabled rule (by created_at, id) contained in each text.
 
     Exact for any number of rules, and nothing passes through the driver but
     the set of anchor lengths (at most RULE_ANCHOR values):
@@ -158,8 +158,11 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
                              F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
                 .withColumn("__g", F.col("__p").substr(F.lit(1), F.col("__a"))))
     lengths = sorted(r[0] for r in anchored.select("__a").distinct().collect())  # <= RULE_ANCHOR values
-    texts = df.filter(F.col("__v").isNull()).select(
-        F.col(key_col).alias("__key"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lt"))
+    # Every prompt takes part: built-in verdicts win later in coalesce(__v, ...),
+    # and filtering on __v here would inline the whole phrase CASE into the
+    # filter once per branch (generated code past the JVM method limit).
+    texts = df.select(F.col(key_col).alias("__key"),
+                      F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lt"))
 
     def grams(a: int) -> DataFrame:
         # Every window of ``a`` code points, in one linear regex pass (a zero-width
