@@ -15,7 +15,7 @@ from promptlens.functions.text import payload_bytes, snippet
 
 # Up to this many enabled custom rules are compiled into the plan as literals
 # (one CASE chain). Larger rule tables stay distributed: each rule is anchored
-# on its first RULE_ANCHOR characters, prompts emit their grams of the anchor
+# on RULE_ANCHOR of its characters, prompts emit their grams of the anchor
 # lengths, an equi-join finds candidates, ``contains`` confirms them.
 MAX_INLINE_RULES = 256
 RULE_ANCHOR = 8
@@ -142,7 +142,8 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
 
     Exact for any number of rules, and nothing passes through the driver but
     the set of anchor lengths (at most RULE_ANCHOR values):
-    1. a rule's anchor is its first min(len, RULE_ANCHOR) lower-cased chars;
+    1. a rule's anchor is RULE_ANCHOR lower-cased chars of it (the window
+       fewest rules share), or the whole rule when it is shorter;
     2. each unblocked prompt emits its grams of those lengths (one linear regex
        pass per length, a generator, no shuffle), and an equi-join on (length,
        gram) yields the candidate (prompt, rule) pairs; the planner broadcasts
@@ -154,9 +155,19 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
        aggregation before the shuffle).
     """
     lp = F.lower(F.col("pattern"))
-    anchored = (rules.select(lp.alias("__p"), "severity", "name", F.struct("created_at", "id").alias("__o"),
-                             F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
-                .withColumn("__g", F.col("__p").substr(F.lit(1), F.col("__a"))))
+    base = rules.select(lp.alias("__p"), "severity", "name", F.struct("created_at", "id").alias("__o"),
+                        F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
+    # A rule no longer than the anchor is its own anchor. A longer one is
+    # anchored on its window that the fewest rules share, so rules with a
+    # common prefix do not all land on one join key.
+    short = base.filter(F.col("__a") == F.length("__p")).withColumn("__g", F.col("__p"))
+    long_ = base.filter(F.col("__a") < F.length("__p"))
+    windows = long_.select("__o", F.explode(F.regexp_extract_all(
+        "__p", F.lit(f"(?s)(?=(.{{{RULE_ANCHOR}}}))"), F.lit(1))).alias("__g")).distinct()
+    shared = windows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    choice = (windows.join(shared, "__g").groupBy("__o")
+              .agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g")))
+    anchored = short.unionByName(long_.join(choice, "__o"))
     lengths = sorted(r[0] for r in anchored.select("__a").distinct().collect())  # <= RULE_ANCHOR values
     # Every prompt takes part: built-in verdicts win later in coalesce(__v, ...),
     # and filtering on __v here would inline the whole phrase CASE into the
