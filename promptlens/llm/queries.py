@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptlens.llm import exact_dedup, mixing, packing, secrets
+from promptlens.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality_knn, quality_rules, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +20,53 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_secrets, op6_packing, op8_exact_dedup)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def document_path() -> Column:
+    """A file tree for the documents: source/thousands/hundreds/name, with a licence file in some directories.
+
+    ``documents`` has no paths; this one depends on doc_id and source alone.
+    """
+    k, source = F.col("doc_id"), F.coalesce("source", F.lit("none"))
+    text = lambda c: c.cast("long").cast("string")
+    upper, lower = F.floor(k / 6400), F.floor(k / 640)
+    return (F.when(F.floor(k / 20) % 320 == 0, F.concat_ws("/", source, text(upper), F.lit("LICENSE.txt")))
+            .when(F.floor(k / 20) % 32 == 0, F.concat_ws("/", source, text(upper), text(lower), F.lit("LICENSE.txt")))
+            .otherwise(F.concat_ws("/", source, text(upper), text(lower), F.concat(k.cast("string"), F.lit(".txt")))))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "documents").withColumn("path", document_path())
+    return licenses.scan_licenses(files)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_secrets, op3_quality, op4_language, op5_jaccard, op6_packing, op7_url_filter, op8_exact_dedup, op9_quality_rules, op10_licenses)}
 
 ORACLE = {
     "op1_mix": r"""
@@ -56,4 +95,33 @@ from q""",
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)""",
+    "op10_licenses": rf"""
+with t as (select row_number() over () - 1 as t, c[1] as license, c[2] as text from (select unnest({[list(x) for x in licenses.TEMPLATES]!r}) as c)),
+f as (select doc_id, coalesce(text, '') as text,
+        case when doc_id // 20 % 320 = 0 then concat_ws('/', coalesce(source, 'none'), doc_id // 6400, 'LICENSE.txt')
+             when doc_id // 20 % 32 = 0 then concat_ws('/', coalesce(source, 'none'), doc_id // 6400, doc_id // 640, 'LICENSE.txt')
+             else concat_ws('/', coalesce(source, 'none'), doc_id // 6400, doc_id // 640, doc_id || '.txt') end as path
+      from documents),
+l as (select doc_id, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from f) where regexp_matches(line, '{licenses.HEADER}')),
+d as (select line, count(*) as n from l group by line),
+k as (select line, token, count(*) as tf, max(n) as n from (select line, n, unnest(regexp_extract_all(lower(line), '{licenses.TOKEN}')) as token from d) group by all),
+df as (select token, sum(n) as df from k group by token),
+lw as (select line, token, tf * (ln(((select sum(n) from d) + 1.0) / (df + 1)) + 1) as w from k join df using (token)),
+tw as (select t, license, token, tf * (ln(((select coalesce(sum(n), 0) from d) + 1.0) / (coalesce(df, 0) + 1)) + 1) as w
+       from (select t, license, token, count(*) as tf from (select t, license, unnest(regexp_extract_all(lower(text), '{licenses.TOKEN}')) as token from t) group by all)
+       left join df using (token)),
+c as (select line, t, license, sum(lw.w * tw.w) as dot from lw join tw using (token) group by all),
+s as (select line, t, license, round(dot / (select sqrt(sum(w * w)) from lw where lw.line = c.line) / (select sqrt(sum(w * w)) from tw where tw.t = c.t), 6) as score from c),
+b as (select line, license, score from s qualify row_number() over (partition by line order by score desc, t) = 1),
+o as (select doc_id, max(score) as score, max_by(license, (score, license)) as license from l join b using (line) group by doc_id),
+own as (select f.doc_id, path, (select count(*) from l where l.doc_id = f.doc_id) as n_headers, coalesce(score, 0.0)::double as score,
+          case when score >= {licenses.THRESHOLD} then license end as own_license, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir
+        from f left join o using (doc_id)),
+a as (select dir, own_license as license from own where path like '%/LICENSE.txt' and own_license is not null
+      qualify row_number() over (partition by dir order by score desc, own_license) = 1),
+h as (select own.dir, a.dir as ancestor, a.license from (select distinct dir from own) own join a on starts_with(own.dir || '/', a.dir || '/')
+      qualify row_number() over (partition by own.dir order by length(a.dir) desc) = 1)
+select doc_id, path, n_headers, score, own_license, coalesce(own_license, h.license) as license,
+  case when own_license is null then h.ancestor end as inherited_from
+from own left join h using (dir)""",
 }
