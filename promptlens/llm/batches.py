@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# White space of the contracts, by byte.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Texts are handled together up to this many characters; a longer text is handled alone.
 SLICE_CHARS = 1_500_000
 
@@ -32,3 +35,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+# FIXED VALUES: an odd multiplier and its inverse modulo 2^64.
+P = 0x9E3779B97F4A7C15
+P_INVERSE = pow(P, -1, 1 << 64)
+
+
+def span_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span of bytes: its sum of (byte + 1) * P^place, mixed with its length."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    power, back = np.full(len(text), P, np.uint64), np.full(len(text), P_INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.cumprod(power) * (text.astype(np.uint64) + np.uint64(1)))))
+    return mixed((total[end] - total[start]) * np.cumprod(back)[start] + (end - start).astype(np.uint64))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptlens.llm.batches import span_hashes
 from promptlens.llm.common import written
 
 MAX_TOKENS = 2048
@@ -28,38 +29,139 @@ END_ID = 0
 # Tokens of a group: 8192 full bins.
 GROUP_TOKENS = 1 << 24
 ROUNDS = 3
-# Words whose ids a Python worker remembers; a full memory is cleared.
-REMEMBERED = 600_000
-BATCH_CHARS = 2_000_000
+# Units whose ids a Python worker remembers; a full memory is cleared before the next batch.
+REMEMBERED = 1_000_000
+BATCH_CHARS = PART_CHARS = 1_500_000
+# Bytes that no plain word has (tails of two-byte letters are looked at apart): controls, apostrophe, other lead bytes.
+ODD_BYTE = np.zeros(256, bool)
+ODD_BYTE[[*range(10), *range(11, 32), 39, 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = True
+# Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 sign.
+KIND = np.full(256, 3, np.uint8)
+KIND[[32, 10]], KIND[[*range(97, 123), 0xC3]], KIND[48:58] = 0, 1, 2
+END_OF_WORD = "</w>"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACE = PIECE + ", seq_group long, bin int, offset long, fill long, gap int"
 
 
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit bytes, word by word.
-
-    The tokenizer drops white space and never joins characters across it, so the ids of a
-    text are those of its words in turn; each distinct word is encoded once while remembered.
+    """Token ids of texts, as little-endian 32-bit numbers, from units that are encoded once.
+
+    The tokenizer drops white space and never joins characters across it. A word of plain
+    characters (printable ASCII but the apostrophe, Latin-1 letters) falls into runs of letters,
+    single digits and runs of signs, which are the tokenizer's pre-tokens: each run is a unit, and
+    its ids come from the tokenizer's merges alone, many runs in one call (the last token of a
+    pre-token has the end-of-word mark). Any other word is a unit for the whole tokenizer.
+    Units are found and hashed in numpy; only new ones reach the tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = set().union(*split).difference(self.known)
-        todo = list(new)
-        for word, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[word] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith(END_OF_WORD)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts beyond PART_CHARS are encoded in parts that end at a space or line end."""
+        parts = [_parts(t) for t in texts]
+        flat = iter(self._encode([x for ps in parts for x in ps]) if len(texts) > 1 else [i for x in parts[0] for i in self._encode([x])] if texts else [])
+        return [np.concatenate([next(flat) for _ in ps]) if len(ps) > 1 else next(flat) for ps in parts]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.slots) > REMEMBERED:
+            self._forget()
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b" ".join(raws) + b" "
+        text = np.frombuffer(raw, np.uint8)
+        low, start, end, odd = _units(text)
+        h = span_hashes(low, start, end) ^ odd.astype(np.uint64)
+        found, first, at = np.unique(h, return_index=True, return_inverse=True)
+        get = self.slots.get
+        slot = np.fromiter((get(x, -1) for x in found.tolist()), np.int64, len(found))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = self._learn(found[new], [low[s:e].tobytes() for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())], odd[first[new]])
+        of = slot[at]
+        size = self.size[of]
+        stop = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        ids = self.ids[np.repeat(self.start[of] - stop[:-1], size) + np.arange(stop[-1])]
+        cuts = stop[np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raws]))].tolist()
+        return [ids[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes], odd: np.ndarray) -> np.ndarray:
+        """Encode new units; their slots."""
+        names = [u.decode("utf-8", "replace") for u in units]
+        sizes = np.zeros(len(units), np.int64)
+        plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        got = [np.empty(0, "<u4")]
+        if len(plain):
+            ids = np.asarray(self.merges.encode_batch_fast([" ".join([names[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            assert len(ends) == len(plain)
+            sizes[plain] = np.diff(ends, prepend=0)
+            got.append(ids)
+        if len(other):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([names[i] for i in other.tolist()], add_special_tokens=False)]
+            sizes[other] = [len(x) for x in each]
+            got += [np.asarray(x, "<u4") for x in each]
+        order = np.concatenate((plain, other))
+        offsets = np.empty(len(units), np.int64)
+        offsets[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        slots = np.arange(len(self.size), len(self.size) + len(units))
+        self.ids = np.concatenate((self.ids, *got))
+        self.start, self.size = np.concatenate((self.start, offsets)), np.concatenate((self.size, sizes))
+        self.slots.update(zip(hashes.tolist(), slots.tolist()))
+        return slots
+
+
+def _parts(text: str) -> list[str]:
+    out = []
+    while len(text) > PART_CHARS:
+        cut = max(text.rfind(" ", 0, PART_CHARS), text.rfind("\n", 0, PART_CHARS))
+        if cut < 0:
+            cut = min((x for x in (text.find(" "), text.find("\n")) if x >= 0), default=len(text))
+        out.append(text[:cut])
+        text = text[cut + 1:]
+    return out + [text]
+
+
+def _units(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, plain ones in lower case; start, end and oddness of every unit) of UTF-8 bytes."""
+    before = np.concatenate((np.full(1, 32, np.uint8), text[:-1]))
+    space = (text == 32) | (text == 10)
+    tail = (text >= 0x80) & (text < 0xC0)
+    after_c3 = before == 0xC3
+    bad = ODD_BYTE[text] | (tail & ~after_c3) | (after_c3 & ((text == 0x97) | (text == 0xB7))) | ((text == 124) & (before == 60))
+    was_space = np.concatenate((np.ones(1, bool), space[:-1]))
+    begins = ~space & was_space
+    low = text + np.where((text >= 65) & (text <= 90) | after_c3 & (text <= 0x9E) & tail, 32, 0).astype(np.uint8)
+    kind = np.where(tail, 1, KIND[low])
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    inner = np.concatenate((np.zeros(1, bool), cut)) & ~space
+    if bad.any():
+        word = np.cumsum(begins)  # number of the word, from 1
+        odd_word = np.zeros(int(word[-1]) + 1, bool)
+        odd_word[word[bad & ~space]] = True
+        inside = odd_word[word] & ~space
+        low = np.where(inside, text, low)
+        inner &= ~inside
+    else:
+        inside = np.zeros(len(text), bool)
+    starts = begins | inner
+    ends = ~space & np.concatenate((space[1:] | starts[1:], np.ones(1, bool)))
+    start = np.flatnonzero(starts)
+    return low, start, np.flatnonzero(ends) + 1, inside[start]
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -91,14 +193,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WORKER.setdefault(path, None) or _WORKER.__setitem__(path, WordIds(path)) or _WORKER[path]
+        if path not in _WORKER:
+            _WORKER[path] = WordIds(path)
+        ids = _WORKER[path]
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in _batches(texts):
                 out: list[list] = [[], [], [], [], [], []]
-                for key, raw in zip(keys[lo:hi], ids.encode(texts[lo:hi])):
-                    raw += end
+                for key, tokens in zip(keys[lo:hi], ids.encode(texts[lo:hi])):
+                    raw = tokens.tobytes() + end
                     for k, at in enumerate(range(0, len(raw), 4 * max_tokens)):
                         part = raw[at:at + 4 * max_tokens]
                         for col, v in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
