@@ -11,8 +11,8 @@ from promptlens.session import scratch_path
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# A filter of id bits sent to every task: 2^21 words of 64 bits, 32 MB as rows at most.
-FILTER_WORDS = 1 << 21
+# A filter of id bits sent to every task: 2^20 words of 64 bits, 8 MB of them, at most.
+FILTER_WORDS = 1 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -78,11 +78,12 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     Most texts never move: a bounded bit filter settles the documents that certainly
     stay, and only the possible hits go through the exact anti join. Null ids stay.
     """
-    columns = docs.columns
-    marked = maybe_in(docs, id_col, bit_filter(dropped, id_col), "_maybe")
-    doubtful = marked.where("_maybe").join(dropped.select(id_col).distinct(), id_col, "left_anti")
-    return marked.where("not _maybe").unionByName(doubtful).select(*[docs_col(c) for c in columns])
+    marked = maybe_in(whole_rows(docs, **{"_id": id_col}), "_id", bit_filter(dropped, id_col), "_maybe")
+    gone = dropped.select(F.col(id_col).alias("_id")).distinct()
+    doubtful = marked.where("_maybe").join(gone, "_id", "left_anti")
+    return marked.where("not _maybe").select("_doc.*").unionByName(doubtful.select("_doc.*"))
 
 
-def docs_col(name: str) -> Column:
-    return F.col(f"`{name}`")
+def whole_rows(docs: DataFrame, **named: str) -> DataFrame:
+    """``docs`` as one column ``_doc``, beside copies of some columns: other names cannot clash with its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(f"`{c}`").alias(n) for n, c in named.items()])

@@ -9,7 +9,7 @@ compared byte by byte; those that differ become links of the key's chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.llm.common import SPACES, bit_filter, maybe_in, written
@@ -19,12 +19,16 @@ BUCKET_ENTRIES = 8192
 MAX_DEPTH = 16
 
 
+def text_key(norm: str) -> Column:
+    return F.xxhash64(F.col(norm))
+
+
 def _normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"))
 
 
-def _slot(depth) -> F.Column:
+def _slot(depth: int) -> Column:
     """The leading ``depth`` bits of the key, as unsigned."""
     return F.expr(f"case when {depth} = 0 then 0L else shiftrightunsigned(key, 64 - {depth}) end")
 
@@ -40,7 +44,8 @@ def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, max_dept
         .withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)"))
     fits = doubled.groupBy("depth", "prefix").agg(F.sum("n").alias("held")) \
         .where((F.col("held") <= bucket_entries) | (F.col("depth") == max_depth))
-    return doubled.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    # A directory has at most 2^(max_depth + 1) prefixes, so it may be broadcast; every slot then has a key of its own.
+    return doubled.join(F.broadcast(fits.select("depth", "prefix")), ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -52,12 +57,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``rows``: one row per document: doc_id, key, text_sha256.
     """
     normal = _normal(docs, id_col, text_col)
-    rows = written(normal.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
+    rows = written(normal.select("doc_id", text_key("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
     keys = rows.groupBy("key").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"),
                                    F.min("text_sha256").alias("text_sha256"))
     single = keys.where("group_size = 1")
     # Only texts of a key seen twice are read again, compared whole and pre-aggregated before they move.
-    again = maybe_in(normal.withColumn("key", F.xxhash64("norm")), "key", bit_filter(keys.where("group_size > 1"), "key"), "_again")
+    again = maybe_in(normal.withColumn("key", text_key("norm")), "key", bit_filter(keys.where("group_size > 1"), "key"), "_again")
     equal = (again.where("_again").groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
              .select("key", "group_size", "keep_id", F.sha2("norm", 256).alias("text_sha256")))
     equal = equal.join(single.select("key"), "key", "left_anti")

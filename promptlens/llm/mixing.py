@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import WORD, running, written
+from promptlens.llm.common import WORD, running, whole_rows, written
 
 # FIXED VALUES: weights of the sources in code-point order (repeating), share of all words, most passes.
 WEIGHTS = (3, 1, 2)
@@ -131,27 +131,23 @@ def mixed_words(docs: DataFrame, **kw) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """``docs`` repeated as the mix takes them: whole documents, each 0, 1 or 2 times; all columns.
 
     A source's blocks follow its shuffled stream, so what the last pass takes ends at one
     document. That document's order key is the source's cut: a text stays where it is and
     compares its own key with the cut of its source (one row per source).
     """
-    columns = docs.columns
-    takes, rows, recipe = mix(docs, id_col=id_col, source_col=source_col, **kw)
+    takes, rows, recipe = mix(docs, id_col, text_col, source_col, **kw)
     per_doc = takes.groupBy("row", "src").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken")) \
         .join(rows.select("row", "size", "order", "doc_id"), "row") \
         .withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
     key = F.struct("order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
     cuts = per_doc.groupBy("src").agg(*[F.max(F.when(F.col("times") >= k, key)).alias(f"_cut{k}") for k in range(1, PASSES + 1)])
     cuts = recipe.join(cuts, "src").select(F.col("source").alias("_source"), *[f"_cut{k}" for k in range(1, PASSES + 1)])
-    own_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own_id = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     own = F.struct(F.md5(own_id).alias("order"), own_id.alias("id"))
-    text = F.col(kw.get("text_col", "text"))
     times = sum((F.when(own <= F.col(f"_cut{k}"), 1).otherwise(0) for k in range(2, PASSES + 1)), F.when(own <= F.col("_cut1"), 1).otherwise(0))
-    return (docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
-            .withColumn("_times", F.when(F.coalesce(text.rlike(WORD), F.lit(False)), times).otherwise(0))
-            .where("_times > 0")
-            .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*[F.col(f"`{c}`") for c in columns]))
+    return (whole_rows(docs, _id=id_col, _of=source_col).join(cuts, F.col("_of").eqNullSafe(F.col("_source")))
+            .withColumn("_times", F.when(F.coalesce(F.col(f"_doc.`{text_col}`").rlike(WORD), F.lit(False)), times).otherwise(0))
+            .where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*"))
