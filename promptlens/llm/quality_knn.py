@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-Texts are TF-IDF vectors of hashed byte trigrams, projected by a truncated singular value
-decomposition that is fitted on a bounded sample of labelled documents. The sample's
+Texts are TF-IDF vectors of hashed byte trigrams, with the share of words that repeat the
+word before them as one more coordinate, projected by a truncated singular value decomposition that is fitted on a bounded sample of labelled documents. The sample's
 latent vectors and labels are broadcast; every document is compared with all of them in
 exact blocked cosine products, and its nearest neighbours vote with their similarity.
 """
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.batches import slices
+from promptlens.llm.batches import IS_SPACE, slices, span_hashes
 from promptlens.llm.common import written
 
 # Bounds of what is learned and broadcast: expected sample documents, hashed features, latent dimensions.
 SAMPLE_DOCS, FEATURES, LATENT = 2000, 8192, 64
-NEIGHBOURS, POWER = 15, 4
+# Counts are FEATURES trigrams, then words and words equal to the one before.
+COUNTS = FEATURES + 2
+NEIGHBOURS, POWER = 5, 4
 THRESHOLD = 0.3
 # Texts are counted up to this many bytes at a time, and compared in blocks of so many documents.
 BYTES, BLOCK = 1 << 21, 128
@@ -30,24 +32,31 @@ BYTES, BLOCK = 1 << 21, 128
 @dataclass
 class Model:
     idf: np.ndarray
-    basis: np.ndarray  # (FEATURES, LATENT)
+    basis: np.ndarray  # (FEATURES + 1, LATENT)
     vectors: np.ndarray  # (sample, LATENT), of length 1
     labels: np.ndarray
     prior: float
 
 
 def trigrams(texts: list[str]) -> np.ndarray:
-    """(texts, FEATURES) counts of hashed byte trigrams; a text is padded by a space on both sides."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    """(texts, COUNTS): hashed byte trigrams, words, repeating words; a text is padded by a space on both sides."""
+    out = np.zeros((len(texts), COUNTS), np.float32)
     for lo, hi, raw in _byte_blocks(texts):
-        part = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+        text = np.frombuffer(b"".join(raw), np.uint8)
         row = np.repeat(np.arange(hi - lo), [len(r) for r in raw])
-        if len(part) < 3:
+        if len(text) < 3:
             continue
+        part = text.astype(np.uint32)
         h = (part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]) * np.uint32(2654435769)
         at = row[:-2] * FEATURES + (h >> np.uint32(32 - FEATURES.bit_length() + 1))
         at = at[row[:-2] == row[2:]]
-        out[lo:hi] += np.bincount(at, minlength=(hi - lo) * FEATURES).reshape(hi - lo, FEATURES)
+        out[lo:hi, :FEATURES] += np.bincount(at, minlength=(hi - lo) * FEATURES).reshape(hi - lo, FEATURES)
+        space = np.concatenate(([True], IS_SPACE[text], [True]))
+        start, end = (np.flatnonzero(x) for x in (space[:-1] & ~space[1:], ~space[:-1] & space[1:]))
+        words, of = span_hashes(text, start, end), row[start]
+        again = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
+        out[lo:hi, FEATURES] += np.bincount(of, minlength=hi - lo)
+        out[lo:hi, FEATURES + 1] += np.bincount(of[1:][again], minlength=hi - lo)
     return out
 
 
@@ -69,9 +78,8 @@ def _byte_blocks(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    x = _unit(np.log1p(counts[:, :FEATURES]) * idf)
+    return np.hstack((x, counts[:, FEATURES + 1:] / np.maximum(counts[:, FEATURES:-1], 1)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -82,11 +90,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     """The model of sample ``counts`` (rows of trigram counts) and their labels 0/1."""
     n = len(labels)
-    idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + n) / (1 + (counts[:, :FEATURES] > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _weighted(counts, idf)
     r = min(LATENT, max(1, n))
     # Randomised range finder with power steps, then an exact decomposition of the small rest.
-    q = np.random.default_rng(11).standard_normal((FEATURES, r + 16), np.float32)
+    q = np.random.default_rng(11).standard_normal((FEATURES + 1, r + 16), np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
@@ -124,13 +132,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         for b in batches:
             # (id and label) travel as one key beside the text.
             for key, texts in slices(iter([b])):
-                raw = [row.astype(np.float16).tobytes() for row in np.minimum(trigrams(texts), 60_000)]
+                raw = [row.astype(np.float32).tobytes() for row in trigrams(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(raw, pa.binary())], names=["key", "counts"])
 
     # The chosen ids are as few as the sample, so the texts need not move.
     picked = docs.join(F.broadcast(chosen), "doc_id").select((F.col("doc_id") * 2 + F.col("label")).alias("key"), "text")
     rows = written(picked.mapInArrow(count, "key long, counts binary"), "quality-sample").orderBy("key").collect()
-    counts = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, FEATURES), np.float32)
+    counts = np.stack([np.frombuffer(r[1], np.float32) for r in rows]) if rows else np.zeros((0, COUNTS), np.float32)
     return fit(counts, np.array([r[0] % 2 for r in rows]))
 
 
