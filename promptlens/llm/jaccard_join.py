@@ -7,8 +7,8 @@ bound on the symmetric difference. Documents link only if that difference is at
 which the sizes of a band bound, so linked sketches of a band agree on m - d blocks or more
 (pigeonhole). Three exact consequences keep the join small:
 
-* a document with fewer than m - d blocks in common with any other has no link;
-* of its common blocks it need offer only the rarest, all but m - d - 1 of them;
+* a document that shares fewer than m - d blocks with others at all has no link;
+* of its shared blocks it need offer only the rarest, all but m - d - 1 of them;
 * documents that share a block are first verified against one pivot of that block; only
   documents still in different components meet each other, under the Hamming bound of a
   second, bit-level parity sketch.
@@ -27,15 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.batches import mixed, slices
+from promptlens.llm.batches import IS_SPACE, P, mixed, slices, span_hashes
 from promptlens.llm.common import bit_filter, maybe_in, without, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-# FIXED VALUES of the hashes: an odd multiplier, its inverse modulo 2^64, and salts.
-P = 0x9E3779B97F4A7C15
-P_INVERSE = pow(P, -1, 1 << 64)
+# FIXED VALUES: salts of the hashes.
 SALTS = [np.uint64(0x243F6A8885A308D3 * (2 * i + 1) & (1 << 64) - 1) for i in range(8)]
 BYTES = 1 << 21
 SKETCH_WORDS = 8  # of the bit-level sketch
@@ -45,14 +41,16 @@ SKETCH_WORDS = 8  # of the bit-level sketch
 class Measure:
     """Documents link at ``den * |A and B| >= num * |A or B|`` over shingles of ``words`` words.
 
-    ``slack``: blocks per guaranteed differing block; more blocks give stronger counts and
-    more rows. ``growth``: ratio of the sizes of a band.
+    ``slack``: blocks per block that may differ; ``offer``: how many of them, the heaviest, take
+    part. More blocks give stronger counts and more rows; light blocks are the ones that
+    unlike texts share. ``growth``: ratio of the sizes of a band.
     """
 
     words: int = 3
     num: int = 90
     den: int = 100
     slack: float = 1.5
+    offer: float = 1.5
     growth: float = 1.5
 
     def furthest(self, sizes: int) -> int:
@@ -60,7 +58,9 @@ class Measure:
         return (self.den - self.num) * sizes // (self.den + self.num)
 
     def smallest(self) -> int:
-        """The smallest set that links with a different one."""
+        """The smallest set that links with a different one (none does at a similarity of 1)."""
+        if self.num >= self.den:
+            return 1 << 62
         n = 1
         while n * self.den < self.num * (n + 1):
             n += 1
@@ -74,10 +74,23 @@ class Measure:
         return lo
 
     def blocks(self, below: int) -> tuple[int, int]:
-        """(m, blocks on which linked sketches agree at least) of the band of sizes under ``below``."""
+        """(m, blocks that take part) of the band of sizes under ``below``.
+
+        The lightest blocks by number of shingles, then key, stay out: an order of contents,
+        in which equal blocks rank alike. So of the m - d blocks or more on which two linked
+        sketches agree, at most as many drop out as either leaves out.
+        """
         d = self.furthest(2 * (below - 1))
         m = max(d + 1, int(np.ceil(self.slack * (d + 1))))
-        return m, m - d
+        return m, min(m, max(d + 1, int(np.ceil(self.offer * (d + 1)))))
+
+    def agreed(self, below: int) -> int:
+        """Of the blocks that take part, how many linked sketches share at least."""
+        return self.blocks(below)[1] - self.furthest(2 * (below - 1))
+
+
+# Near copies by the usual measure: five-word shingles, similarity 0.8.
+NEAR = Measure(words=5, num=80, slack=1.3, offer=1.1)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -93,15 +106,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         space = IS_SPACE[part]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
         start, end = edge[0::2], edge[1::2]
-        if not len(start):
-            continue
-        # Sums of (byte + 1) * P^i, moved back to the word's start by powers of the inverse.
-        power = np.full(len(part), P, np.uint64)
-        power[0] = 1
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.cumprod(power) * (part.astype(np.uint64) + np.uint64(1)))))
-        back = np.full(len(part), P_INVERSE, np.uint64)
-        back[0] = 1
-        out.append(mixed((total[end] - total[start]) * np.cumprod(back)[start] + (end - start).astype(np.uint64)))
+        out.append(span_hashes(part, start, end))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -117,15 +122,18 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(h)
 
 
-def sketch(h: np.ndarray, m: int, salt: int) -> np.ndarray:
-    """The m block parities of a shingle set, each made a key by hashing in its place and band."""
+def sketch(h: np.ndarray, m: int, salt: int, offer: int | None = None) -> np.ndarray:
+    """The m block parities of a shingle set, each made a key by hashing in its place and band; of them the ``offer`` heaviest."""
     block = (((mixed(h ^ SALTS[1]) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     first = np.flatnonzero(np.diff(block[order], prepend=-1))
     parity = np.zeros(m, np.uint64)
     if len(h):
         parity[block[order][first]] = np.bitwise_xor.reduceat(mixed(h ^ SALTS[2])[order], first)
-    return mixed(mixed(parity ^ SALTS[3]) + mixed(np.arange(m, dtype=np.uint64) + np.uint64(salt << 32))).view(np.int64)
+    keys = mixed(mixed(parity ^ SALTS[3]) + mixed(np.arange(m, dtype=np.uint64) + np.uint64(salt << 32))).view(np.int64)
+    if offer is None or offer >= m:
+        return keys
+    return keys[np.lexsort((keys, -np.bincount(block, minlength=m)))[:offer]]
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
@@ -149,13 +157,13 @@ def _sketches(measure: Measure):
                 need = [0, 0]
                 if n >= lows[0]:
                     j = int(np.searchsorted(lows, n, "right"))  # the home band is j - 1, of sizes under lows[j]
-                    m, need[0] = measure.blocks(lows[j])
-                    keys[0] = sketch(h, m, j)
+                    m, offer = measure.blocks(lows[j])
+                    keys[0], need[0] = sketch(h, m, j, offer), measure.agreed(lows[j])
                     if n * measure.den >= measure.num * lows[j]:  # it can link with sets of the next band
                         if len(lows) <= j + 1:
                             lows = measure.bands(lows[j])
-                        m, need[1] = measure.blocks(lows[j + 1])
-                        keys[1] = sketch(h, m, j + 1)
+                        m, offer = measure.blocks(lows[j + 1])
+                        keys[1], need[1] = sketch(h, m, j + 1, offer), measure.agreed(lows[j + 1])
                 with np.errstate(over="ignore"):
                     digest = [int(np.int64(mixed(h ^ s).sum(dtype=np.uint64).view(np.int64))) for s in SALTS[5:7]]
                 for col, v in zip(out, (doc_id, n, *digest, keys[0], need[0], keys[1], need[1])):
@@ -214,10 +222,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _offers(sketches: DataFrame, measure: Measure) -> DataFrame:
-    """(doc_id, n, key, df, heat): the blocks by which documents must meet, after counts have removed the rest."""
-    rows = sketches.select("doc_id", "n", F.inline(F.expr(
+    """(doc_id, key, df, heat): the blocks by which documents must meet, after counts have removed the rest."""
+    rows = sketches.select("doc_id", F.inline(F.expr(
         "filter(array(struct(0 as b, home_need as need, home as keys), struct(1 as b, next_need as need, next as keys)), x -> x.keys is not null)"))) \
-        .select("doc_id", "n", "b", "need", F.explode("keys").alias("key"))
+        .select("doc_id", "b", "need", F.explode("keys").alias("key"))
     met = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key"), "block-counts")
     rows = maybe_in(rows, "key", bit_filter(met, "key"), "_met").where("_met").drop("_met").join(met, "key")
     for _ in range(2):
@@ -229,8 +237,8 @@ def _offers(sketches: DataFrame, measure: Measure) -> DataFrame:
     rows = written(rows.drop("shared"), "blocks")
     own = Window.partitionBy("doc_id", "b")
     rank = F.row_number().over(own.orderBy("df", "key"))
-    return rows.select("doc_id", "n", "key", "df", F.count("*").over(own).alias("shared"), "need", rank.alias("rank"), F.sum("df").over(own).alias("heat")) \
-        .where("rank <= shared - need + 1").select("doc_id", "n", "key", "df", "heat")
+    return rows.select("doc_id", "key", "df", F.count("*").over(own).alias("shared"), "need", rank.alias("rank"), F.sum("df").over(own).alias("heat")) \
+        .where("rank <= shared - need + 1").select("doc_id", "key", "df", "heat")
 
 
 def similar_pairs(docs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
@@ -243,7 +251,7 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, measure: Measure) -> Dat
     ids = wanted.select("doc_id").distinct()
     texts = maybe_in(docs, "doc_id", bit_filter(ids, "doc_id"), "_wanted").where("_wanted").select("doc_id", "text")
     sets = written(texts.mapInArrow(_sets(measure.words), "doc_id long, n long, shingles binary, bits array<long>").join(ids, "doc_id"), "shingle-sets")
-    offers = written(wanted.join(sets.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id"), "offers-bits")
+    offers = written(wanted.join(sets.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "doc_id"), "offers-bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
@@ -302,7 +310,7 @@ def _same_id(sketches: DataFrame, first: DataFrame, key: list[str]) -> DataFrame
     return of.join(of.groupBy("doc_id").agg(F.min("first").alias("b")), "doc_id").where("first <> b").select(F.col("first").alias("a"), "b")
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = Measure(words=5, num=80, slack=1.25)) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = NEAR) -> DataFrame:
     """``docs`` with one document, the first, of each component; documents without words stay; all columns."""
     gone = jaccard_classes(docs, id_col, text_col, measure).where("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias(id_col))
     return without(docs, gone, id_col)

@@ -91,6 +91,19 @@ select doc_id, size, source_size, target,
   (case when source_size = 0 then 0 else size * (goal // source_size)
      + greatest(0, least(start + size, goal % source_size) - start) end)::bigint as taken
 from q""",
+    "op5_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+      from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) end as s from w),
+c as (select s, min(doc_id) as v, len(s) as n from s where len(s) > 0 group by s),
+x as (select v, n, unnest(s) as shingle from c),
+p as (select a.v as a, b.v as b, a.n + b.n as sizes, count(*) as common from x a join x b on a.shingle = b.shingle and a.v < b.v group by all),
+l as (select a, b from p where 100 * common >= 90 * (sizes - common)),
+e as (select a, b from l union all select b, a from l),
+r(v, u) as (select a, b from e union select r.v, e.b from r join e on r.u = e.a),
+m as (select v, min(u) as u from r group by v)
+select doc_id, len(s.s) as n_shingles, least(doc_id, c.v, m.u) as component_id from s left join c on c.s = s.s left join m on m.v = c.v""",
     "op8_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
