@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMOKE
 from oracle_util import compare, duck
+from promptlens.plans import catalog
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in catalog.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
