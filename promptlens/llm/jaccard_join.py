@@ -67,10 +67,10 @@ class Measure:
         return n
 
     def bands(self, upto: int) -> list[int]:
-        """The least size of each band, up to the one that holds ``upto``, and the next."""
+        """The least size of each band, up to the one that holds ``upto``, and the next; links reach the next band at most."""
         lo = [self.smallest()]
         while lo[-1] <= upto:
-            lo.append(max(lo[-1] + 1, int(lo[-1] * self.growth)))
+            lo.append(max(lo[-1] + 1, int(lo[-1] * self.growth), (lo[-1] - 1) * self.den // self.num + 1))
         return lo
 
     def blocks(self, below: int) -> tuple[int, int]:

@@ -80,7 +80,7 @@ def test_hamming_distances_are_lower_bounds():
 
 def test_bands_cover_every_linked_pair():
     for m in (J.Measure(), J.Measure(words=5, num=80), J.Measure(num=50)):
-        lows = m.bands(3000)
+        lows = m.bands(5000)
         for n in range(m.smallest(), 2000):
             most = n * m.den // m.num  # the largest set that can link
             for other in {n + 1, most} - {n}:
