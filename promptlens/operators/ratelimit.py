@@ -6,26 +6,25 @@ the hit; otherwise admit and remember it. Denied hits never count, so this is
 not a rolling count and has no closed form in SQL window functions: it is an
 ordered recurrence per key.
 
-Plan (no stage holds a whole key, so one key with a third of all rows is
-spread over its time buckets):
+Plan (one key with a third of all rows is spread over its segments):
 
 1. Only (key, ts, id) enter the limiter; the decisions are joined back by id,
    so payload columns never cross into Python.
-2. Split points, computed per (key, time bucket) with halo rows. Each bucket
-   of ``bucket_windows`` windows also receives the previous bucket's last
-   window and the next bucket's first window (a few percent duplication), so
-   every windowed value of its own rows is complete. A hit ``s`` starts an
-   independent segment when
-     - the key's previous hit is at least ``window`` older (state is empty), or
-     - every hit q with s <= q < s + window sees fewer than ``limit`` hits of
-       any kind in its own trailing window. Those hits are admitted whatever
-       the history, and once the history has expired both runs hold the same
-       state, so decisions from ``s`` on do not depend on anything before it.
-   The sizes are over-approximated (a frame slightly wider than the window,
-   ties included), which can only drop split points, never add a wrong one.
-3. Segment id = the ts of the last split point at or before a row: local
-   within its bucket, else carried from earlier buckets through a per-(key,
-   bucket) summary (one row per bucket, small) joined back by (key, bucket).
+2. Split points from counts. Time is cut into cells, CELLS of them a little
+   longer than the window, and hits are counted per (key, cell) with a map-side
+   aggregate: one small row per cell that has hits, whatever the volume. A
+   cell c starts an independent segment when
+     - all that is remembered has expired: the key's previous cell with hits is
+       more than CELLS back, or
+     - no cell from c to c + CELLS together with the CELLS before it holds more than
+       ``limit`` hits: every hit of the window after the start then sees fewer than
+       ``limit`` others, denied ones counted, and is admitted whatever the history;
+       after that window everything before c has expired and both runs hold
+       the same state.
+   Frames are over counts, at most CELLS + 1 rows each, so a flood inside one
+   window costs no more than its aggregate.
+3. Segment id = the last such cell at or before a row's own, by a running
+   maximum over the cells of a key, joined back by (key, cell).
 4. ``repartition(key, segment)`` + ``sortWithinPartitions`` + ``mapInPandas``
    walk each segment with a deque of at most ``limit`` timestamps, carried
    across Arrow batches. A run of denied hits is skipped with one binary
@@ -56,8 +55,8 @@ from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
 # as the gateway files them under one "unknown" client.
 NULL_KEY = "\u0000"
 
-# Time buckets are this many windows long (halo share is about 2 / this).
-BUCKET_WINDOWS = 32
+# Cells per window: finer cells find more split points.
+CELLS = 8
 
 
 def _widen(window: float) -> float:
@@ -65,12 +64,6 @@ def _widen(window: float) -> float:
     return window * (1.0 + 1e-9) + 1e-3
 
 
-def _frame_ms(window: float) -> int:
-    """Frame width on the whole-millisecond order key; covers ``now - t < window``
-    (flooring moves either end by under 1 ms)."""
-    return int(np.ceil(_widen(window) * 1000.0)) + 2
-
-
 def _first_expired(ts: np.ndarray, lo: int, hi: int, oldest: float, window: float) -> int:
     """First index j in [lo, hi) with ts[j] - oldest >= window (ts sorted), else hi."""
     j = lo + int(np.searchsorted(ts[lo:hi], oldest + window, side="left"))
@@ -123,80 +116,56 @@ def _limiter(limit: int, window: float):
                     cur = (keys[lo], segs[lo])
                     hits.clear()
                 admit_run(ts, lo, hi, hits, limit, window, out)
-            yield pd.DataFrame({"__id": pdf["__id"], "admitted": out})
+            yield pd.DataFrame({"__id": pdf["__id"], "admitted": out, "__ts": pdf["__ts"], "__k": pdf["__k"]})
     return run
 
 
-def _segments(keyed: DataFrame, limit: int, window: float, bucket_windows: int) -> DataFrame:
-    """(__k, __ts, __id, __seg) for every row; see the module docstring, step 2-3."""
-    wide = _frame_ms(window) / 1000.0 + 1e-3
-    span = float(window) * max(int(bucket_windows), 2)
-    own = F.floor(F.col("__ts") / F.lit(span)).cast("long")
-    b_start, b_end = own * F.lit(span), (own + 1) * F.lit(span)
-    # Each row goes to its own bucket (role 0), and as halo to the next bucket
-    # (role -1: it precedes that bucket) or the previous one (role 1).
-    placed = keyed.withColumn("__own", own).select(
-        "__k", "__ts", "__id",
-        F.explode(F.array(
-            F.struct(F.col("__own").alias("b"), F.lit(0).alias("role")),
-            F.when(F.col("__ts") >= b_end - F.lit(wide),
-                   F.struct((F.col("__own") + 1).alias("b"), F.lit(-1).alias("role"))),
-            F.when(F.col("__ts") < b_start + F.lit(wide),
-                   F.struct((F.col("__own") - 1).alias("b"), F.lit(1).alias("role"))),
-        )).alias("p")).filter(F.col("p").isNotNull()).select("__k", "__ts", "__id", "p.b", "p.role")
-    # Stated here, not inferred later from the join, so that both consumers of
-    # this plan below are identical and share one shuffle (exchange reuse).
-    placed = placed.filter(F.col("b").isNotNull())
-
-    # Range frames need an integral order key: whole milliseconds, widened.
-    ms = _frame_ms(window)
-    by_ms = Window.partitionBy("__k", "b").orderBy("__ms")
-    back = by_ms.rangeBetween(-ms, 0)
-    ahead = by_ms.rangeBetween(0, ms)
-    in_order = Window.partitionBy("__k", "b").orderBy("__ts", "__id")
-    prev = F.lag("__ts").over(in_order)
-    seen = (F.count(F.lit(1)).over(back) - 1).alias("__seen")  # >= hits in the trailing window
-    marked = (placed.withColumn("__ms", F.floor(F.col("__ts") * F.lit(1000.0)).cast("long"))
-              .withColumn("__seen", seen)
-              .withColumn("__gap", prev.isNull() | (F.col("__ts") - prev >= F.lit(float(window))))
-              .withColumn("__calm", F.max("__seen").over(ahead) < F.lit(int(limit))))
-    owned = marked.filter(F.col("role") == 0)
-    split = F.when(F.col("__gap") | F.col("__calm"), F.col("__ts"))
-    local = owned.withColumn(
-        "__local", F.last(split, ignorenulls=True).over(
-            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    # Last split point of every earlier bucket of the key: one row per bucket.
-    per_bucket = local.groupBy("__k", "b").agg(F.max("__local").alias("__last"))
-    carry = per_bucket.select(
-        "__k", "b", F.last("__last", ignorenulls=True).over(
-            Window.partitionBy("__k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    return (local.join(carry, ["__k", "b"])
-            .select("__k", "__ts", "__id", F.coalesce("__local", "__carry").alias("__seg")))
+def _segments(keyed: DataFrame, limit: int, window: float) -> DataFrame:
+    """(__k, __ts, __id, __seg) for every row; see the module docstring, steps 2-3."""
+    # A null time has no cell of its own: such rows are one segment of their key, far from all others.
+    cell = F.floor(F.col("__ts") / F.lit(_widen(float(window)) / CELLS)).cast("long")
+    placed = keyed.withColumn("__cell", F.coalesce(cell, F.lit(-(1 << 60))))
+    cells = placed.groupBy("__k", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    of_key = Window.partitionBy("__k").orderBy("__cell")
+    before = F.lag("__cell").over(of_key)
+    held = cells.withColumn("__held", F.sum("__n").over(of_key.rangeBetween(-CELLS, 0))) \
+        .withColumn("__gap", before.isNull() | (before < F.col("__cell") - CELLS))
+    calm = F.max("__held").over(of_key.rangeBetween(0, CELLS)) <= F.lit(limit)
+    starts = held.withColumn("__start", F.when(F.col("__gap") | calm, F.col("__cell")))
+    segments = starts.select("__k", "__cell", F.max("__start").over(
+        of_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__seg"))
+    return placed.join(segments, ["__k", "__cell"]).select("__k", "__ts", "__id", F.col("__seg").cast("double").alias("__seg"))
 
 
 def rate_limit_decisions(df: DataFrame, key_col: str = "ip_address", ts_col: str = "unix_ts",
                          id_col: str = "id", limit: int = DEFAULT_RATE_LIMIT,
-                         window: float = DEFAULT_RATE_WINDOW_S,
-                         bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """(id, admitted) for every request."""
+                         window: float = DEFAULT_RATE_WINDOW_S, with_order: bool = False) -> DataFrame:
+    """(id, admitted) for every request; ``with_order`` adds its time and key (__ts, __k)."""
     keyed = df.select(F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY)).alias("__k"),
                       F.col(ts_col).cast("double").alias("__ts"), F.col(id_col).alias("__id"))
-    ordered = (_segments(keyed, int(limit), float(window), bucket_windows)
+    ordered = (_segments(keyed, int(limit), float(window))
                .repartition("__k", "__seg")
                .sortWithinPartitions("__k", "__seg", "__ts", "__id"))
     id_type = df.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField("__id", id_type), T.StructField("admitted", T.BooleanType())])
-    return (ordered.mapInPandas(_limiter(int(limit), float(window)), out_schema)
-            .withColumnRenamed("__id", id_col))
+    out_schema = T.StructType([T.StructField("__id", id_type), T.StructField("admitted", T.BooleanType()),
+                               T.StructField("__ts", T.DoubleType()), T.StructField("__k", T.StringType())])
+    out = ordered.mapInPandas(_limiter(int(limit), float(window)), out_schema).withColumnRenamed("__id", id_col)
+    return out if with_order else out.select(id_col, "admitted")
 
 
 def rate_limit_admit(df: DataFrame, key_col: str = "ip_address", ts_col: str = "unix_ts",
                      id_col: str = "id", limit: int = DEFAULT_RATE_LIMIT,
-                     window: float = DEFAULT_RATE_WINDOW_S,
-                     bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """Every request with an ``admitted`` flag (denied ones are never scored or stored)."""
-    return df.join(rate_limit_decisions(df, key_col, ts_col, id_col, limit, window, bucket_windows), id_col)
+                     window: float = DEFAULT_RATE_WINDOW_S) -> DataFrame:
+    """Every request with an ``admitted`` flag (denied ones are never scored or stored).
+
+    Requests that repeat an id are told apart by time and key, and equal ones by their number.
+    """
+    same = lambda i, t, k: F.row_number().over(Window.partitionBy(i).orderBy(t, k))
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY))
+    decided = rate_limit_decisions(df, key_col, ts_col, id_col, limit, window, with_order=True)
+    decided = decided.select(F.col(id_col).alias("__id"), "admitted", same(F.col(id_col), F.col("__ts"), F.col("__k")).alias("__no2"))
+    numbered = df.withColumn("__no", same(F.col(id_col), F.col(ts_col).cast("double"), key))
+    return numbered.join(decided, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__no") == F.col("__no2"))).drop("__id", "__no", "__no2")
 
 
 def rate_limit_denials(decided: DataFrame, key_col: str = "ip_address") -> DataFrame:
