@@ -8,7 +8,7 @@ no global sort). Ties in every ordering are broken by ``id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
@@ -17,9 +17,6 @@ from promptlens.schemas import LEDGER_COLUMNS, LEDGER_PARTITION
 
 # Bounds of the events listing (reference: 1..500, default 50).
 MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 1, 500, 50
-# Above this many rows kept, retention switches from a top-k heap to an exact
-# distributed rank (sorted, checkpointed, per-partition offsets).
-TOPK_ROWS = 100_000
 
 
 def _no_filter(status: str | None) -> bool:
@@ -104,24 +101,25 @@ def ledger_dedup(ledger: DataFrame) -> DataFrame:
 def prune_max_events(ledger: DataFrame, max_events: int = 500) -> DataFrame:
     """Keep the newest ``max_events`` rows by unix_ts (ties: smaller id kept).
 
-    Bounded n: a top-k heap. Large n: an exact global rank without a single
-    task holding n rows — sort (range-partitioned), checkpoint so partition
-    contents survive executor loss, count rows per partition, and keep rows
-    whose partition offset + position is below n.
+    One cut-off for every n, found on narrow columns: counts per minute, the newest
+    minutes that together hold at most n rows, and a rank among (unix_ts, id) inside the
+    single minute where the count passes n. The ledger is then filtered by that
+    cut-off; payloads neither move nor are sorted.
     """
-    if max_events <= TOPK_ROWS:
-        return ledger.orderBy(F.col("unix_ts").desc(), F.col("id").asc()).limit(int(max_events))
-    ordered = ledger.sort(F.col("unix_ts").desc(), F.col("id").asc()).checkpoint(eager=True)
-    pos = (ordered.withColumn("__pid", F.spark_partition_id())
-                  .withColumn("__mid", F.monotonically_increasing_id()))
-    sizes = pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-    from pyspark.sql import Window
-    offsets = sizes.withColumn("__off", F.coalesce(
-        F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # ``offsets`` has one row per partition of the sort: bounded by the partition count.
-    ranked = pos.join(F.broadcast(offsets.select("__pid", "__off", "__first")), "__pid")
-    keep = (F.col("__off") + F.col("__mid") - F.col("__first")) < F.lit(int(max_events))
-    return ranked.filter(keep).select(*ledger.columns)
+    n = int(max_events)
+    if n <= 0:
+        return ledger.limit(0)
+    minute = F.coalesce(F.floor(F.col("unix_ts") / 60).cast("long"), F.lit(-(1 << 62)))
+    newest = Window.orderBy(F.col("__m").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    minutes = ledger.groupBy(minute.alias("__m")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__sum", F.sum("__n").over(newest))
+    cut = minutes.filter(F.col("__sum") >= n).agg(F.max(F.struct("__m", (F.col("__sum") - F.col("__n")).alias("__above")))).first()[0]
+    if cut is None:
+        return ledger
+    age = F.coalesce(-F.col("unix_ts"), F.lit(float("inf")))
+    ranked = ledger.filter(minute == F.lit(cut[0])).select(F.struct(age.alias("age"), "id").alias("__r"))
+    last = ranked.orderBy("__r").limit(n - cut[1]).agg(F.max("__r")).first()[0]
+    upto = F.struct(F.lit(last[0]).cast("double").alias("age"), F.lit(last[1]).alias("id"))
+    return ledger.filter((minute > F.lit(cut[0])) | (minute == F.lit(cut[0])) & (F.struct(age.alias("age"), "id") <= upto))
 
 
 def prune_expired(ledger: DataFrame, now_unix: float, retention_days: int = 30) -> DataFrame:

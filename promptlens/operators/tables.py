@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from promptlens.schemas import DEFAULT_SETTINGS
 
 RULE_FIELDS = ["name", "pattern", "severity", "enabled"]
-# The settings map is returned as one row; its key count is checked first.
-MAX_SETTINGS_KEYS = 10_000
 
 
 def policy_rules_apply(changes: DataFrame) -> DataFrame:
@@ -61,9 +59,6 @@ def settings_defaults(current: DataFrame) -> DataFrame:
 
 def settings_map(settings: DataFrame) -> DataFrame:
     """One row holding the key -> value map (the settings endpoint)."""
-    n = settings.select("key").distinct().count()
-    if n > MAX_SETTINGS_KEYS:
-        raise ValueError(f"{n} setting keys exceed {MAX_SETTINGS_KEYS}; read the table instead")
     return settings.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("settings"))
 
 
