@@ -94,14 +94,16 @@ def injection_verdict(text: Column, rules: list[tuple[str, str, str]] | None = N
 
 
 def injection_all_hits(text: Column) -> Column:
-    """array<struct<rank, term, severity, rule>> of every phrase contained in the text."""
-    lowered = F.lower(text)
-    arr = F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(t).alias("term"),
-                 F.lit(s).alias("severity"), F.lit(r).alias("rule"))
-        for i, (t, s, r) in enumerate(INJECTION_RULES, start=1)
-    ])
-    return F.filter(arr, lambda r: lowered.contains(r["term"]))
+    """array<struct<rank, term, severity, rule>> of every phrase contained in the text.
+
+    The text is lower-cased once, as the only element of an array that a lambda binds.
+    """
+    def hits(lowered: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(lowered.contains(t), F.struct(F.lit(i).alias("rank"), F.lit(t).alias("term"),
+                                                 F.lit(s).alias("severity"), F.lit(r).alias("rule")))
+            for i, (t, s, r) in enumerate(INJECTION_RULES, start=1)]))
+    return F.transform(F.array(F.lower(text)), hits)[0]
 
 
 def pii_count(text: Column) -> Column:

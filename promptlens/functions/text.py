@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,6 @@ SNIPPET_SUFFIX = "..."
 VIEW_CHARS = 70
 VIEW_SUFFIX = "…"
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
-
 
 def snippet(text: Column, n: int = SNIPPET_CHARS, suffix: str = SNIPPET_SUFFIX) -> Column:
     """First ``n`` code points, plus ``suffix`` when the text is longer."""
@@ -25,20 +24,15 @@ def payload_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("int")
 
 
-def ascii_fold(c: Column) -> Column:
-    """Lower-case A-Z only (SQLite's LIKE folds ASCII letters, nothing else)."""
-    return F.translate(c, _UPPER, _LOWER)
-
-
 def sqlite_like_search(c: Column, search: str) -> Column:
     """``c LIKE '%search%'`` with SQLite semantics.
 
-    ``%`` and ``_`` typed by the user stay wildcards, there is no escape
-    character and only ASCII letters compare case-insensitively. Spark's LIKE
-    treats ``\\`` as escape, so every backslash is doubled to stay literal.
+    ``%`` and ``_`` typed by the user stay wildcards, there is no escape character and only
+    ASCII letters compare case-insensitively: what Java's ``(?is)`` without ``u`` does, so
+    the column itself is searched and no payload is copied.
     """
-    pattern = "%" + search.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\") + "%"
-    return ascii_fold(c).like(pattern)
+    parts = [".*" if x == "%" else "." if x == "_" else re.sub(r"([^0-9A-Za-z\s])", r"\\\1", x) if x.isascii() else x for x in search]
+    return c.rlike("(?is)" + "".join(parts))
 
 
 def literal_search(c: Column, search: str) -> Column:
@@ -55,6 +49,11 @@ def json_cell(c: Column, kind: str = "string") -> Column:
     if kind == "string":
         quoted = F.to_json(F.array(c.cast("string")))
         return F.when(c.isNull(), F.lit('""')).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
-    num = c.cast("double")
-    bare = F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string"))
-    return F.coalesce(bare, F.lit('""'))
+    return F.coalesce(js_number(c), F.lit('""'))
+
+
+def js_number(c: Column) -> Column:
+    """A double rendered like JavaScript: integral values without '.0', no exponent."""
+    d = c.cast("double")
+    plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,9)").cast("string"), r"0+$", ""), r"\.$", "")
+    return F.when(d == F.floor(d), d.cast("bigint").cast("string")).otherwise(plain)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.functions.text import json_cell
+from promptlens.functions.text import js_number, json_cell
 from promptlens.operators.ledger import ledger_recent
 from promptlens.schemas import LEDGER_COLUMNS
 
@@ -35,18 +35,11 @@ def export_csv(ledger: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
     return header.unionByName(rows)
 
 
-def js_number(c):
-    """A double rendered like JavaScript: integral values without '.0', no exponent."""
-    d = c.cast("double")
-    plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,9)").cast("string"), r"0+$", ""), r"\.$", "")
-    return F.when(d == F.floor(d), d.cast("bigint").cast("string")).otherwise(plain)
-
-
 def export_json_rows(ledger: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
     """(row_no, json): one JSON object per exported event, 13 fields in ledger order."""
     def field(c):
         if c in NUMERIC:
-            v = js_number(F.col(c))
+            v = F.coalesce(js_number(F.col(c)), F.lit("null"))
         else:
             v = F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2))
         return F.concat(F.lit(f'"{c}":'), v)
