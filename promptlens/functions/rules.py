@@ -57,9 +57,7 @@ STATUS_BLOCKED, STATUS_SANITIZED, STATUS_PASSED = "BLOCKED", "SANITIZED", "PASSE
 SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 # One alternation, each pattern in its own group (group i+1 = pattern i; the
-# phone pattern's inner group is number 11). Java flags: i = ignore case,
-# u = Unicode case folding, U = Unicode \b \d \s \w (the reference's regex
-# engine is Unicode-aware; JDK 19+ would otherwise use ASCII \b).
+# phone pattern's inner group is number 11), in the reference's regex dialect.
 PII_ALTERNATION = "|".join(f"({p})" for p, _ in PII_PATTERNS)
 
 # Execution form for Java. The e-mail alternative starts with a run of
@@ -72,8 +70,54 @@ PII_ALTERNATION = "|".join(f"({p})" for p, _ in PII_PATTERNS)
 EMAIL_LOCAL = r"[a-zA-Z0-9._%+\-]"
 _EMAIL = PII_PATTERNS[6][0]
 assert _EMAIL.startswith(EMAIL_LOCAL + "+@")
-PII_REGEX = "(?iuU)" + "|".join(
-    f"((?:(?<!{EMAIL_LOCAL})|\\G){p})" if p == _EMAIL else f"({p})" for p, _ in PII_PATTERNS)
+
+# The dialect's word characters are letters, numbers and "_" (no marks, no joiners), and its
+# white space includes U+001C..U+001F; Java's classes differ even with (?U), so both are spelled
+# out. Java flags: i = ignore case, u = Unicode case folding, U = Unicode \\d.
+# A letter beyond U+FFFF in the class makes Java's lookbehind step by code points.
+_WORD = r"[\p{L}\p{N}_" + "\U00010400]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_SPACES = r"\s\x1c-\x1f"
+
+
+def _java_form(pattern: str) -> str:
+    """``pattern`` for Java: \\b, \\s and \\S replaced, inside or outside of a class.
+
+    A leading boundary is tried only where a digit, plus or bracket follows, as all the
+    patterns that begin with one must.
+    """
+    out, i, in_class = "", 0, False
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two == r"\b":
+            out += ("" if i else r"(?=[\d+(])") + _BOUNDARY
+        elif two == r"\s":
+            out += _SPACES if in_class else f"[{_SPACES}]"
+        elif two == r"\S":
+            out += f"[^{_SPACES}]"
+        elif two[0] == "\\":
+            out += two
+        else:
+            in_class = two[0] == "[" or in_class and two[0] != "]"
+            out += two[0]
+            i -= 1
+        i += 2
+    return out
+
+
+def _alternation(with_email: bool) -> str:
+    """A text without "@" has no e-mail match, so that alternative (the dearest) then never matches."""
+    email = f"(?:(?<!{EMAIL_LOCAL})|\\G){_EMAIL}" if with_email else "(?!)"
+    return "(?iuU)" + "|".join(f"({email if p == _EMAIL else _java_form(p)})" for p, _ in PII_PATTERNS)
+
+
+PII_REGEX = _alternation(True)
+PII_REGEX_NO_AT = _alternation(False)
+
+
+def _by_at(text: Column, apply) -> Column:
+    """``apply(regex)`` with the shorter regex where the text has no "@"."""
+    return F.when(text.contains("@"), apply(F.lit(PII_REGEX))).otherwise(apply(F.lit(PII_REGEX_NO_AT)))
 
 
 def injection_verdict(text: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
@@ -108,11 +152,11 @@ def injection_all_hits(text: Column) -> Column:
 
 def pii_count(text: Column) -> Column:
     """Number of leftmost non-overlapping PII matches (= replacements made)."""
-    return F.regexp_count(text, F.lit(PII_REGEX))
+    return _by_at(text, lambda regex: F.regexp_count(text, regex))
 
 
 def pii_redact(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(PII_REGEX), F.lit(REDACTION_MARK))
+    return _by_at(text, lambda regex: F.regexp_replace(text, regex, F.lit(REDACTION_MARK)))
 
 
 def marks_in(text: Column) -> Column:
@@ -133,8 +177,8 @@ def pii_match_patterns(text: Column) -> Column:
     marker character take the exact per-group form (``pii_group_counts``).
     """
     n = len(PII_PATTERNS)
-    enc = F.regexp_replace(text, F.lit(PII_REGEX),
-                           F.lit(_SEG_OPEN + _SEG_SEP.join(f"${g}" for g in range(1, n + 1)) + _SEG_CLOSE))
+    groups = F.lit(_SEG_OPEN + _SEG_SEP.join(f"${g}" for g in range(1, n + 1)) + _SEG_CLOSE)
+    enc = _by_at(text, lambda regex: F.regexp_replace(text, regex, groups))
     segs = F.regexp_extract_all(enc, F.lit(f"{_SEG_OPEN}([^{_SEG_CLOSE}]*){_SEG_CLOSE}"), F.lit(1))
     return F.transform(segs, lambda sg: F.array_position(
         F.transform(F.split(sg, _SEG_SEP), lambda x: x != F.lit("")), F.lit(True)).cast("int"))

@@ -247,3 +247,27 @@ def test_gateway_messages(spark):
 def test_case_folding(spark, text):
     got = _score(spark, [text])[0]
     assert got["status"] == model.score(text)[0]
+
+
+def test_pii_boundaries_are_those_of_the_dialect(spark):
+    """Every code point up to U+2FFF, and samples beyond, at each boundary of the patterns.
+
+    Of characters that an early Unicode version has: Java and Python know different later ones.
+    """
+    import unicodedata
+    points = [c for c in (*range(1, 0x3000), 0xFF10, 0xFF3F, 0x1D7D8, 0x1D400, 0x10400, 0x20000)
+              if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn"]
+    forms = ["{}123-45-6789", "123-45-6789{}", "x{}5551234567", "bearer{}abcdef", "password{}:{}x", "4111 1111 1111 1111{}", "a{}+1 555 123 4567", "password: {}y"]
+    rows = [(i, f.replace("{}", chr(c))) for i, (c, f) in enumerate((c, f) for c in points for f in forms)]
+    from model import PII_RE
+    got = S.pii_count(spark.createDataFrame(rows, "i long, prompt string")).select("i", "pii_matches").collect()
+    texts = dict(rows)
+    wrong = [(texts[r.i], r.pii_matches) for r in got if r.pii_matches != len(PII_RE.findall(texts[r.i]))]
+    assert not wrong, wrong[:10]
+
+
+def test_pii_vectors_of_marks_joiners_and_separators(spark):
+    hit = ["cafe\u0301123-45-6789", "a\u200d123-45-6789", "bearer\u001cabcdef"]
+    miss = ["123-45-6789\u00b2", "x\u00bd5551234567"]
+    got = {r.prompt: r.pii_matches for r in S.pii_count(spark.createDataFrame([(t,) for t in hit + miss], "prompt string")).collect()}
+    assert [got[t] for t in hit] == [1, 1, 1] and [got[t] for t in miss] == [0, 0]
