@@ -228,13 +228,13 @@ def _offers(sketches: DataFrame, measure: Measure) -> DataFrame:
         .select("doc_id", "b", "need", F.explode("keys").alias("key"))
     met = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key"), "block-counts")
     rows = maybe_in(rows, "key", bit_filter(met, "key"), "_met").where("_met").drop("_met").join(met, "key")
-    for _ in range(2):
-        rows = written(rows, "blocks")
-        enough = rows.groupBy("doc_id", "b").agg(F.count("*").alias("shared"), F.max("need").alias("_need")).where("shared >= _need").drop("_need")
-        rows = rows.drop("shared", "df").join(enough, ["doc_id", "b"])
-        df = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "block-df")
-        rows = rows.join(df, "key")
-    rows = written(rows.drop("shared"), "blocks")
+    # Once: the counts that remain fall by little when the step is repeated.
+    rows = written(rows, "blocks")
+    enough = rows.groupBy("doc_id", "b").agg(F.count("*").alias("shared"), F.max("need").alias("_need")).where("shared >= _need").select("doc_id", "b")
+    rows = rows.join(enough, ["doc_id", "b"])
+    df = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "block-df")
+    rows = rows.join(df, "key")
+    rows = written(rows, "blocks")
     own = Window.partitionBy("doc_id", "b")
     rank = F.row_number().over(own.orderBy("df", "key"))
     return rows.select("doc_id", "key", "df", F.count("*").over(own).alias("shared"), "need", rank.alias("rank"), F.sum("df").over(own).alias("heat")) \
