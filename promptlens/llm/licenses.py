@@ -2,17 +2,25 @@
 
 Every line of a text that speaks of licensing is a header; equal lines are scored once.
 Lines and templates are sparse TF-IDF vectors (inverse document frequency over all header
-lines of the corpus), and a line's licence is the template with the highest cosine. A file
+lines of the corpus), and a line's licence is the template with the highest cosine.
+Notices within longer lines or wrapped over lines are found by token windows, of the
+template's length, around each word that speaks of licensing. Whole licence files, and
+stretches that open like a licence's text, are compared with full licence texts. A file
 without a licence of its own takes that of the licence file in its nearest ancestor
 directory, by equi-joins of directories.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.llm.common import written
+from promptlens.llm.license_texts import FULL_TEXTS
 
 # FIXED VALUES: SPDX ids and notices by which works name their licence.
 TEMPLATES = (
@@ -40,6 +48,16 @@ TEMPLATES = (
 HEADER = r"(?i)licen[cs]e|copyright|spdx|rights reserved|creative commons|public domain"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.6
+# A window is the best of many and a full text has many common words: both must be nearer.
+WINDOW_THRESHOLD = 0.8
+TEXT_THRESHOLD = 0.8
+# One of them is in every text that HEADER matches, and the tokens by which windows are placed.
+NEAR = ("licen", "copyright", "spdx", "reserved", "commons", "domain")
+KEY = r"licen[cs]e|copyright|spdx|^(reserved|commons|domain)$"
+# A stretch of text is compared with full texts where it begins with this many tokens of one.
+OPENING = 5
+# What a line that only reserves rights says.
+RESERVED = "Proprietary"
 # File names (lower case, without extension) whose licence holds for their directory.
 LICENSE_FILES = ("license", "licence", "copying", "unlicense")
 
@@ -53,15 +71,20 @@ def _tokens(df: DataFrame, key: str, text: Column, weight: Column) -> DataFrame:
         .groupBy(key, "token").agg(F.count("*").alias("tf"), F.max("_n").alias("n"))
 
 
+def _frequencies(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """(token, df) over the header ``lines`` (line, n), and the weight of a token by its ``df``."""
+    df = _tokens(lines, "line", F.col("line"), F.col("n")).groupBy("token").agg(F.sum("n").alias("df"))
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    return df, F.log((F.lit(float(total)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+
+
 def score_lines(lines: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(line, license, score) of distinct ``lines`` (line, n), n being how often the line stands in the corpus."""
     spark = lines.sparkSession
     # The templates are a parameter list; all that derives from them alone stays as small.
     notes = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
     terms = _tokens(lines, "line", F.col("line"), F.col("n"))
-    total = lines.agg(F.sum("n")).first()[0] or 0
-    idf = F.log((F.lit(float(total)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    df = terms.groupBy("token").agg(F.sum("n").alias("df"))
+    df, idf = _frequencies(lines)
     note_terms = _tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").select("t", "token", (F.col("tf") * idf).alias("tw"))
     note_norms = note_terms.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     notes = written(note_terms.join(note_norms, "t").join(notes.select("t", "license"), "t").select("t", "license", "token", (F.col("tw") / F.col("tn")).alias("tw")), "license-notes")
@@ -73,31 +96,130 @@ def score_lines(lines: DataFrame, templates=TEMPLATES) -> DataFrame:
     return best.select("line", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 
+def _words_of(text: str) -> list[str]:
+    return re.findall(TOKEN, text.lower())
+
+
+def _contexts(words: str, reach: int) -> Column:
+    """(words, at): for each token of ``words`` that matches KEY its surroundings, and its place in them from 1."""
+    return F.expr(f"""transform(filter(sequence(1, size({words})), i -> size({words}) > 0 and element_at({words}, i) rlike '{KEY}'),
+        i -> struct(array_join(slice({words}, greatest(1, i - {reach - 1}), least(i, {reach}) + {reach - 1}), ' ') as words, least(i, {reach}) as at))""")
+
+
+def _stretches(words: str, openings: dict[tuple[str, ...], list[int]]) -> Column:
+    """The stretches of ``words``, as long as a full text, that begin with its opening."""
+    found = []
+    for opening, lengths in openings.items():
+        begins = " and ".join(f"get({words}, i + {k}) = '{t}'" for k, t in enumerate(opening))
+        for n in lengths:
+            found.append(f"transform(filter(sequence(0, size({words})), i -> {begins}), i -> array_join(slice({words}, i + 1, {n}), ' '))")
+    return F.expr(f"concat({', '.join(found)})")
+
+
+def score_windows(contexts: DataFrame, lines: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(words, at, license, score) of distinct ``contexts`` (words, at): the nearest window, from WINDOW_THRESHOLD on.
+
+    A window holds the token ``at``, begins with a token of its template and has the
+    template's length. Token weights are those of the header ``lines``.
+    """
+    spark = contexts.sparkSession
+    df, idf = _frequencies(lines)
+    df = written(df.select("token", idf.alias("idf")), "license-idf")
+    rare = float(lines.agg(F.coalesce(F.log(F.sum("n") + 1.0), F.lit(0.0)) + 1).first()[0])
+    notes = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
+    weighted = _tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").withColumn("tw", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+    weights = weighted.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("token", "tw"))).alias("tw"), F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"),
+                                        F.sum("tf").cast("int").alias("l"))
+    weights = written(weights.join(notes.select("t", "license"), "t"), "license-windows")
+    # The weights of a context's tokens, in place; then every window in the row.
+    spread = contexts.select("words", "at", F.posexplode(F.split("words", " ")).alias("i", "token"))
+    placed = spread.join(df, "token", "left").groupBy("words", "at") \
+        .agg(F.sort_array(F.collect_list(F.struct("i", "token", F.coalesce("idf", F.lit(rare)).alias("w")))).alias("x"))
+    every = placed.crossJoin(F.broadcast(weights)).withColumn("windows", F.expr(
+        "transform(filter(sequence(greatest(1, at - l + 1), at), i -> i + l - 1 <= size(x) and map_contains_key(tw, x[i - 1].token)), i -> slice(x, i, l))"))
+    dot = "aggregate(v, 0D, (s, e) -> s + e.w * coalesce(tw[e.token], 0D))"
+    # Repeated tokens only add to a window's length, so the sum over places bounds its cosine.
+    least = "sqrt(aggregate(v, 0D, (s, e) -> s + e.w * e.w))"
+    norm = "sqrt(aggregate(v, 0D, (s, e) -> s + e.w * e.w * size(filter(v, o -> o.token = e.token))))"
+    near = every.withColumn("windows", F.expr(f"filter(windows, v -> {dot} >= {WINDOW_THRESHOLD - 1e-6} * tn * {least})")).where("size(windows) > 0")
+    scored = near.withColumn("score", F.expr(f"array_max(transform(windows, v -> round({dot} / (tn * {norm}), 6)))")).where(F.col("score") >= WINDOW_THRESHOLD)
+    best = scored.groupBy("words", "at").agg(F.max(F.struct("score", -F.col("t"), "license")).alias("b"))
+    return best.select("words", "at", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+
+
+def score_texts(texts: DataFrame, lines: DataFrame, full=FULL_TEXTS) -> DataFrame:
+    """(id, license, score) of distinct ``texts`` (text; tokens with a space between): the nearest full text, from TEXT_THRESHOLD on.
+
+    Token weights are those of the header ``lines``; a token counts by 1 + ln of its number.
+    """
+    spark = texts.sparkSession
+    df, idf = _frequencies(lines)
+    w = (1 + F.log(F.col("tf").cast("double"))) * idf
+    notes = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(full)], "t int, license string, text string")
+    terms = _tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").select("t", "token", w.alias("tw"))
+    norms = terms.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
+    notes = written(terms.join(norms, "t").join(notes.select("t", "license"), "t").select("t", "license", "token", (F.col("tw") / F.col("tn")).alias("tw")), "license-texts")
+    texts = texts.withColumn("id", F.sha2("text", 256))
+    weighted = written(_tokens(texts, "id", F.col("text"), F.lit(1)).join(df, "token", "left").select("id", "token", w.alias("w")), "license-text-terms")
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(notes), "token").groupBy("id", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= TEXT_THRESHOLD)
+    best = scored.groupBy("id").agg(F.max(F.struct("score", -F.col("t"), "license")).alias("b"))
+    return best.select("id", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+
+
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
-                  templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+                  templates=TEMPLATES, threshold: float = THRESHOLD, full=FULL_TEXTS) -> DataFrame:
     """One row per input row: doc_id, path, n_headers, score, own_license, license, inherited_from.
 
-    ``score`` is the best cosine of the file's header lines (0 without any), ``own_license``
-    its template from ``threshold`` on; ties go to the earlier template. ``license`` is the own
+    ``score`` is the best cosine of the file's header lines and windows (0 without any),
+    ``own_license`` its template from ``threshold`` on; ties go to the earlier template. A full
+    text goes before both, and a window before a line that only reserves rights; ``score`` is
+    that of the licence taken. ``license`` is the own
     one, or that of the licence file in the nearest ancestor directory (``inherited_from``; of
     several there the best score, then the first licence name). A null text has no headers, a
     null path no ancestors; repeated rows get equal results; an empty table gives no rows;
     other columns are not read.
     """
     line = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x.rlike(HEADER))
+    reach = max(len(_words_of(t)) for _, t in templates)
+    openings: dict[tuple[str, ...], list[int]] = {}
+    for _, t in full:
+        openings.setdefault(tuple(_words_of(t)[:OPENING]), []).append(len(_words_of(t)))
+    base = F.regexp_extract(_lower(F.col("path")), r"([^/]*?)(\.[^/.]*)?$", 1)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .select("doc_id", "path", F.monotonically_increasing_id().alias("row"),
-                F.when(F.col("text").rlike(HEADER), line).otherwise(F.array().cast("array<string>")).alias("lines"))
+        .withColumn("is_license", F.coalesce(base.isin(*LICENSE_FILES), F.lit(False))) \
+        .withColumn("low", F.lower("text"))
+    # Plain searches first: few texts pass, and only these are split or searched by expressions.
+    holds = lambda words: reduce(and_, [F.col("low").contains(w) for w in words])
+    rows = rows.withColumn("near", reduce(or_, [holds([w]) for w in NEAR])) \
+        .withColumn("opens", reduce(or_, [holds(sorted(set(o), key=lambda w: (-len(w), w))) for o in openings])).drop("low")
+    rows = rows.withColumn("words", F.when(F.col("is_license") | F.col("near") | F.col("opens"), F.regexp_extract_all(_lower(F.col("text")), F.lit(TOKEN), 0))
+                           .otherwise(none("string")))
+    whole = F.when(F.col("is_license") & (F.size("words") > 0), F.array(F.array_join("words", " "))).otherwise(none("string"))
+    some = F.size("words") > 0
+    rows = rows.select("doc_id", "path", "is_license", F.monotonically_increasing_id().alias("row"),
+                       F.when(F.col("near") & F.col("text").rlike(HEADER), line).otherwise(none("string")).alias("lines"),
+                       F.when(some & F.col("near"), F.array_distinct(_contexts("words", reach))).otherwise(none("struct<words:string,at:int>")).alias("contexts"),
+                       F.when(some & F.col("opens"), F.array_distinct(F.concat(whole, _stretches("words", openings)))).otherwise(whole).alias("texts"))
     rows = written(rows, "license-files")
     headers = rows.select("row", F.explode("lines").alias("line"))
     lines = written(headers.groupBy("line").agg(F.count("*").alias("n")), "license-lines")
     own = headers.join(score_lines(lines, templates), "line").groupBy("row").agg(F.max(F.struct("score", "license")).alias("b"))
-    sure = F.col("b.score") >= threshold
-    base = F.regexp_extract(_lower(F.col("path")), r"([^/]*?)(\.[^/.]*)?$", 1)
-    found = written(rows.join(own, "row", "left").select(
-        "doc_id", "path", F.size("lines").cast("long").alias("n_headers"), F.coalesce("b.score", F.lit(0.0)).alias("score"),
-        F.when(sure, F.col("b.license")).alias("own_license"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
-        base.isin(*LICENSE_FILES).alias("is_license")), "license-own")
+    contexts = rows.select("row", F.inline("contexts"))
+    by_window = contexts.join(score_windows(written(contexts.select("words", "at").distinct(), "license-contexts"), lines, templates), ["words", "at"]) \
+        .groupBy("row").agg(F.max(F.struct("score", "license")).alias("v"), F.max(F.when(F.col("license") != RESERVED, F.struct("score", "license"))).alias("named"))
+    texts = rows.select("row", F.explode("texts").alias("text"))
+    by_text = texts.select("row", F.sha2("text", 256).alias("id")).join(score_texts(texts.select("text").distinct(), lines, full), "id") \
+        .groupBy("row").agg(F.max(F.struct("score", "license")).alias("full"))
+    best = F.greatest("b", "v")
+    best = F.coalesce("full", F.when((best["license"] == RESERVED) & F.col("named").isNotNull(), F.col("named")).otherwise(best))
+    sure = F.col("best.score") >= threshold
+    found = rows.join(own, "row", "left").join(by_window, "row", "left").join(by_text, "row", "left").withColumn("best", best)
+    found = written(found.select(
+        "doc_id", "path", F.size("lines").cast("long").alias("n_headers"), F.coalesce("best.score", F.lit(0.0)).alias("score"),
+        F.when(sure, F.col("best.license")).alias("own_license"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), "is_license"), "license-own")
     by_dir = found.where("is_license and own_license is not null").groupBy("dir") \
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own_license").alias("license"))).alias("b")) \
         .select(F.col("dir").alias("ancestor"), F.col("b.license").alias("license"))

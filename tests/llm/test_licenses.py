@@ -26,3 +26,24 @@ def test_nearest_ancestor_directory(spark):
 def test_prose_about_licences_is_not_one(spark):
     r = licenses.scan_licenses(spark.createDataFrame([(1, "x/y", "He lost his driving licence on the way to the station and never got another one back")], "doc_id long, path string, text string")).first()
     assert r.n_headers == 1 and r.own_license is None and r.license is None
+
+
+def test_full_texts_wrapped_and_embedded_notices(spark):
+    from promptlens.llm.license_texts import FULL_TEXTS
+    full = dict(FULL_TEXTS)
+    wrap = lambda t, lead="": "\n".join(lead + " ".join(t.split()[i:i + 9]) for i in range(0, len(t.split()), 9))
+    filler = "def f(x): return x plus one and so on until the end of days"
+    files = [(i, f"whole{i}/LICENSE", f"Copyright (c) 2020 Jane Roe. All rights reserved.\n\n{wrap(text)}") for i, (_, text) in enumerate(FULL_TEXTS)]
+    files += [(i + 50, f"whole{i}/src/x.py", filler) for i in range(len(FULL_TEXTS))]
+    files += [(100, "a/x.c", "/*\n" + wrap("Copyright (c) 2020. All rights reserved. " + full["BSD-3-Clause"], " * ") + "\n */\n" + filler * 50),
+              (101, "a/y.c", "# Licensed under the\n# Apache License,\n# Version 2.0.\n" + filler),
+              (102, "a/z.txt", f"{filler} {filler} Released under the MIT License. {filler} {filler}"),
+              (103, "a/w.txt", "All rights reserved.\n" + filler),
+              (104, "a/LICENSE", f"{filler} " * 40),
+              (105, "a/v.txt", f"{filler} the domain of the reserved licence and the copyright of commons in a file {filler}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {n: got[i].own_license for i, (n, _) in enumerate(FULL_TEXTS)} == {n: n for n, _ in FULL_TEXTS}
+    assert all(got[i + 50].license == n and got[i + 50].inherited_from == f"whole{i}" for i, (n, _) in enumerate(FULL_TEXTS))
+    assert (got[100].own_license, got[101].own_license, got[102].own_license) == ("BSD-3-Clause", "Apache-2.0", "MIT")
+    assert got[103].own_license == "Proprietary" and got[104].own_license is None and got[105].own_license is None
+    assert got[102].score == 1.0
