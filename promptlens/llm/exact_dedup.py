@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import SPACES, bit_filter, maybe_in, written
+from promptlens.llm.common import SPACES, bit_filter, maybe_in, whole_rows, without, written
 
 BUCKET_ENTRIES = 8192
 # 2^16 directory slots; buckets at that depth keep all their entries (1.5 M each at 10^11 texts).
@@ -90,8 +90,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of equal texts; all columns."""
-    from promptlens.llm.common import without
+    """``docs`` with one row of each group of equal texts, one with its smallest doc_id; all columns.
 
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return without(docs, gone, id_col)
+    Rows are dropped by doc_id and text, so other texts of a repeated doc_id stay; of repeated
+    rows, and of copies that all lack an id, any one stays.
+    """
+    key = lambda i, digest: F.concat_ws(":", F.col(i).isNull().cast("string"), F.col(i).cast("string"), digest).alias("_key")
+    copies = exact_dedup(docs, id_col, text_col).where("group_size > 1")
+    copies = written(copies.groupBy(key("doc_id", F.col("text_sha256"))).agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "dedup-copies")
+    normal = F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), SPACES, " ")
+    rows = whole_rows(docs, _doc_id=id_col, _text=text_col).select("_doc", key("_doc_id", F.sha2(normal, 256)))
+    rows = maybe_in(without(rows, copies.where("not kept").select("_key"), "_key"), "_key", bit_filter(copies.where("kept and n > 1"), "_key"), "_again")
+    return rows.where("not _again").select("_doc.*").unionByName(rows.where("_again").dropDuplicates(["_key"]).select("_doc.*"))

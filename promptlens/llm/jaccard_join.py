@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.llm.batches import IS_SPACE, P, mixed, slices, span_hashes
-from promptlens.llm.common import bit_filter, maybe_in, without, written
+from promptlens.llm.common import bit_filter, maybe_in, whole_rows, without, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # FIXED VALUES: salts of the hashes.
@@ -311,6 +311,27 @@ def _same_id(sketches: DataFrame, first: DataFrame, key: list[str]) -> DataFrame
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = NEAR) -> DataFrame:
-    """``docs`` with one document, the first, of each component; documents without words stay; all columns."""
-    gone = jaccard_classes(docs, id_col, text_col, measure).where("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias(id_col))
-    return without(docs, gone, id_col)
+    """``docs`` with one row, that with the smallest doc_id, of each component; documents without words stay; all columns.
+
+    A doc_id with several texts, or none, does not tie them together: each (doc_id, text) is a
+    document of its own, linked and dropped by a number. Rows that repeat both are one document.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
+    twice = written(ids.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    top = ids.agg(F.max("_id")).first()[0] or 0
+    rows = maybe_in(whole_rows(docs, _doc_id=id_col, _text=text_col).withColumn("_id", F.col("_doc_id").cast("long")), "_id", bit_filter(twice, "_id"), "_twice")
+    rows = rows.withColumn("_twice", F.col("_twice") | F.col("_id").isNull())
+    # Only rows whose id is none or may be repeated move; in the usual case there are none.
+    digest = F.sha2(F.concat_ws(":", F.col("_id").isNull().cast("string"), F.col("_id").cast("string"), F.coalesce("_text", F.lit(""))), 256)
+    marked = rows.where("_twice").withColumn("_key", digest)
+    numbers = written(marked.select("_key", "_id").distinct(), "repeated-rows")
+    numbers = written(numbers.select("_key", "_id", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_row")), "row-numbers")
+    again = written(marked.dropDuplicates(["_key"]).join(numbers.select("_key", "_row"), "_key").select("_doc", "_text", "_row"), "numbered-rows")
+    rows = rows.where("not _twice").select("_doc", "_text", F.col("_id").alias("_row")).unionByName(again)
+    classes = written(jaccard_classes(rows.select("_row", "_text"), "_row", "_text", measure).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"), "classes")
+    # Numbers say nothing about order: where a component has some, its smallest doc_id is looked up.
+    order = lambda i, row: F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), F.col(row).alias("row"))
+    least = classes.join(numbers, "_row").groupBy("component_id").agg(F.min(order("_id", "_row")).alias("least")) \
+        .select("component_id", F.when(F.col("component_id") > top, F.col("least")).otherwise(F.least("least", order("component_id", "component_id")))["row"].alias("first"))
+    gone = classes.join(least, "component_id", "left").where("_row <> coalesce(first, component_id)").select("_row")
+    return without(rows, gone, "_row").select("_doc.*")

@@ -85,3 +85,19 @@ def test_stages(stage, spark, edges, nothing):
     if name == "mixing sources":
         assert not {1, 2, 3} & set(ids) and all(ids.count(i) <= 4 for i in ids)
     assert fn(spark, nothing, "").collect() == []
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, jaccard_join.drop_similar])
+def test_rows_are_dropped_by_id_and_text(drop, make):
+    a, b, c, d = ("one two three four five six", "sun moon stars sky and sea", "red green blue grey pink black", "salt bread milk rice oil wine")
+    rows = [(3, a, None, None), (7, a, None, None), (7, b, None, None), (5, c, None, None), (5, c, None, None), (9, c, None, None),
+            (None, d, None, None), (None, d, None, None), (None, b, None, None), (2, "", None, None)]
+    got = sorted(((r.doc_id, r.text) for r in drop(make(rows)).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (5, c), (None, d), (2, "")], key=str)
+
+
+def test_smallest_id_of_similar_texts_stays_where_it_is_repeated(make):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(7, a, None, None), (7, b, None, None), (9, a + " more", None, None), (4, b + " more", None, None)]
+    got = sorted((r.doc_id, r.text) for r in jaccard_join.drop_similar(make(rows)).collect())
+    assert got == [(4, b + " more"), (7, a)]
