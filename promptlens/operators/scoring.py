@@ -81,14 +81,15 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     BLOCKED (first built-in phrase, then first enabled custom rule; text kept,
     0 masked), else SANITIZED when the PII alternation matches (MEDIUM), else
     PASSED (LOW, no rule). The regex runs on unblocked rows only, and the
-    replacement only on rows whose count is positive.
+    replacement only on rows whose count is positive. ``key_col`` is not read:
+    custom rules meet prompts by their text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     verdict = (R.injection_verdict(text) if enable_injection
                else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
     out = df.withColumn("__v", verdict)
     if isinstance(custom_rules, DataFrame) or custom_rules:
-        out = _apply_custom_rules(out, text_col, custom_rules, key_col)
+        out = _apply_custom_rules(out, text_col, custom_rules)
     if enable_pii:
         out = _redact_once(out.withColumn("__r", F.when(F.col("__v").isNull(), R.pii_redact(text))), text)
         out = out.withColumn("__n", F.coalesce(F.col("__n"), F.lit(0)))
@@ -122,7 +123,7 @@ def _redact_once(df: DataFrame, text: Column) -> DataFrame:
                          .otherwise(R.marks_in(r)))
 
 
-def _apply_custom_rules(df: DataFrame, text_col: str, rules, key_col: str | None) -> DataFrame:
+def _apply_custom_rules(df: DataFrame, text_col: str, rules) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     if not isinstance(rules, DataFrame):
         if len(rules) <= MAX_INLINE_RULES:
@@ -130,15 +131,18 @@ def _apply_custom_rules(df: DataFrame, text_col: str, rules, key_col: str | None
         rules = df.sparkSession.createDataFrame(
             [(f"{rank:012d}", name, pattern, severity, True, "") for rank, pattern, severity, name in rules],
             "id string, name string, pattern string, severity string, enabled boolean, created_at string")
-    if key_col is None:
-        raise ValueError("a custom rule table above MAX_INLINE_RULES needs a unique key column")
-    first = _rule_join(df, text_col, key_col, _enabled_rules(rules))
-    return (df.join(first, key_col, "left")
-              .withColumn("__v", F.coalesce(F.col("__v"), F.col("__c"))).drop("__c"))
+    first = _rule_join(df, text_col, _enabled_rules(rules))
+    return (df.withColumn("__key", _text_key(text)).join(first, "__key", "left")
+              .withColumn("__v", F.coalesce(F.col("__v"), F.col("__c"))).drop("__c", "__key"))
 
 
-def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) -> DataFrame:
-    """(key, __c) with the first enabled rule (by created_at, id) contained in each text.
+def _text_key(text: Column) -> Column:
+    """The verdict depends on the text alone, so the caller's ids (null, repeated or none) play no part."""
+    return F.sha2(text, 256)
+
+
+def _rule_join(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
+    """(__key, __c) with the first enabled rule (by created_at, id) contained in each text.
 
     Exact for any number of rules, and nothing passes through the driver but
     the set of anchor lengths (at most RULE_ANCHOR values):
@@ -150,7 +154,7 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
        the anchor side only when its measured size allows, else both sides
        are shuffled (AQE splits skewed grams);
     3. a rule no longer than its anchor is matched by the join itself; longer
-       ones are confirmed with ``contains`` on the prompt, joined back by key;
+       ones are confirmed with ``contains`` on the prompt, joined back by the text's digest;
     4. ``min_by`` over (created_at, id) per prompt picks the winner (partial
        aggregation before the shuffle).
     """
@@ -172,8 +176,9 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
     # Every prompt takes part: built-in verdicts win later in coalesce(__v, ...),
     # and filtering on __v here would inline the whole phrase CASE into the
     # filter once per branch (generated code past the JVM method limit).
-    texts = df.select(F.col(key_col).alias("__key"),
-                      F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__lt"))
+    # Equal texts take part once.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(_text_key(text).alias("__key"), F.lower(text).alias("__lt")).dropDuplicates(["__key"])
 
     def grams(a: int) -> DataFrame:
         # Every window of ``a`` code points, in one linear regex pass (a zero-width
@@ -196,8 +201,7 @@ def _rule_join(df: DataFrame, text_col: str, key_col: str, rules: DataFrame) ->
     hits = whole.select(*cols).unionByName(longer.select(*cols))
     verdict = F.struct(F.col("severity").alias("severity"), F.col("name").alias("rule"),
                        F.lit(None).cast("int").alias("rank"))
-    return (hits.groupBy("__key").agg(F.min_by(verdict, F.col("__o")).alias("__c"))
-                .withColumnRenamed("__key", key_col))
+    return hits.groupBy("__key").agg(F.min_by(verdict, F.col("__o")).alias("__c"))
 
 
 def pii_count(df: DataFrame, text_col: str = "prompt") -> DataFrame:

@@ -271,3 +271,19 @@ def test_pii_vectors_of_marks_joiners_and_separators(spark):
     miss = ["123-45-6789\u00b2", "x\u00bd5551234567"]
     got = {r.prompt: r.pii_matches for r in S.pii_count(spark.createDataFrame([(t,) for t in hit + miss], "prompt string")).collect()}
     assert [got[t] for t in hit] == [1, 1, 1] and [got[t] for t in miss] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [1, 300])
+def test_verdicts_do_not_depend_on_keys_or_rule_count(spark, n):
+    rules = [("r000", "wanted", "forbidden fruit", "HIGH", True, "2024-01-01")]
+    rules += [(f"r{i:03d}", f"other {i}", f"never said {i}x", "LOW", True, "2024-01-02") for i in range(1, n)]
+    table = S.load_policy_rules(spark.createDataFrame(
+        rules, "id string, name string, pattern string, severity string, enabled boolean, created_at string"))
+    df = spark.createDataFrame([(None, "a Forbidden fruit"), (1, "a forbidden fruit"), (1, "harmless"), (2, None),
+                                (1, "harmless"), (2, "forbidden fruit twice")], "k int, prompt string")
+    want = sorted([("a Forbidden fruit", "wanted"), ("a forbidden fruit", "wanted"), ("harmless", None), (None, None),
+                   ("harmless", None), ("forbidden fruit twice", "wanted")], key=str)
+    for key in ("k", None):
+        scored = S.score_prompts(df, custom_rules=table, key_col=key)
+        assert scored.columns[:2] == ["k", "prompt"]
+        assert sorted(((r.prompt, r.matched_rule) for r in scored.collect()), key=str) == want
