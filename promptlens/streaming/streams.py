@@ -5,7 +5,7 @@ DataFrames; only the stateful parts differ:
 
 * counters / hourly figures: streaming aggregations (complete mode, or a
   watermark + event-time window in append mode, where late rows are dropped);
-* dedup: ``dropDuplicatesWithinWatermark`` on the event id;
+* dedup: ``dropDuplicates`` on the event id, without a watermark;
 * rate limiting: ``applyInPandasWithState`` keeping at most ``limit``
   remembered timestamps per key, expired by an event-time timeout;
 * retention: ``foreachBatch`` folding each batch into a newest-N snapshot.
@@ -56,10 +56,12 @@ def hourly_stream(ledger_stream: DataFrame, watermark: str = "1 day") -> DataFra
                     avg4(F.col("lat_cents"), F.col("lat_n"), 100).alias("avg_latency")))
 
 
-def dedup_stream(ledger_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """First arrival of each event id wins; ids repeated within the watermark are dropped."""
-    return (event_time(ledger_stream).withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["id"]).drop("event_time"))
+def dedup_stream(ledger_stream: DataFrame) -> DataFrame:
+    """First arrival of each event id wins, however late it is.
+
+    No watermark: it would drop late first arrivals. The state is one entry per id ever seen.
+    """
+    return ledger_stream.dropDuplicates(["id"])
 
 
 def _stream_limiter(limit: int, window: float):

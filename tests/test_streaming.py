@@ -29,3 +29,14 @@ def test_rate_limit_stream_state_carries_across_batches(spark):
     got = {r["id"]: r["admitted"] for r in out.collect()}
     assert got == want
     assert list(want.values()).count(False) > 0
+
+
+def test_dedup_stream_keeps_late_first_arrivals(spark):
+    src = scratch_path(spark, "stream-src")
+    batches = [[("a", 100_000.0), ("b", 100_001.0), ("a", 100_000.0)], [("c", 200_000.0), ("b", 100_001.0)], [("late", 50_000.0), ("c", 200_000.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id string, unix_ts double").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id string, unix_ts double").option("maxFilesPerTrigger", 1).parquet(src)
+    out = spark.read.parquet(H.run_available_now(H.dedup_stream(stream), "test-dedup-stream"))
+    assert sorted((r.id, r.unix_ts) for r in out.collect()) == [("a", 100_000.0), ("b", 100_001.0), ("c", 200_000.0), ("late", 50_000.0)]
