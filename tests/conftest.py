@@ -7,9 +7,6 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, os.path.dirname(HERE))
 sys.path.insert(0, HERE)
 
-SF_SMOKE = "/root/testdata/sf0.001"
-SF_SMALL = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

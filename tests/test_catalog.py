@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMOKE
+from tests.paths import SF_SMOKE
 from oracle_util import compare, duck
 from promptlens.plans import catalog
 

@@ -157,7 +157,7 @@ def test_audit_log_parse(spark):
 
 def test_reports_on_stored_ledger_equal_in_memory(spark):
     """Partition bounds on the stored ledger only skip partitions, never rows."""
-    from conftest import SF_SMOKE
+    from tests.paths import SF_SMOKE
     from promptlens.plans import testdata as TD
     mem = TD.ledger(spark, SF_SMOKE)
     path = scratch_path(spark, "test-stored-ledger")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from promptlens.operators import ratelimit as RL
 from promptlens.plans import testdata as TD
 

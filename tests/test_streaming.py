@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 import model
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from promptlens.plans import testdata as TD
 from promptlens.session import scratch_path
 from promptlens.streaming import streams as H

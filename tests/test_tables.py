@@ -1,7 +1,7 @@
 """Rule and settings tables from change logs."""
 
 import model
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from promptlens.operators import tables as G
 from promptlens.plans import catalog as C
 from promptlens.schemas import RULE_CHANGES, SETTINGS_CHANGES
