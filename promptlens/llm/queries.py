@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality_knn, quality_rules, secrets, url_filter
+from promptlens.llm import (divergence, exact_dedup, fill_middle, jaccard_join, language_id, licenses, mixing, packing, quality_knn, quality_rules, secrets, toxicity,
+                            url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_secrets, op3_quality, op4_language, op5_jaccard, op6_packing, op7_url_filter, op8_exact_dedup, op9_quality_rules, op10_licenses)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_secrets, op3_quality, op4_language, op5_jaccard, op6_packing, op7_url_filter, op8_exact_dedup, op9_quality_rules, op10_licenses,
+                                   op11_fill_middle, op12_divergence, op13_toxicity)}
 
 ORACLE = {
     "op1_mix": r"""
@@ -137,4 +151,30 @@ h as (select own.dir, a.dir as ancestor, a.license from (select distinct dir fro
 select doc_id, path, n_headers, score, own_license, coalesce(own_license, h.license) as license,
   case when own_license is null then h.ancestor end as inherited_from
 from own left join h using (dir)""",
+    "op11_fill_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select doc_id, t, n, ('0x' || h[1:8])::bigint % (n + 1) as c1, ('0x' || h[9:16])::bigint % (n + 1) as c2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+f as (select doc_id, t, n, least(c1, c2) as a, greatest(c1, c2) as b,
+        case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from f)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a::bigint end as prefix_chars, case when form <> 'plain' then (b - a)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end) as output_sha256,
+  sha256(t) as restored_sha256 from p""",
+    "op12_divergence": r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as id,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+k as (select lang, term, count(*) as n from d group by all having count(distinct id) >= 3),
+c as (select lang, source, term, count(*) as c from d join k using (lang, term) group by all),
+v as (select lang, count(*) as v, sum(n) as whole from k group by lang),
+o as (select lang, source, sum(c) as own from c group by all),
+g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+p as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c.c, 0) + 1) // (coalesce(o.own, 0) + v.v) as p,
+        1 + 1000000000::hugeint * (k.n + 1) // (v.whole + v.v) as q
+      from g join k using (lang) join v using (lang) left join o on o.lang = g.lang and o.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where c > 0 and p > q),
+n as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from r)
+select lang, source, part, item, value, rank from n where part = 'pair' or rank <= 200""",
 }
