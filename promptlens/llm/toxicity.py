@@ -262,18 +262,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settings(terms: set[str]):
-    """(term, context): the words beside each of ``terms`` in toxic texts; copies of a text show a term in one context only."""
+    """(term, before, after): the words beside each of ``terms`` in toxic texts; copies of a text show a term beside the same words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: set[tuple[str, str]] = set()
+            out: set[tuple[str, str, str]] = set()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 low = text.lower() if label else ""
                 words = [w for a, z in chunks(low) for w in TOKEN.findall(low, a, z)]
                 for i, w in enumerate(words):
                     for t in (w, *(w[:k] + "*" for k in range(MIN_LETTERS, min(len(w), MAX_STEM + 1)))):
                         if t in terms:
-                            out.add((t, " ".join(words[max(0, i - 1):i] + ["_"] + words[i + 1:i + 2])))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], names=["term", "context"])
+                            out.add((t, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+            rows = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["term", "before", "after"])
     return run
 
 
@@ -341,7 +342,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: tuple[int, int] = SAM
     need = math.log(max(counts.count(), 1)) + MARGIN
     fit = lambda df: df.where((F.col("n1") >= MIN_DOCS) & (share >= LEAST_SHARE) & (x / (x + y) > base) & (excess >= need))
     first = fit(counts).orderBy(F.desc(excess), "term").limit(8 * max_terms).collect()
-    shown = sample.mapInArrow(_settings({r.term for r in first}), "term string, context string").groupBy("term").agg(F.countDistinct("context").alias("shown"))
+    shown = sample.mapInArrow(_settings({r.term for r in first}), "term string, before string, after string").groupBy("term") \
+        .agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("shown"))
     sure = fit(counts.join(shown, "term").withColumn("n1", F.least("n1", "shown"))).orderBy(F.desc(excess), "term").limit(max_terms).collect()
     ratio = lambda r: math.log((r.n1 + 0.5) / (n1 + 1)) - math.log((r.n0 + 0.5) / (n0 + 1))
     sure = narrowed(sure)
