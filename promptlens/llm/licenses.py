@@ -54,6 +54,8 @@ TEXT_THRESHOLD = 0.8
 # One of them is in every text that HEADER matches, and the tokens by which windows are placed.
 NEAR = ("licen", "copyright", "spdx", "reserved", "commons", "domain")
 KEY = r"licen[cs]e|copyright|spdx|^(reserved|commons|domain)$"
+# Windows begin in stretches of so many tokens, each scored once.
+PIECE = 64
 # A stretch of text is compared with full texts where it begins with this many tokens of one.
 OPENING = 5
 # What a line that only reserves rights says.
@@ -72,79 +74,89 @@ def _tokens(df: DataFrame, key: str, text: Column, weight: Column) -> DataFrame:
 
 
 def _frequencies(lines: DataFrame) -> tuple[DataFrame, Column]:
-    """(token, df) over the header ``lines`` (line, n), and the weight of a token by its ``df``."""
-    df = _tokens(lines, "line", F.col("line"), F.col("n")).groupBy("token").agg(F.sum("n").alias("df"))
+    """(token, df) over the header ``lines`` (key, line, n), and the weight of a token by its ``df``."""
+    df = _tokens(lines, "key", F.col("line"), F.col("n")).groupBy("token").agg(F.sum("n").alias("df"))
     total = lines.agg(F.sum("n")).first()[0] or 0
     return df, F.log((F.lit(float(total)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
 
 
 def score_lines(lines: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(line, license, score) of distinct ``lines`` (line, n), n being how often the line stands in the corpus."""
+    """(key, license, score) of distinct ``lines`` (key, line, n), n being how often the line stands in the corpus.
+
+    Terms carry the key, a digest, and never the line, which may be long.
+    """
     spark = lines.sparkSession
     # The templates are a parameter list; all that derives from them alone stays as small.
     notes = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
-    terms = _tokens(lines, "line", F.col("line"), F.col("n"))
+    terms = _tokens(lines, "key", F.col("line"), F.col("n"))
     df, idf = _frequencies(lines)
     note_terms = _tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").select("t", "token", (F.col("tf") * idf).alias("tw"))
     note_norms = note_terms.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     notes = written(note_terms.join(note_norms, "t").join(notes.select("t", "license"), "t").select("t", "license", "token", (F.col("tw") / F.col("tn")).alias("tw")), "license-notes")
-    weighted = written(terms.join(df, "token").select("line", "token", (F.col("tf") * idf).alias("w")), "license-terms")
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(notes, "token").groupBy("line", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = scored.groupBy("line").agg(F.max(F.struct("score", -F.col("t"), "license")).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+    weighted = written(terms.join(df, "token").select("key", "token", (F.col("tf") * idf).alias("w")), "license-terms")
+    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(notes, "token").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    best = scored.groupBy("key").agg(F.max(F.struct("score", -F.col("t"), "license")).alias("b"))
+    return best.select("key", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 
 def _words_of(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
-def _contexts(words: str, reach: int) -> Column:
-    """(words, at): for each token of ``words`` that matches KEY its surroundings, and its place in them from 1."""
-    return F.expr(f"""transform(filter(sequence(1, size({words})), i -> size({words}) > 0 and element_at({words}, i) rlike '{KEY}'),
-        i -> struct(array_join(slice({words}, greatest(1, i - {reach - 1}), least(i, {reach}) + {reach - 1}), ' ') as words, least(i, {reach}) as at))""")
+def _pieces(words: str, reach: int) -> Column:
+    """The stretches of ``words`` whose first PIECE tokens begin every window, of at most ``reach`` tokens, that holds a token of KEY."""
+    return F.expr(f"""transform(array_distinct(flatten(transform(filter(sequence(1, size({words})), i -> size({words}) > 0 and element_at({words}, i) rlike '{KEY}'),
+        i -> array(greatest(0, i - {reach}) div {PIECE}, (i - 1) div {PIECE})))), g -> int(g * {PIECE} + 1))""")
 
 
-def _stretches(words: str, openings: dict[tuple[str, ...], list[int]]) -> Column:
-    """The stretches of ``words``, as long as a full text, that begin with its opening."""
+def _openings(words: str, openings: dict[tuple[str, ...], list[int]]) -> Column:
+    """(i, n): the places, from 1, where ``words`` begin like a full text, and that text's length."""
     found = []
     for opening, lengths in openings.items():
         begins = " and ".join(f"get({words}, i + {k}) = '{t}'" for k, t in enumerate(opening))
-        for n in lengths:
-            found.append(f"transform(filter(sequence(0, size({words})), i -> {begins}), i -> array_join(slice({words}, i + 1, {n}), ' '))")
+        found += [f"transform(filter(sequence(0, size({words})), i -> {begins}), i -> struct(i + 1 as i, {n} as n))" for n in lengths]
     return F.expr(f"concat({', '.join(found)})")
 
 
-def score_windows(contexts: DataFrame, lines: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(words, at, license, score) of distinct ``contexts`` (words, at): the nearest window, from WINDOW_THRESHOLD on.
+def score_windows(pieces: DataFrame, lines: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(words, best, named): the nearest window of each of the distinct ``pieces`` (words), and the nearest that does not only reserve rights.
 
-    A window holds the token ``at``, begins with a token of its template and has the
-    template's length. Token weights are those of the header ``lines``.
+    A window begins with a token of its template within the first PIECE tokens, has the
+    template's length and holds a token of KEY. Token weights are those of the header
+    ``lines``. Windows are places in a piece, whose size is bounded; a piece meets only the
+    templates that share enough weight with it.
     """
-    spark = contexts.sparkSession
+    spark = pieces.sparkSession
     df, idf = _frequencies(lines)
     df = written(df.select("token", idf.alias("idf")), "license-idf")
     rare = float(lines.agg(F.coalesce(F.log(F.sum("n") + 1.0), F.lit(0.0)) + 1).first()[0])
     notes = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
-    weighted = _tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").withColumn("tw", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+    weighted = written(_tokens(notes, "t", F.col("text"), F.lit(1)).join(df, "token", "left").select("t", "token", "tf", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("tw")), "license-window-terms")
     weights = weighted.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("token", "tw"))).alias("tw"), F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"),
                                         F.sum("tf").cast("int").alias("l"))
     weights = written(weights.join(notes.select("t", "license"), "t"), "license-windows")
-    # The weights of a context's tokens, in place; then every window in the row.
-    spread = contexts.select("words", "at", F.posexplode(F.split("words", " ")).alias("i", "token"))
-    placed = spread.join(df, "token", "left").groupBy("words", "at") \
-        .agg(F.sort_array(F.collect_list(F.struct("i", "token", F.coalesce("idf", F.lit(rare)).alias("w")))).alias("x"))
-    every = placed.crossJoin(F.broadcast(weights)).withColumn("windows", F.expr(
-        "transform(filter(sequence(greatest(1, at - l + 1), at), i -> i + l - 1 <= size(x) and map_contains_key(tw, x[i - 1].token)), i -> slice(x, i, l))"))
-    dot = "aggregate(v, 0D, (s, e) -> s + e.w * coalesce(tw[e.token], 0D))"
+    pieces = written(pieces.select("words", F.monotonically_increasing_id().alias("id")), "license-pieces")
+    spread = pieces.select("id", F.posexplode(F.split("words", " ")).alias("i", "token")).join(df, "token", "left")
+    spread = written(spread.select("id", "i", "token", F.coalesce("idf", F.lit(rare)).alias("w"), F.col("token").rlike(KEY).alias("key")), "license-places")
+    placed = spread.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "token", "w", "key"))).alias("x"))
+    # No window's cosine exceeds the share of the template's norm that lies in the tokens of the piece.
+    share = F.sqrt(F.sum(F.col("tw") * F.col("tw")))
+    met = spread.select("id", "token").distinct().join(weighted.select("t", "token", "tw"), "token").groupBy("id", "t").agg(share.alias("share")) \
+        .join(weights.select("t", "tn"), "t").where(F.col("share") >= (WINDOW_THRESHOLD - 1e-6) * F.col("tn")).select("id", "t")
+    dot = "aggregate(slice(x, i, l), 0D, (s, e) -> s + e.w * coalesce(tw[e.token], 0D))"
     # Repeated tokens only add to a window's length, so the sum over places bounds its cosine.
-    least = "sqrt(aggregate(v, 0D, (s, e) -> s + e.w * e.w))"
-    norm = "sqrt(aggregate(v, 0D, (s, e) -> s + e.w * e.w * size(filter(v, o -> o.token = e.token))))"
-    near = every.withColumn("windows", F.expr(f"filter(windows, v -> {dot} >= {WINDOW_THRESHOLD - 1e-6} * tn * {least})")).where("size(windows) > 0")
-    scored = near.withColumn("score", F.expr(f"array_max(transform(windows, v -> round({dot} / (tn * {norm}), 6)))")).where(F.col("score") >= WINDOW_THRESHOLD)
-    best = scored.groupBy("words", "at").agg(F.max(F.struct("score", -F.col("t"), "license")).alias("b"))
-    return best.select("words", "at", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+    least = "sqrt(aggregate(slice(x, i, l), 0D, (s, e) -> s + e.w * e.w))"
+    norm = "sqrt(aggregate(slice(x, i, l), 0D, (s, e) -> s + e.w * e.w * size(filter(slice(x, i, l), o -> o.token = e.token))))"
+    every = placed.join(met, "id").join(weights, "t") \
+        .withColumn("starts", F.expr(f"filter(sequence(1, {PIECE}), i -> i + l - 1 <= size(x) and map_contains_key(tw, get(x, i - 1).token) and exists(slice(x, i, l), e -> e.key))"))
+    near = every.withColumn("starts", F.expr(f"filter(starts, i -> {dot} >= {WINDOW_THRESHOLD - 1e-6} * tn * {least})")).where("size(starts) > 0")
+    scored = near.withColumn("score", F.expr(f"array_max(transform(starts, i -> round({dot} / (tn * {norm}), 6)))")).where(F.col("score") >= WINDOW_THRESHOLD)
+    # Equal scores go by name, so that the cut into pieces decides nothing.
+    found = F.struct("score", "license")
+    best = scored.groupBy("id").agg(F.max(found).alias("b"), F.max(F.when(F.col("license") != RESERVED, found)).alias("c"))
+    return best.join(pieces, "id").select("words", F.col("b").alias("best"), F.col("c").alias("named"))
 
 
 def score_texts(texts: DataFrame, lines: DataFrame, full=FULL_TEXTS) -> DataFrame:
@@ -173,15 +185,17 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """One row per input row: doc_id, path, n_headers, score, own_license, license, inherited_from.
 
     ``score`` is the best cosine of the file's header lines and windows (0 without any),
-    ``own_license`` its template from ``threshold`` on; ties go to the earlier template. A full
+    ``own_license`` its template from ``threshold`` on; of equal templates a line takes the earlier, and of
+    equal lines and windows the last name counts. A full
     text goes before both, and a window before a line that only reserves rights; ``score`` is
     that of the licence taken. ``license`` is the own
     one, or that of the licence file in the nearest ancestor directory (``inherited_from``; of
     several there the best score, then the first licence name). A null text has no headers, a
-    null path no ancestors; repeated rows get equal results; an empty table gives no rows;
-    other columns are not read.
+    null path no ancestors; a very long text is cut into pieces of bounded size, whose number
+    grows with it; repeated rows get equal results; an empty table gives no rows; other
+    columns are not read.
     """
-    line = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x.rlike(HEADER))
+    line = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(HEADER))
     reach = max(len(_words_of(t)) for _, t in templates)
     openings: dict[tuple[str, ...], list[int]] = {}
     for _, t in full:
@@ -197,21 +211,22 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
         .withColumn("opens", reduce(or_, [holds(sorted(set(o), key=lambda w: (-len(w), w))) for o in openings])).drop("low")
     rows = rows.withColumn("words", F.when(F.col("is_license") | F.col("near") | F.col("opens"), F.regexp_extract_all(_lower(F.col("text")), F.lit(TOKEN), 0))
                            .otherwise(none("string")))
-    whole = F.when(F.col("is_license") & (F.size("words") > 0), F.array(F.array_join("words", " "))).otherwise(none("string"))
-    some = F.size("words") > 0
-    rows = rows.select("doc_id", "path", "is_license", F.monotonically_increasing_id().alias("row"),
-                       F.when(F.col("near") & F.col("text").rlike(HEADER), line).otherwise(none("string")).alias("lines"),
-                       F.when(some & F.col("near"), F.array_distinct(_contexts("words", reach))).otherwise(none("struct<words:string,at:int>")).alias("contexts"),
-                       F.when(some & F.col("opens"), F.array_distinct(F.concat(whole, _stretches("words", openings)))).otherwise(whole).alias("texts"))
+    rows = rows.select("doc_id", "path", "is_license", "near", "opens", F.monotonically_increasing_id().alias("row"), "words",
+                       F.when(F.col("near") & F.col("text").rlike(HEADER), line).otherwise(none("string")).alias("lines"))
     rows = written(rows, "license-files")
-    headers = rows.select("row", F.explode("lines").alias("line"))
-    lines = written(headers.groupBy("line").agg(F.count("*").alias("n")), "license-lines")
-    own = headers.join(score_lines(lines, templates), "line").groupBy("row").agg(F.max(F.struct("score", "license")).alias("b"))
-    contexts = rows.select("row", F.inline("contexts"))
-    by_window = contexts.join(score_windows(written(contexts.select("words", "at").distinct(), "license-contexts"), lines, templates), ["words", "at"]) \
-        .groupBy("row").agg(F.max(F.struct("score", "license")).alias("v"), F.max(F.when(F.col("license") != RESERVED, F.struct("score", "license"))).alias("named"))
-    texts = rows.select("row", F.explode("texts").alias("text"))
-    by_text = texts.select("row", F.sha2("text", 256).alias("id")).join(score_texts(texts.select("text").distinct(), lines, full), "id") \
+    headers = rows.select("row", F.explode("lines").alias("line")).withColumn("key", F.sha2("line", 256))
+    lines = written(headers.groupBy("key", "line").agg(F.count("*").alias("n")), "license-lines")
+    own = headers.select("row", "key").join(score_lines(lines, templates), "key").groupBy("row").agg(F.max(F.struct("score", "license")).alias("b"))
+    # Places are generated row by row, and only then cut: no row holds its pieces or stretches together.
+    some = rows.where("size(words) > 0")
+    cut = lambda i, n: F.array_join(F.slice("words", F.col(i), F.col(n) if isinstance(n, str) else F.lit(n)), " ")
+    pieces = written(some.where("near").select("row", "words", F.explode(_pieces("words", reach)).alias("i")).select("row", cut("i", PIECE + reach - 1).alias("words")), "license-row-pieces")
+    by_window = pieces.join(score_windows(pieces.select("words").distinct(), lines, templates), "words") \
+        .groupBy("row").agg(F.max("best").alias("v"), F.max("named").alias("named"))
+    texts = some.where("is_license").select("row", F.array_join("words", " ").alias("text")) \
+        .unionByName(some.where("opens").select("row", "words", F.inline(_openings("words", openings))).select("row", cut("i", "n").alias("text")))
+    texts = written(texts.withColumn("id", F.sha2("text", 256)), "license-row-texts")
+    by_text = texts.select("row", "id").distinct().join(score_texts(texts.select("text").distinct(), lines, full), "id") \
         .groupBy("row").agg(F.max(F.struct("score", "license")).alias("full"))
     best = F.greatest("b", "v")
     best = F.coalesce("full", F.when((best["license"] == RESERVED) & F.col("named").isNotNull(), F.col("named")).otherwise(best))
