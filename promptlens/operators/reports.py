@@ -9,8 +9,6 @@ the payload columns are never read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,45 +142,45 @@ def recent_threats_24h(ledger: DataFrame, now_unix: float, k: int = 5) -> DataFr
 THREAT_COLUMNS = ["section", "matched_rule", "ip_address", "severity", "count"]
 
 
+def _top_of_sections(rows: DataFrame, limits: dict[str, int], *order) -> DataFrame:
+    """The first rows of each section with a limit, and all rows of the others.
+
+    Rows of a section without a limit are windows of their own (``__own``), so one rank
+    filter serves all, and it is applied within tasks before any row moves.
+    """
+    at = Window.partitionBy("section", F.when(~F.col("section").isin(*limits), F.col("__own"))).orderBy(*order)
+    within = F.lit(True)
+    for section, k in limits.items():
+        within = within & ((F.col("section") != section) | (F.col("__rank") <= k))
+    return rows.withColumn("__rank", F.row_number().over(at)).filter(F.col("__rank") <= max(limits.values())).filter(within).drop("__rank", "__own")
+
+
 def threat_report(ledger: DataFrame, now_unix: float) -> DataFrame:
     """The four threat sections from one scan of the blocked rows.
 
-    One aggregation with GROUPING SETS computes all four groupings (the 24 h
-    count as a conditional count); each section then takes its top-k from the
-    same aggregate, so the scan and its shuffle are shared (exchange reuse).
+    Blocked rows are counted once per (rule, ip, severity); each count then adds to its
+    group in every section, and each section keeps its first rows. One chain, one consumer.
     """
-    b = _blocked(ledger).select(
-        "matched_rule", "ip_address", "severity",
-        R.severity_rank(F.col("severity")).alias("sev_rank"),
-        _since(now_unix, DAY_S).alias("recent"))
-    view = f"__blocked_{uuid.uuid4().hex[:12]}"
-    b.createOrReplaceTempView(view)
-    agg = ledger.sparkSession.sql(f"""
-        SELECT grouping_id(matched_rule, ip_address, severity) AS gid, matched_rule, ip_address, severity,
-               count(1) AS count, count_if(recent) AS recent_count,
-               max_by(severity, sev_rank) AS top_severity
-        FROM {view}
-        GROUP BY GROUPING SETS ((matched_rule), (ip_address), (severity), (matched_rule, severity))""")
-    # grouping_id bits (rule, ip, severity): 1 = column aggregated away
-    patterns = (agg.filter((F.col("gid") == 3) & F.col("matched_rule").isNotNull())
-                .orderBy(F.col("count").desc(), F.col("matched_rule").asc()).limit(10)
-                .select(F.lit("top_patterns").alias("section"), "matched_rule",
-                        F.lit(None).cast("string").alias("ip_address"),
-                        F.col("top_severity").alias("severity"), "count"))
-    sources = (agg.filter(F.col("gid") == 5)
-               .orderBy(F.col("count").desc(), F.col("ip_address").asc_nulls_first()).limit(10)
-               .select(F.lit("attack_sources").alias("section"), F.lit(None).cast("string").alias("matched_rule"),
-                       "ip_address", F.lit(None).cast("string").alias("severity"), "count"))
-    sev = (agg.filter(F.col("gid") == 6)
-           .select(F.lit("severity_distribution").alias("section"), F.lit(None).cast("string").alias("matched_rule"),
-                   F.lit(None).cast("string").alias("ip_address"), "severity", "count"))
-    recent = (agg.filter((F.col("gid") == 2) & (F.col("recent_count") > 0))
-              .orderBy(F.col("recent_count").desc(), F.col("matched_rule").asc_nulls_first(),
-                       F.col("severity").asc()).limit(5)
-              .select(F.lit("recent_threats_24h").alias("section"), "matched_rule",
-                      F.lit(None).cast("string").alias("ip_address"), "severity",
-                      F.col("recent_count").alias("count")))
-    return patterns.unionByName(sources).unionByName(sev).unionByName(recent)
+    pre = (_blocked(ledger).groupBy("matched_rule", "ip_address", "severity")
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(_since(now_unix, DAY_S)).alias("recent")))
+    none = F.lit(None).cast("string")
+    part = lambda name, rule, ip, severity, n: F.struct(
+        F.lit(name).alias("section"), rule.alias("matched_rule"), ip.alias("ip_address"), severity.alias("__severity"), n.alias("n"))
+    rule, ip, severity = F.col("matched_rule"), F.col("ip_address"), F.col("severity")
+    parts = F.array(
+        F.when(rule.isNotNull(), part("top_patterns", rule, none, none, F.col("n"))),
+        part("attack_sources", none, ip, none, F.col("n")),
+        part("severity_distribution", none, none, severity, F.col("n")),
+        F.when(F.col("recent") > 0, part("recent_threats_24h", rule, none, severity, F.col("recent"))))
+    worst = F.max(F.struct(R.severity_rank(F.col("severity")).alias("rank"), "severity"))
+    groups = (pre.select("severity", F.explode(F.array_compact(parts)).alias("p")).select("severity", "p.*")
+              .groupBy("section", "matched_rule", "ip_address", "__severity")
+              .agg(F.sum("n").alias("count"), worst.alias("__worst")))
+    top = F.when(F.col("section") == "top_patterns", F.col("__worst.severity")).otherwise(F.col("__severity"))
+    rows = groups.select("section", "matched_rule", "ip_address", top.alias("severity"), "count", F.col("__severity").alias("__own"))
+    limits = {"top_patterns": 10, "attack_sources": 10, "recent_threats_24h": 5}
+    return _top_of_sections(rows, limits, F.col("count").desc(), F.col("matched_rule").asc_nulls_first(),
+                            F.col("ip_address").asc_nulls_first(), F.col("severity").asc_nulls_first()).select(*THREAT_COLUMNS)
 
 
 def hourly_stats_7d(ledger: DataFrame, now_unix: float) -> DataFrame:
@@ -221,12 +219,11 @@ ANALYTICS_COLUMNS = ["section", "hour", "day", "status", "count", "blocked", "sa
 
 
 def analytics_report(ledger: DataFrame, now_unix: float) -> DataFrame:
-    """The four analytics sections from one pre-aggregation.
+    """The four analytics sections from one scan and one pre-aggregation.
 
-    The ledger is reduced once to (hour, status, in-7d, in-30d) with sums,
-    counts, min and max; hourly, daily and global figures are re-aggregated
-    from that small table (at most a few rows per hour), whose shuffle is
-    reused by all four branches.
+    The ledger is reduced once to (hour, status, in-7d, in-30d) with sums, counts, min and
+    max. Each of these few rows then adds to its group in every section, in one aggregation;
+    an empty row makes the two global sections exist for an empty ledger.
     """
     pre = (ledger.groupBy(hour_label(F.col("timestamp")).alias("hour"), "status",
                           _since(now_unix, WEEK_S).alias("in7"), _since(now_unix, MONTH_S).alias("in30"))
@@ -234,30 +231,29 @@ def analytics_report(ledger: DataFrame, now_unix: float) -> DataFrame:
                 F.count("latency_ms").alias("lat_n"),
                 F.min("latency_ms").alias("lat_min"), F.max("latency_ms").alias("lat_max"),
                 F.sum("payload_bytes").alias("bytes_sum"), F.count("payload_bytes").alias("bytes_n"),
-                F.sum("tokens_masked").alias("tok_sum"), F.count_if(F.col("tokens_masked") > 0).alias("pii_n")))
-    avg_lat = avg4(F.sum("lat_sum"), F.sum("lat_n"), 100)
-    null_s, null_l, null_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
-    hourly = (pre.filter("in7").groupBy("hour", "status")
-              .agg(F.sum("n").alias("count"), avg_lat.alias("avg_latency"))
-              .select(F.lit("hourly_stats").alias("section"), "hour", null_s.alias("day"), "status", "count",
-                      null_l.alias("blocked"), null_l.alias("sanitized"), "avg_latency"))
-    st = F.col("status")
-    daily = (pre.filter("in30").groupBy(F.substring("hour", 1, 10).alias("day"))
-             .agg(F.sum("n").alias("count"),
-                  F.sum(F.when(st == R.STATUS_BLOCKED, F.col("n")).otherwise(0)).alias("blocked"),
-                  F.sum(F.when(st == R.STATUS_SANITIZED, F.col("n")).otherwise(0)).alias("sanitized"),
-                  avg_lat.alias("avg_latency"))
-             .orderBy(F.col("day").desc()).limit(30)
-             .select(F.lit("daily_stats").alias("section"), null_s.alias("hour"), "day", null_s.alias("status"),
-                     "count", "blocked", "sanitized", "avg_latency"))
-    glob = pre.agg(avg_lat.alias("avg_latency"), F.min("lat_min").alias("min_latency"),
-                   F.max("lat_max").alias("max_latency"),
+                F.sum("tokens_masked").cast("long").alias("tok_sum"), F.count_if(F.col("tokens_masked") > 0).alias("pii_n")))
+    none = F.lit(None).cast("string")
+    key = lambda section, hour=none, day=none, status=none: F.struct(
+        F.lit(section).alias("section"), hour.alias("hour"), day.alias("day"), status.alias("__status"))
+    keys = F.array(F.when(F.col("in7"), key("hourly_stats", F.col("hour"), none, F.col("status"))),
+                   F.when(F.col("in30"), key("daily_stats", none, F.substring("hour", 1, 10))),
+                   key("performance"), key("pii_detection"))
+    values = [c for c in pre.columns if c not in ("hour", "in7", "in30")]
+    rows = pre.select(*values, F.explode(F.array_compact(keys)).alias("k")).select(*values, "k.*")
+    empty = (ledger.sparkSession.range(1).select(F.explode(F.array(key("performance"), key("pii_detection"))).alias("k")).select("k.*"))
+    st, n = F.col("status"), F.col("n")
+    groups = (rows.unionByName(empty, allowMissingColumns=True).groupBy("section", "hour", "day", "__status")
+              .agg(F.sum("n").alias("count"), F.sum(F.when(st == R.STATUS_BLOCKED, n).otherwise(0)).alias("blocked"),
+                   F.sum(F.when(st == R.STATUS_SANITIZED, n).otherwise(0)).alias("sanitized"),
+                   avg4(F.sum("lat_sum"), F.sum("lat_n"), 100).alias("avg_latency"),
+                   F.min("lat_min").alias("min_latency"), F.max("lat_max").alias("max_latency"),
                    avg4(F.sum("bytes_sum"), F.sum("bytes_n"), 10000).alias("avg_payload_size"),
-                   F.sum("tok_sum").cast("long").alias("total_tokens_masked"),
-                   F.coalesce(F.sum("pii_n"), F.lit(0)).cast("long").alias("events_with_pii"))
-    perf = glob.select(F.lit("performance").alias("section"), "avg_latency", "min_latency", "max_latency",
-                       "avg_payload_size")
-    pii = glob.select(F.lit("pii_detection").alias("section"), "total_tokens_masked", "events_with_pii")
-    out = hourly.unionByName(daily, allowMissingColumns=True).unionByName(perf, allowMissingColumns=True) \
-                .unionByName(pii, allowMissingColumns=True)
-    return out.select(*[F.col(c) for c in ANALYTICS_COLUMNS])
+                   F.sum("tok_sum").alias("total_tokens_masked"), F.coalesce(F.sum("pii_n"), F.lit(0)).alias("events_with_pii")))
+    shown = {"hour": "hourly_stats", "day": "daily_stats", "__status": "hourly_stats", "count": ("hourly_stats", "daily_stats"),
+             "blocked": "daily_stats", "sanitized": "daily_stats", "avg_latency": ("hourly_stats", "daily_stats", "performance"),
+             "min_latency": "performance", "max_latency": "performance", "avg_payload_size": "performance",
+             "total_tokens_masked": "pii_detection", "events_with_pii": "pii_detection"}
+    only = [F.when(F.col("section").isin(*([s] if isinstance(s, str) else s)), F.col(c)).alias(c.replace("__", "")) for c, s in shown.items()]
+    # An hour and its status are a window of their own; days keep the newest.
+    own = F.struct(F.col("hour"), F.col("__status"))
+    return _top_of_sections(groups.select("section", *only, own.alias("__own")), {"daily_stats": 30}, F.col("day").desc()).select(*ANALYTICS_COLUMNS)

@@ -672,13 +672,16 @@ def _events_stream(spark, sf) -> DataFrame:
 
 
 def _ledger_stream(spark, sf) -> DataFrame:
+    """Ledger rows as they are appended: the arrivals with the verdicts of their texts."""
     reqs = TD.requests_from(_events_stream(spark, sf), TD.n_documents(spark, sf))
-    return H.score_stream(reqs, TD.scored_prompts(spark, sf))
+    return S.event_project(reqs.join(TD.scored_prompts(spark, sf), "doc_id"), text_col="prompt", ts_col="ts")
 
 
 @query("score_stream", O.with_ledger(f"SELECT {LCOLS} FROM ledger"))
 def q_score_stream(spark, sf):
-    return spark.read.schema(LEDGER).parquet(H.run_available_now(_ledger_stream(spark, sf), "score_stream"))
+    # The arrivals bring their texts, and no verdicts.
+    reqs = TD.requests_from(_events_stream(spark, sf), TD.n_documents(spark, sf)).join(TD.prompts(spark, sf), "doc_id")
+    return spark.read.schema(LEDGER).parquet(H.run_available_now(H.score_stream(reqs), "score_stream"))
 
 
 @query("counters_stream", O.with_ledger("SELECT status, count(*) AS count FROM ledger GROUP BY status"))
@@ -698,7 +701,7 @@ def q_hourly_stream(spark, sf):
 def q_rl_stream(spark, sf):
     reqs = TD.requests_from(_events_stream(spark, sf), TD.n_documents(spark, sf))
     out = H.rate_limit_stream(reqs, "ip_address", "unix_ts", "id", RL_LIMIT, RL_WINDOW)
-    return spark.read.parquet(H.run_available_now(out, "rate_limit_stream"))
+    return spark.read.parquet(H.run_available_now(out, "rate_limit_stream", timers=True))
 
 
 @query("dedup_stream", O.with_ledger(f"SELECT {LCOLS} FROM ledger"))

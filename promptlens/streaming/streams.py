@@ -6,8 +6,11 @@ DataFrames; only the stateful parts differ:
 * counters / hourly figures: streaming aggregations (complete mode, or a
   watermark + event-time window in append mode, where late rows are dropped);
 * dedup: ``dropDuplicates`` on the event id, without a watermark;
-* rate limiting: ``applyInPandasWithState`` keeping at most ``limit``
-  remembered timestamps per key, expired by an event-time timeout;
+* scoring: the batch projection on the stream itself; with custom rules, per
+  micro-batch, the rule table read anew each time;
+* rate limiting: ``transformWithState`` with a list of at most ``limit``
+  remembered timestamps per key, removed by a processing-time timer; no
+  watermark, so every request gets a decision, however late;
 * retention: ``foreachBatch`` folding each batch into a newest-N snapshot.
 
 Every sink gets its own checkpoint location under the shared checkpoint folder,
@@ -16,22 +19,28 @@ so a restarted query resumes from its last committed batch.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from promptlens.functions import rules as R
 from promptlens.operators import ledger as L
+from promptlens.operators import scoring
 from promptlens.operators.ratelimit import NULL_KEY, admit_run
 from promptlens.operators.reports import avg4, cents
 from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
 from promptlens.session import scratch_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 def event_time(df: DataFrame, unix_ts_col: str = "unix_ts") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_seconds(F.col(unix_ts_col)))
@@ -64,41 +73,76 @@ def dedup_stream(ledger_stream: DataFrame) -> DataFrame:
     return ledger_stream.dropDuplicates(["id"])
 
 
-def _stream_limiter(limit: int, window: float):
-    def run(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = deque(state.get[0]) if state.exists else deque()
-        # One key's rows of one micro-batch (bounded by the trigger's batch size).
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["__ts", "__id"], kind="stable")
-        ts = batch["__ts"].to_numpy(dtype=np.float64)
-        admitted = np.zeros(len(ts), dtype=bool)
-        admit_run(ts, 0, len(ts), hits, limit, window, admitted)
+def admit_arrivals(ts: np.ndarray, hits: deque, limit: int, window: float) -> np.ndarray:
+    """Decide requests ``ts`` (sorted) that arrive after the remembered ``hits`` (sorted), which are updated.
+
+    As the gateway does, a request is denied while ``limit`` hits are remembered, and only
+    hits a window or more before it are forgotten. One older than the newest hit forgets
+    none, and is remembered in its place.
+    """
+    out = np.zeros(len(ts), dtype=bool)
+    late = int(np.searchsorted(ts, hits[-1], side="left")) if hits else 0
+    for i in range(late):
+        if len(hits) >= limit:
+            break
+        out[i] = True
+        hits.insert(bisect(hits, float(ts[i])), float(ts[i]))
+    admit_run(ts, late, len(ts), hits, limit, window, out)
+    return out
+
+
+class _Limiter(StatefulProcessor):
+    """A key's remembered hits as a list state; a timer removes those of a key that stays silent."""
+
+    def __init__(self, limit: int, window: float, idle: float):
+        self.limit, self.window, self.idle = limit, window, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getListState("hits", T.StructType([T.StructField("at", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Times and ids of one key in one micro-batch, bounded by the trigger's batch size.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "request"], kind="stable")
+        hits = deque(row[0] for row in self.hits.get())
+        admitted = admit_arrivals(batch["at"].to_numpy(dtype=np.float64), hits, self.limit, self.window)
         if hits:
-            state.update((list(hits),))
-            # Once the watermark passes the newest hit + window, every hit has expired.
-            state.setTimeoutTimestamp(int((hits[-1] + window) * 1000) + 1)
+            self.hits.put([(t,) for t in hits])
         else:
-            state.remove()
-        yield pd.DataFrame({"__id": batch["__id"].to_numpy(), "admitted": admitted})
-    return run
+            self.hits.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+        yield pd.DataFrame({"request": batch["request"].to_numpy(), "admitted": admitted})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hits.clear()
+        yield pd.DataFrame({"request": pd.Series([], dtype=object), "admitted": pd.Series([], dtype=bool)})
+
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(requests_stream: DataFrame, key_col: str = "ip_address", ts_col: str = "unix_ts",
                       id_col: str = "id", limit: int = DEFAULT_RATE_LIMIT,
-                      window: float = DEFAULT_RATE_WINDOW_S) -> DataFrame:
-    """(id, admitted) per request; per-key state is at most ``limit`` timestamps."""
+                      window: float = DEFAULT_RATE_WINDOW_S, idle: float | None = None) -> DataFrame:
+    """(id, admitted) for every request, in arrival order: by micro-batch, then by time and id.
+
+    Per-key state is at most ``limit`` timestamps. A key that stays silent for ``idle``
+    seconds of processing time (ten windows and an hour at least, unless given) loses its
+    state; a backlog that is replayed after a longer stop starts those keys afresh.
+    """
+    spark = requests_stream.sparkSession
+    # This operator's state lives in RocksDB; on disk, so it is not bound by the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = requests_stream.select(
-        F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY)).alias("__k"),
-        F.col(ts_col).cast("double").alias("__ts"), F.col(id_col).cast("string").alias("__id"),
-        F.timestamp_seconds(F.col(ts_col)).alias("event_time"))
-    out_schema = T.StructType([T.StructField("__id", T.StringType()), T.StructField("admitted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("hits", T.ArrayType(T.DoubleType()))])
-    return (keyed.withWatermark("event_time", f"{int(window)} seconds").groupBy("__k")
-            .applyInPandasWithState(_stream_limiter(int(limit), float(window)), out_schema, state_schema,
-                                    "append", GroupStateTimeout.EventTimeTimeout)
-            .withColumnRenamed("__id", id_col))
+        F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY)).alias("client"),
+        F.col(ts_col).cast("double").alias("at"), F.col(id_col).cast("string").alias("request"))
+    out_schema = T.StructType([T.StructField("request", T.StringType()), T.StructField("admitted", T.BooleanType())])
+    idle = max(10 * float(window), 3600.0) if idle is None else float(idle)
+    return (keyed.groupBy("client")
+            .transformWithStateInPandas(_Limiter(int(limit), float(window), idle), out_schema, "Append", "ProcessingTime")
+            .withColumnRenamed("request", id_col))
 
 
 def retention_batch_writer(spark: SparkSession, snapshot_root: str, max_events: int):
@@ -135,15 +179,19 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def run_available_now(stream_df: DataFrame, name: str, mode: str = "append",
-                      partition_by: list[str] | None = None) -> str:
+                      partition_by: list[str] | None = None, timers: bool = False) -> str:
     """Run a stream over everything available now into a Parquet sink; returns the sink path.
 
+    With processing-time ``timers`` there is always a later time to wait for, so batches
+    without rows are left out: the run ends with its input.
+
     Complete/update results are written per batch with foreachBatch (overwrite),
     so the folder holds the final result when the query stops.
     """
     spark = stream_df.sparkSession
     root = scratch_path(spark, name)
     sink, ckpt = f"{root}/out", f"{root}/_checkpoint"
+    spark.conf.set(EMPTY_BATCHES, str(not timers).lower())
     w = stream_df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         if partition_by:
@@ -153,16 +201,31 @@ def run_available_now(stream_df: DataFrame, name: str, mode: str = "append",
         def write(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(sink)
         q = w.outputMode(mode).foreachBatch(write).start()
+    spark.conf.unset(EMPTY_BATCHES)
     q.awaitTermination()
     return sink
 
 
-def score_stream(requests_stream: DataFrame, scored_prompts: DataFrame) -> DataFrame:
-    """Verdict rows for a request stream: stream-static join to the scored prompt
-    table, then the batch ledger projection (no state)."""
-    from promptlens.operators.scoring import event_project
-    joined = requests_stream.join(scored_prompts, "doc_id")
-    return event_project(joined, text_col="prompt", ts_col="ts")
+def score_stream(requests_stream: DataFrame, text_col: str = "prompt", ts_col: str = "ts", **switches) -> DataFrame:
+    """Ledger rows of a request stream: the batch scoring and projection on the arriving texts themselves (no state).
+
+    ``switches`` are those of ``score_prompts`` (enable_injection, enable_pii).
+    """
+    scored = scoring.score_prompts(requests_stream, text_col, **switches)
+    return scoring.event_project(scored, text_col=text_col, ts_col=ts_col)
+
+
+def score_batch_writer(read_rules: Callable[[], DataFrame], sink: str, text_col: str = "prompt", ts_col: str = "ts", **switches):
+    """foreachBatch function that scores each micro-batch with the custom rules as they are then.
+
+    ``read_rules`` reads the rule table anew for each batch. A batch is a folder of its own
+    under ``sink``, named by its number, so that a replayed batch replaces what it wrote.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rules = scoring.load_policy_rules(read_rules())
+        scored = scoring.score_prompts(batch, text_col, custom_rules=rules, **switches)
+        scoring.event_project(scored, text_col=text_col, ts_col=ts_col).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+    return write
 
 
 def alert_stream(ledger_stream: DataFrame) -> DataFrame:

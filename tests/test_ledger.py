@@ -168,3 +168,17 @@ def test_reports_on_stored_ledger_equal_in_memory(spark):
                   lambda d: E.chart_24h(d, now), lambda d: E.recent_threats_24h(d, now),
                   lambda d: L.prune_expired(d, now, 7).select(*mem.columns)):
         assert sorted(build(mem).collect()) == sorted(build(disk).collect())
+
+
+@pytest.mark.parametrize("report", [E.threat_report, E.analytics_report])
+def test_reports_scan_the_ledger_once(spark, report):
+    """One scan in the plan, no reused or repeated branch, and no view left behind."""
+    at = scratch_path(spark, "ledger")
+    IO.ledger_append(spark.createDataFrame([row(i, NOW - 3600 * i, rule=f"r{i % 13}", ip=f"1.1.1.{i}") for i in range(40)], LEDGER), at)
+    views = len(spark.catalog.listTables())
+    df = report(IO.ledger_scan(spark, at), NOW)
+    assert df.count() > 20
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and len(spark.catalog.listTables()) == views
+    empty = report(IO.ledger_scan(spark, at).limit(0), 0.0).collect()
+    assert [r.section for r in empty] in ([], ["performance", "pii_detection"])
