@@ -125,21 +125,22 @@ def held_out(id_col: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model of a hash sample of ``labels`` (doc_id, label 0/1), ``sample_docs`` of them as expected, with their texts in ``docs``."""
     slots = 1 << 30
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     rate = min(slots, int(slots * sample_docs / max(labels.count(), 1)))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(slots)) < rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # (id and label) travel as one key beside the text.
-            for key, texts in slices(iter([b])):
+            for of, texts in slices(iter([b])):
                 raw = [row.astype(np.float32).tobytes() for row in trigrams(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(raw, pa.binary())], names=["key", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["doc_id"] for x in of], pa.int64()), pa.array([x["label"] for x in of], pa.int64()), pa.array(raw, pa.binary())],
+                                                 names=["doc_id", "label", "counts"])
 
-    # The chosen ids are as few as the sample, so the texts need not move.
-    picked = docs.join(F.broadcast(chosen), "doc_id").select((F.col("doc_id") * 2 + F.col("label")).alias("key"), "text")
-    rows = written(picked.mapInArrow(count, "key long, counts binary"), "quality-sample").orderBy("key").collect()
-    counts = np.stack([np.frombuffer(r[1], np.float32) for r in rows]) if rows else np.zeros((0, COUNTS), np.float32)
-    return fit(counts, np.array([r[0] % 2 for r in rows]))
+    # The chosen ids are as few as the sample, so the texts need not move before they are chosen; an id teaches one text.
+    picked = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.struct("doc_id", "label").alias("of"), "text")
+    rows = written(picked.mapInArrow(count, "doc_id long, label long, counts binary"), "quality-sample").orderBy("doc_id").collect()
+    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows]) if rows else np.zeros((0, COUNTS), np.float32)
+    return fit(counts, np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,13 +160,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, held_out, score, predicted.
 
     Labels are learned only from rows that are not held out (crc32 of the id mod 5 is not 0);
-    null labels, and labels whose document is missing, teach nothing. A null or empty text
+    null labels, labels other than 0 and 1, and labels whose document is missing, teach nothing;
+    of an id with several texts the first in order teaches, one with both labels counts as 1. A null or empty text
     is similar to no other and scores the sample's share of label 1 (0.5 without labels), as
     does every text where there are no labels. Repeated rows get equal scores; an empty table
     gives no rows; other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
     model = learn(own, known.where(~held_out()))
     return score(own, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                                     (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -31,6 +31,8 @@ ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 GITHUB = re.compile(r"(gh[pousr]_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"(npm_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+# A token's first part is the rest of its run; what follows the run decides for all hits within it.
+JWT_RUN, JWT_REST = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -105,7 +107,12 @@ def find_secrets(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
     past = [0] * len(KINDS)
     # Hits come by their end; the keywords of one kind must be tried by their start.
     hits = sorted({(end - size + 1, kind) for end, (size, kind) in automaton.iter(_lower(text))})
+    run = 0
     for at, kind in hits:
+        if KINDS[kind] == "jwt" and at >= run:
+            run = JWT_RUN.match(text, at).end()
+            if not JWT_REST.match(text, run):
+                past[kind] = max(past[kind], run)
         if at >= past[kind] and (m := EXPRESSIONS[KINDS[kind]].match(text, at)):
             past[kind] = m.end()
             if _valid(KINDS[kind], m):

@@ -35,3 +35,12 @@ def test_long_text_is_counted_whole(monkeypatch):
     monkeypatch.setattr(K, "BYTES", 101)
     parts = K.trigrams([text, "x"])
     assert (whole[:, :K.FEATURES] == parts[:, :K.FEATURES]).all()
+
+
+def test_ids_of_any_size_labels_and_repeated_rows(spark, make):
+    rows = [(2 ** 63 - 1, "good plain text", None, None), (-(2 ** 63), "bad *** text", None, None), (2 ** 62, "other text", None, None), (2 ** 62, "another text", None, None), (5, "x", None, None)]
+    labels = spark.createDataFrame([(2 ** 63 - 1, 1), (-(2 ** 63), 0), (2 ** 62, 1), (2 ** 62, 0), (5, 2)], "doc_id long, quality long")
+    got = K.classify(make(rows), labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in rows) and all(0 <= r.score <= 1 for r in got)
+    model = K.learn(make(rows * 30).select("doc_id", "text"), labels.where("quality < 2").withColumnRenamed("quality", "label"))
+    assert len(model.labels) == 3

@@ -48,3 +48,28 @@ def test_query_over_whole_table(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(secrets._joined(want).encode()).hexdigest()
     assert sum(r.n_assign for r in got) > 0
+
+
+JWT_PIECES = st.sampled_from(["eyJ", "eyj", "EYJ", "eyJh", ".", "..", "x-_", "eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxIn0", "c2ln", " "])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(JWT_PIECES, max_size=14).map("".join))
+def test_web_tokens_are_those_of_a_plain_search(text):
+    want, past = [], 0
+    for at in range(len(text)):
+        if at >= past and (m := secrets.JWT.match(text, at)):
+            past = m.end()
+            if secrets._valid("jwt", m):
+                want.append((at, secrets.KINDS.index("jwt"), m.end()))
+    assert [s for s in secrets.find_secrets(text, AUTOMATON) if secrets.KINDS[s[1]] == "jwt"] == want
+
+
+def test_long_runs_of_keywords_take_linear_time():
+    """A run of half a million characters of one token's beginning, in every ending, within seconds."""
+    import time
+    start = time.time()
+    for word in ("eyJ", "eyj", "eyJeyj", "token", "AKIA", "akia", "secret=", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----\n", "ghp_"):
+        for end in ("", ".", ".eyJx", ".eyJx.", " "):
+            secrets.find_secrets(word * (200_000 // len(word)) + end, AUTOMATON)
+    assert time.time() - start < 60
