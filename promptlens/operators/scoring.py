@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from promptlens.functions import rules as R
 from promptlens.functions.text import payload_bytes, snippet
 
-# Up to this many enabled custom rules are compiled into the plan as literals
-# (one CASE chain). Larger rule tables stay distributed: each rule is anchored
-# on RULE_ANCHOR of its characters, prompts emit their grams of the anchor
-# lengths, an equi-join finds candidates, ``contains`` confirms them.
-MAX_INLINE_RULES = 256
-RULE_ANCHOR = 8
+# Custom rules are found by anchors. A rule of LONG_RULE characters or more is anchored on
+# the hash of a minimizer: the least of RULE_WINDOW grams of RULE_GRAM characters in a row.
+# A shorter one is anchored on a gram of SHORT_GRAM characters, or on itself.
+RULE_GRAM, RULE_WINDOW, SHORT_GRAM = 6, 8, 3
+LONG_RULE = RULE_GRAM + RULE_WINDOW - 1
+# Texts give their anchors in blocks of so many characters, whatever their length.
+RULE_BLOCK = 1 << 15
 
 
 def injection_scan(df: DataFrame, text_col: str = "prompt") -> DataFrame:
@@ -40,40 +41,18 @@ def injection_all_hits(df: DataFrame, text_col: str = "prompt") -> DataFrame:
                       F.col("__hit.severity").alias("severity"), F.col("__hit.rule").alias("matched_rule")))
 
 
-def _custom_verdict(text: Column, rules: list[tuple[int, str, str, str]]) -> Column | None:
-    """CASE chain over custom rules (rank, pattern, severity, name); case-insensitive substring."""
-    lowered = F.lower(text)
-    expr = None
-    for rank, pattern, severity, name in rules:
-        hit = F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("rule"),
-                       F.lit(rank).alias("rank"))
-        cond = lowered.contains(pattern.lower())
-        expr = F.when(cond, hit) if expr is None else expr.when(cond, hit)
-    return expr
-
-
 def _enabled_rules(rules_df: DataFrame) -> DataFrame:
     return rules_df.filter(F.col("enabled") & (F.length("pattern") > 0))
 
 
-def load_policy_rules(rules_df: DataFrame) -> list[tuple[int, str, str, str]] | DataFrame:
-    """Enabled custom rules, ready for ``score_prompts(custom_rules=...)``.
-
-    At most MAX_INLINE_RULES rules come back as a driver-side list in
-    evaluation order (created_at, id) to be compiled into the plan; the count
-    is bounded before anything is collected. A larger table is returned as the
-    filtered DataFrame and is matched by a distributed join.
-    """
-    enabled = _enabled_rules(rules_df)
-    if enabled.limit(MAX_INLINE_RULES + 1).count() > MAX_INLINE_RULES:
-        return enabled
-    rows = enabled.orderBy("created_at", "id").select("pattern", "severity", "name").collect()
-    return [(i, r["pattern"], r["severity"], r["name"]) for i, r in enumerate(rows, start=1)]
+def load_policy_rules(rules_df: DataFrame) -> DataFrame:
+    """The enabled custom rules with a pattern, ready for ``score_prompts(custom_rules=...)``."""
+    return _enabled_rules(rules_df)
 
 
 def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection: bool = True,
                   enable_pii: bool = True,
-                  custom_rules: list[tuple[int, str, str, str]] | DataFrame | None = None,
+                  custom_rules: DataFrame | None = None,
                   key_col: str | None = None) -> DataFrame:
     """Full verdict per prompt.
 
@@ -88,7 +67,7 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     verdict = (R.injection_verdict(text) if enable_injection
                else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
     out = df.withColumn("__v", verdict)
-    if isinstance(custom_rules, DataFrame) or custom_rules:
+    if custom_rules is not None:
         out = _apply_custom_rules(out, text_col, custom_rules)
     if enable_pii:
         out = _redact_once(out.withColumn("__r", F.when(F.col("__v").isNull(), R.pii_redact(text))), text)
@@ -123,15 +102,11 @@ def _redact_once(df: DataFrame, text: Column) -> DataFrame:
                          .otherwise(R.marks_in(r)))
 
 
-def _apply_custom_rules(df: DataFrame, text_col: str, rules) -> DataFrame:
+def _apply_custom_rules(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if not isinstance(rules, DataFrame):
-        if len(rules) <= MAX_INLINE_RULES:
-            return df.withColumn("__v", F.coalesce(F.col("__v"), _custom_verdict(text, rules)))
-        rules = df.sparkSession.createDataFrame(
-            [(f"{rank:012d}", name, pattern, severity, True, "") for rank, pattern, severity, name in rules],
-            "id string, name string, pattern string, severity string, enabled boolean, created_at string")
     first = _rule_join(df, text_col, _enabled_rules(rules))
+    if first is None:
+        return df
     return (df.withColumn("__key", _text_key(text)).join(first, "__key", "left")
               .withColumn("__v", F.coalesce(F.col("__v"), F.col("__c"))).drop("__c", "__key"))
 
@@ -141,67 +116,71 @@ def _text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _rule_join(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
-    """(__key, __c) with the first enabled rule (by created_at, id) contained in each text.
-
-    Exact for any number of rules, and nothing passes through the driver but
-    the set of anchor lengths (at most RULE_ANCHOR values):
-    1. a rule's anchor is RULE_ANCHOR lower-cased chars of it (the window
-       fewest rules share), or the whole rule when it is shorter;
-    2. each unblocked prompt emits its grams of those lengths (one linear regex
-       pass per length, a generator, no shuffle), and an equi-join on (length,
-       gram) yields the candidate (prompt, rule) pairs; the planner broadcasts
-       the anchor side only when its measured size allows, else both sides
-       are shuffled (AQE splits skewed grams);
-    3. a rule no longer than its anchor is matched by the join itself; longer
-       ones are confirmed with ``contains`` on the prompt, joined back by the text's digest;
-    4. ``min_by`` over (created_at, id) per prompt picks the winner (partial
-       aggregation before the shuffle).
+def _grams(text: Column, k: int) -> Column:
+    """Every window of ``k`` code points, in one linear regex pass (a zero-width lookahead at each position)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
+def _hashes(grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
+def _least_of_windows(hashes: Column) -> Column:
+    """The minimizers of an array of gram hashes: two texts that share a stretch of LONG_RULE characters share one."""
+    return F.when(F.size(hashes) >= RULE_WINDOW, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size(hashes) - (RULE_WINDOW - 1)), lambda i: F.array_min(F.slice(hashes, i, RULE_WINDOW)))))
+
+
+def _anchors(df: DataFrame, text: str, kinds: list[int], keep: list[str]) -> DataFrame:
+    """``keep`` columns with every anchor (__a, __g) of column ``text``: grams of ``kinds`` characters, minimizers for RULE_GRAM."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / RULE_BLOCK).cast("int")),
+                         lambda k: F.substring(F.col(text), k * RULE_BLOCK + 1, F.lit(RULE_BLOCK + LONG_RULE - 1)))
+    cut = df.select(*keep, F.explode(blocks).alias("__b"))
+    # Hashes are a projection of their own: the windows below refer to them many times.
+    hashed = cut.select(*keep, *[_hashes(_grams(F.col("__b"), k)).alias(f"__h{k}") for k in kinds])
+
+    def of_kind(k: int) -> Column:
+        h = F.col(f"__h{k}")
+        chosen = _least_of_windows(h) if k == RULE_GRAM else F.array_distinct(h)
+        return F.transform(F.coalesce(chosen, F.array().cast("array<bigint>")), lambda g: F.struct(F.lit(k).alias("__a"), g.alias("__g")))
+
+    return hashed.select(*keep, F.explode(F.concat(*[of_kind(k) for k in kinds])).alias("__x")).select(*keep, "__x.*")
+
+
+def _rule_join(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame | None:
+    """(__key, __c) with the first enabled rule (by created_at, id) contained in each text; None without rules.
+
+    One plan for any number of rules; nothing passes through the driver but the kinds of
+    anchors that rules need (at most 4 numbers):
+    1. rules of equal patterns are merged, the first one counts;
+    2. a rule's anchor is, of all its own anchors, the one that the fewest rules share, so
+       that rules with a common beginning do not land on one join key;
+    3. each text gives its anchors in one pass (a generator, no shuffle), about two of nine
+       places for long rules, and an equi-join finds candidate (text, rule) pairs; the
+       planner broadcasts the rules only where their measured size allows, else both
+       sides are shuffled (AQE splits skewed anchors);
+    4. candidates are confirmed with ``contains`` on the text, joined back by its digest, and
+       ``min_by`` over (created_at, id) picks the winner (partial aggregation before the shuffle).
     """
-    lp = F.lower(F.col("pattern"))
-    base = rules.select(lp.alias("__p"), "severity", "name", F.struct("created_at", "id").alias("__o"),
-                        F.least(F.length(lp), F.lit(RULE_ANCHOR)).alias("__a"))
-    # A rule no longer than the anchor is its own anchor. A longer one is
-    # anchored on its window that the fewest rules share, so rules with a
-    # common prefix do not all land on one join key.
-    short = base.filter(F.col("__a") == F.length("__p")).withColumn("__g", F.col("__p"))
-    long_ = base.filter(F.col("__a") < F.length("__p"))
-    windows = long_.select("__o", F.explode(F.regexp_extract_all(
-        "__p", F.lit(f"(?s)(?=(.{{{RULE_ANCHOR}}}))"), F.lit(1))).alias("__g")).distinct()
-    shared = windows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    choice = (windows.join(shared, "__g").groupBy("__o")
-              .agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g")))
-    anchored = short.unionByName(long_.join(choice, "__o"))
-    lengths = sorted(r[0] for r in anchored.select("__a").distinct().collect())  # <= RULE_ANCHOR values
-    # Every prompt takes part: built-in verdicts win later in coalesce(__v, ...),
-    # and filtering on __v here would inline the whole phrase CASE into the
-    # filter once per branch (generated code past the JVM method limit).
-    # Equal texts take part once.
+    order = F.struct("created_at", "id")
+    merged = (rules.select(F.lower(F.col("pattern")).alias("__p"), order.alias("__o"), F.struct("severity", F.col("name").alias("rule")).alias("__r"))
+              .groupBy("__p").agg(F.min("__o").alias("__o"), F.min_by("__r", "__o").alias("__r")))
+    kind = F.when(F.length("__p") >= LONG_RULE, RULE_GRAM).otherwise(F.least(F.length("__p"), F.lit(SHORT_GRAM)))
+    kinds = sorted(r[0] for r in merged.select(kind.alias("k")).distinct().collect())
+    if not kinds:
+        return None
+    own = _anchors(merged.withColumn("__k", kind), "__p", kinds, ["__p", "__k"]).filter("__a = __k").distinct()
+    shared = own.groupBy("__a", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    choice = own.join(shared, ["__a", "__g"]).groupBy("__p").agg(F.min_by(F.struct("__a", "__g"), F.struct("__n", "__g")).alias("__x"))
+    anchored = choice.join(merged, "__p").select("__x.*", "__p", "__o", "__r")
+    # Every prompt takes part: built-in verdicts win later in coalesce(__v, ...), and
+    # filtering on __v here would inline the whole phrase CASE into the filter.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = df.select(_text_key(text).alias("__key"), F.lower(text).alias("__lt")).dropDuplicates(["__key"])
-
-    def grams(a: int) -> DataFrame:
-        # Every window of ``a`` code points, in one linear regex pass (a zero-width
-        # lookahead at each position); positional substrings would rescan the
-        # UTF-8 text from its start for every window.
-        return texts.select("__key", F.lit(a).alias("__a"),
-                            F.explode(F.regexp_extract_all("__lt", F.lit(f"(?s)(?=(.{{{a}}}))"), F.lit(1))).alias("__g"))
-
-    emitted = grams(lengths[0])
-    for a in lengths[1:]:
-        emitted = emitted.unionByName(grams(a))
-    # A gram repeated in a text gives repeated pairs: de-duplicate the (small)
-    # candidate set rather than every text's gram list.
-    cand = (emitted.join(anchored, ["__a", "__g"]).select("__key", "__p", "__a", "severity", "name", "__o")
-                   .dropDuplicates(["__key", "__o"]))
-    whole = cand.filter(F.length("__p") == F.col("__a"))
-    longer = (cand.filter(F.length("__p") > F.col("__a")).join(texts, "__key")
-                  .filter(F.col("__lt").contains(F.col("__p"))))
-    cols = ["__key", "severity", "name", "__o"]
-    hits = whole.select(*cols).unionByName(longer.select(*cols))
-    verdict = F.struct(F.col("severity").alias("severity"), F.col("name").alias("rule"),
-                       F.lit(None).cast("int").alias("rank"))
-    return hits.groupBy("__key").agg(F.min_by(verdict, F.col("__o")).alias("__c"))
+    texts = df.select(_text_key(text).alias("__key"), F.lower(text).alias("__lt"))
+    found = _anchors(texts, "__lt", kinds, ["__key"]).join(anchored, ["__a", "__g"]).select("__key", "__p", "__o", "__r").distinct()
+    sure = texts.join(found, "__key").filter(F.col("__lt").contains(F.col("__p")))
+    verdict = F.struct(F.col("__r.severity").alias("severity"), F.col("__r.rule").alias("rule"), F.lit(None).cast("int").alias("rank"))
+    return sure.groupBy("__key").agg(F.min_by(verdict, F.col("__o")).alias("__c"))
 
 
 def pii_count(df: DataFrame, text_col: str = "prompt") -> DataFrame:

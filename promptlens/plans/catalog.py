@@ -102,11 +102,29 @@ def _benchmark_rules(spark, sf) -> DataFrame:
                     F.lit(True).alias("enabled"), F.lit(BENCH_RULE_CREATED).alias("created_at"))
 
 
-_POLICY_SQL = O.with_scored(f"""
-, rules AS (SELECT 'bm-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS id,
-     'Benchmark passage ' || CAST(item_id AS VARCHAR) AS name, text AS pattern FROM benchmark
-   WHERE length(text) > 0),
-ranked AS (SELECT *, row_number() OVER (ORDER BY id) AS rk FROM rules),
+def _document_rules(spark, sf) -> DataFrame:
+    """A custom rule from each document: 4 to 43 characters of it."""
+    i = F.col("doc_id")
+    return TD.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.lpad(i.cast("string"), 9, "0")).alias("id"),
+        F.concat(F.lit("Words of document "), i.cast("string")).alias("name"),
+        F.substring(F.coalesce("text", F.lit("")), (i * 7 % 97 + 1).cast("int"), (i % 40 + 4).cast("int")).alias("pattern"),
+        F.lit(BENCH_RULE_SEVERITY).alias("severity"), F.lit(True).alias("enabled"),
+        F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("created_at"))
+
+
+_BENCH_RULES_SQL = """SELECT 'bm-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS id,
+     'Benchmark passage ' || CAST(item_id AS VARCHAR) AS name, text AS pattern, '' AS created_at FROM benchmark"""
+_DOCUMENT_RULES_SQL = """SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id,
+     'Words of document ' || CAST(doc_id AS VARCHAR) AS name,
+     substr(coalesce(text, ''), doc_id * 7 % 97 + 1, doc_id % 40 + 4) AS pattern,
+     '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS created_at FROM documents"""
+
+
+def _policy_sql(rules: str) -> str:
+    return O.with_scored(f"""
+, rules AS (SELECT * FROM ({rules}) WHERE length(pattern) > 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS rk FROM rules),
 hit AS (SELECT p.doc_id, arg_min(r.name, r.rk) AS rule_name
         FROM prompts p JOIN ranked r ON contains(lower(p.prompt), lower(r.pattern)) GROUP BY p.doc_id),
 custom AS (SELECT c.doc_id, c.prompt, c.inj_rank, h.rule_name FROM inj c LEFT JOIN hit h USING (doc_id)),
@@ -123,13 +141,21 @@ SELECT doc_id,
 FROM cnt2""").replace("FROM cnt)\n\n,", "FROM cnt)\n,")
 
 
-@query("policy_rule_scan", _POLICY_SQL)
-def q_policy_scan(spark, sf):
-    rules = S.load_policy_rules(_benchmark_rules(spark, sf))
-    scored = S.score_prompts(TD.prompts(spark, sf), "prompt", custom_rules=rules, key_col="doc_id")
+def _rules_applied(spark, sf, rules: DataFrame) -> DataFrame:
+    scored = S.score_prompts(TD.prompts(spark, sf), "prompt", custom_rules=S.load_policy_rules(rules))
     return scored.select("doc_id", "status", "severity", "matched_rule", "tokens_masked")
 
 
+@query("policy_rule_scan", _policy_sql(_BENCH_RULES_SQL))
+def q_policy_scan(spark, sf):
+    return _rules_applied(spark, sf, _benchmark_rules(spark, sf))
+
+
+@query("policy_rule_scan_many", _policy_sql(_DOCUMENT_RULES_SQL))
+def q_policy_scan_many(spark, sf):
+    return _rules_applied(spark, sf, _document_rules(spark, sf))
+
+
 @query("pii_count", f"WITH {O.prompts_cte()} SELECT doc_id, CAST({O.pii_count_sql('prompt')} AS INTEGER) "
                     "AS pii_matches FROM prompts")
 def q_pii_count(spark, sf):
