@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
 from promptlens.functions.text import VIEW_CHARS, VIEW_SUFFIX, literal_search, sqlite_like_search
+from promptlens.operators.bits import bit_filter, maybe_in
 from promptlens.schemas import LEDGER_COLUMNS, LEDGER_PARTITION
 
 # Bounds of the events listing (reference: 1..500, default 50).
 MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 1, 500, 50
+# Retention's cut-off: cells of a histogram, and the rows up to which the last cell is ordered.
+CUT_CELLS, CUT_ROWS = 1024, 10_000
 
 
 def _no_filter(status: str | None) -> bool:
@@ -86,40 +89,89 @@ def ledger_view(ledger: DataFrame) -> DataFrame:
 
 
 def ledger_dedup(ledger: DataFrame) -> DataFrame:
-    """First write wins per id (``id`` is the primary key).
+    """First write wins per id (``id`` is the primary key); equal times go by the row's digest.
 
-    ``min_by`` is partially aggregated on the map side, so a hot id costs one
-    row per task before the shuffle.
+    Most ids come once, and their rows never move: the repeated ids, found by counting ids
+    alone, make a bit filter of bounded size, and only rows that may be among them are
+    ranked. The rank sorts (id, time, digest), payloads ride along, and each task keeps one
+    row per id before anything is shuffled, so a hot id costs one row per task.
     """
-    cols = [c for c in ledger.columns if c != "id"]
-    first = (ledger.groupBy("id")
-                   .agg(F.min_by(F.struct(*cols), F.struct("unix_ts", *[c for c in cols if c != "unix_ts"]))
-                         .alias("__r")))
-    return first.select("id", *[F.col(f"__r.{c}").alias(c) for c in cols]).select(*ledger.columns)
+    repeated = ledger.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(F.coalesce("id", F.lit("")).alias("__id"))
+    marked = maybe_in(ledger.withColumn("__id", F.coalesce("id", F.lit(""))), "__id", bit_filter(repeated, "__id"), "__maybe").drop("__id")
+    digest = F.xxhash64(*[F.col(c) for c in ledger.columns if c != "id"])
+    first = Window.partitionBy("id").orderBy("unix_ts", "__digest")
+    ranked = (marked.filter("__maybe").withColumn("__digest", digest)
+              .withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1))
+    return marked.filter("not __maybe").select(*ledger.columns).unionByName(ranked.select(*ledger.columns))
+
+
+def _newest_first(ledger: DataFrame) -> DataFrame:
+    """(age, id) of every row: ages grow with time past, a null time is oldest."""
+    return ledger.select(F.coalesce(-F.col("unix_ts"), F.lit(float("inf"))).alias("age"), "id")
+
+
+def cut_cell(rows: DataFrame, n: int) -> tuple[DataFrame, int] | None:
+    """The cell of ``rows`` (age, id) that holds the n-th in order, and its number in the cell; None if there are no n rows.
+
+    Histograms of at most CUT_CELLS ages narrow the cell until it holds at most CUT_ROWS rows
+    or one age; among rows of one age, counts by the next two bytes of the id go on. Each
+    step reads the rows once and returns one bounded histogram or a single cell.
+    """
+    left, held, hexed = n, None, F.hex(F.encode(F.coalesce("id", F.lit("")), "UTF-8"))
+    while held is None or held > CUT_ROWS:
+        finite = F.when(F.col("age") < float("inf"), F.col("age"))
+        lo, hi = rows.agg(F.min(finite), F.max(finite)).first()
+        if lo is None or lo == hi and not rows.filter(F.col("age") == float("inf")).limit(1).count():
+            break
+        width = (hi - lo) / CUT_CELLS
+        place = F.floor((F.col("age") - F.lit(lo)) / F.lit(width)).cast("long") if width > 0 else F.lit(0).cast("long")
+        cell = F.when(finite.isNull(), CUT_CELLS).otherwise(F.least(place, F.lit(CUT_CELLS - 1)))
+        counts = sorted(map(tuple, rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()))
+        if sum(c for _, c in counts) < left:
+            return None
+        for at, held in counts:
+            if held >= left:
+                break
+            left -= held
+        rows = rows.filter(cell == F.lit(at))
+    if held is None and rows.count() < left:
+        return None
+    digits = 0
+    while held is None or held > CUT_ROWS:
+        digits += 4
+        prefix = F.substring(hexed, 1, digits)
+        counts = rows.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length(hexed)).alias("longest"))
+        # At most 65,536 next bytes, and the shorter ids.
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)))
+        at = upto.filter(F.col("upto") >= left).orderBy("prefix").first()
+        left, held = left - (at["upto"] - at["n"]), at["n"]
+        rows = rows.filter(prefix == F.lit(at["prefix"]))
+        if at["longest"] <= digits:  # rows of one age and one id (or null and the empty one)
+            break
+    return rows, left
 
 
 def prune_max_events(ledger: DataFrame, max_events: int = 500) -> DataFrame:
     """Keep the newest ``max_events`` rows by unix_ts (ties: smaller id kept).
 
-    One cut-off for every n, found on narrow columns: counts per minute, the newest
-    minutes that together hold at most n rows, and a rank among (unix_ts, id) inside the
-    single minute where the count passes n. The ledger is then filtered by that
-    cut-off; payloads neither move nor are sorted.
+    One cut-off for every n, found by refining histograms of times and ids until the cell
+    that holds the n-th row is small. The ledger is then filtered by that cut-off;
+    payloads neither move nor are sorted.
     """
     n = int(max_events)
     if n <= 0:
         return ledger.limit(0)
-    minute = F.coalesce(F.floor(F.col("unix_ts") / 60).cast("long"), F.lit(-(1 << 62)))
-    newest = Window.orderBy(F.col("__m").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    minutes = ledger.groupBy(minute.alias("__m")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__sum", F.sum("__n").over(newest))
-    cut = minutes.filter(F.col("__sum") >= n).agg(F.max(F.struct("__m", (F.col("__sum") - F.col("__n")).alias("__above")))).first()[0]
-    if cut is None:
+    found = cut_cell(_newest_first(ledger), n)
+    if found is None:
         return ledger
-    age = F.coalesce(-F.col("unix_ts"), F.lit(float("inf")))
-    ranked = ledger.filter(minute == F.lit(cut[0])).select(F.struct(age.alias("age"), "id").alias("__r"))
-    last = ranked.orderBy("__r").limit(n - cut[1]).agg(F.max("__r")).first()[0]
-    upto = F.struct(F.lit(last[0]).cast("double").alias("age"), F.lit(last[1]).alias("id"))
-    return ledger.filter((minute > F.lit(cut[0])) | (minute == F.lit(cut[0])) & (F.struct(age.alias("age"), "id") <= upto))
+    cell, left = found
+    # Rows equal in time and id are one entry, so a cell of repeated rows is as small.
+    upto = Window.orderBy("age", "id").rowsBetween(Window.unboundedPreceding, 0)
+    last = cell.groupBy("age", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto)) \
+        .filter(F.col("upto") >= left).orderBy("age", "id").first()
+    age, at = F.coalesce(-F.col("unix_ts"), F.lit(float("inf"))), F.lit(last["age"])
+    upto = F.struct(at.cast("double").alias("age"), F.lit(last["id"]).cast("string").alias("id"))
+    return ledger.filter((age < at) | (age == at) & (F.struct(age.alias("age"), "id") <= upto))
 
 
 def prune_expired(ledger: DataFrame, now_unix: float, retention_days: int = 30) -> DataFrame:

@@ -182,3 +182,49 @@ def test_reports_scan_the_ledger_once(spark, report):
     assert plan.count("FileScan") == 1 and len(spark.catalog.listTables()) == views
     empty = report(IO.ledger_scan(spark, at).limit(0), 0.0).collect()
     assert [r.section for r in empty] in ([], ["performance", "pii_detection"])
+
+
+def _by_order(rows, n):
+    """The first ``n`` of (unix_ts, id), newest first, null times last and smaller ids first; rows equal to the last one stay."""
+    key = lambda r: (float("inf") if r[0] is None else -r[0], r[1] is not None, (r[1] or "").encode())
+    ordered = sorted(rows, key=key)
+    return sorted((r for r in ordered if n and len(ordered) >= n and key(r) <= key(ordered[n - 1])) if len(ordered) >= n else ordered, key=key)
+
+
+@pytest.mark.parametrize("cells,held", [(1024, 10_000), (3, 2)])
+def test_retention_cut_against_sorting(spark, monkeypatch, cells, held):
+    """Null, equal and distant times, null, empty, long and repeated ids, at every cut."""
+    import random
+    monkeypatch.setattr(L, "CUT_CELLS", cells)
+    monkeypatch.setattr(L, "CUT_ROWS", held)
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, 5.0, 5.0, 5.5, 1e9 + rnd.random(), -3.25, 0.0]), rnd.choice([None, "", "a", "ab", "abc", "abcdefgh", "é", "z" * 9, f"id{rnd.randrange(40)}"])) for _ in range(60)]
+    led = spark.createDataFrame(rows, "unix_ts double, id string").repartition(3)
+    key = lambda r: (float("inf") if r[0] is None else -r[0], r[1] is not None, (r[1] or "").encode())
+    for n in (1, 7, 30, 55, 60, 61):
+        assert sorted((tuple(r) for r in L.prune_max_events(led, n).collect()), key=key) == _by_order(rows, n)
+    assert L.prune_max_events(led.filter("id = 'none'"), 5).collect() == [] == L.prune_max_events(led, 0).collect()
+
+
+def test_retention_cut_of_one_hot_minute(spark):
+    """A million rows in one minute, half of them at one time: what is ordered in a task stays bounded."""
+    led = spark.range(1_000_000).select(F.when(F.col("id") % 2 == 0, 1000.0).otherwise(990.0 + (F.col("id") * 7919 % 1_000_003) / 1e5).alias("unix_ts"), F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    for n in (300_000, 700_000):
+        cell, left = L.cut_cell(L._newest_first(led), n)
+        assert 0 < left <= cell.count() <= L.CUT_ROWS
+        assert L.prune_max_events(led, n).count() == n
+
+
+def test_dedup_moves_and_sorts_no_payload(spark):
+    rows = [("a", 2.0, "late"), ("a", 1.0, "first"), ("b", 1.0, "only"), ("c", 1.0, "twice"), ("c", 1.0, "twice"), (None, 3.0, "x"), (None, 2.0, "y"), ("d", None, "n"), ("d", 1.0, "o"),
+            ("e", 1.0, "one"), ("e", 1.0, "two")] + [("hot", float(i), f"p{i}") for i in range(500, 0, -1)]
+    led = spark.createDataFrame(rows, "id string, unix_ts double, full_payload string").repartition(5)
+    got = {}
+    for r in L.ledger_dedup(led).collect():
+        assert r.id not in got
+        got[r.id] = r.full_payload
+    assert got.pop("e") in ("one", "two")
+    assert got == {"a": "first", "b": "only", "c": "twice", None: "y", "d": "n", "hot": "p1"}
+    plan = L.ledger_dedup(led)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x or " Sort [" in x or "SortAggregate" in x]
+    assert lines and not [x for x in lines if "full_payload" in x.split("]")[0] or "SortAggregate" in x]
