@@ -661,9 +661,25 @@ def q_csv(spark, sf):
     return X.export_csv(ledger(spark, sf))
 
 
-@query("export_json")
+def _json_value_sql(c: str) -> str:
+    q = f'"{c}"'
+    if c in X.NUMERIC:
+        return (f"CASE WHEN {q} IS NULL THEN 'null' WHEN {q} = floor({q}) THEN CAST(CAST({q} AS BIGINT) AS VARCHAR) "
+                f"ELSE CAST({q} AS VARCHAR) END")
+    return f"CASE WHEN {q} IS NULL THEN 'null' ELSE CAST(to_json({q}) AS VARCHAR) END"
+
+
+_JSON_FIELDS = " || ',\n' || ".join(f"'    \"{c}\": ' || {_json_value_sql(c)}" for c in LEDGER.fieldNames())
+_EXPORTED_SQL = """e AS (SELECT *, CAST(row_number() OVER (ORDER BY unix_ts DESC, id) AS INTEGER) AS row_no
+FROM (SELECT * FROM ledger ORDER BY unix_ts DESC, id LIMIT 500))"""
+
+
+@query("export_json", O.with_ledger(f""", {_EXPORTED_SQL}
+SELECT row_no, '  {{\n' || {_JSON_FIELDS} || '\n  }}' || CASE WHEN row_no = (SELECT max(row_no) FROM e) THEN '' ELSE ',' END AS line FROM e
+UNION ALL SELECT 0, CASE WHEN count(*) = 0 THEN '[]' ELSE '[' END FROM e
+UNION ALL SELECT CAST(max(row_no) + 1 AS INTEGER), ']' FROM e HAVING count(*) > 0""").replace("\n\n,", "\n,"))
 def q_json(spark, sf):
-    return X.export_json_rows(ledger(spark, sf))
+    return X.export_json(ledger(spark, sf))
 
 
 _AUDIT_MSG = ("CASE WHEN status = 'BLOCKED' THEN 'BLOCKED [' || id || '] ip=' || coalesce(ip_address, 'unknown') "
@@ -716,6 +732,23 @@ def q_counters_stream(spark, sf):
                                                   "counters_stream", mode="complete"))
 
 
+@query("counters_stored", O.with_ledger("""SELECT count(*) AS total_processed,
+  count(*) FILTER (WHERE status = 'BLOCKED') AS total_blocked,
+  count(*) FILTER (WHERE status = 'SANITIZED') AS total_sanitized,
+  count(*) FILTER (WHERE status = 'PASSED') AS total_passed FROM ledger"""))
+def q_counters_stored(spark, sf):
+    """Totals kept beside a ledger that each batch prunes to its newest 500 rows."""
+    root = scratch_path(spark, "counters")
+    prune, count = H.retention_batch_writer(spark, f"{root}/snapshots", 500), H.counters_batch_writer(f"{root}/counts")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        count(batch, batch_id)
+        prune(batch, batch_id)
+
+    _ledger_stream(spark, sf).writeStream.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return H.stored_counters(spark, f"{root}/counts")
+
+
 @query("hourly_stream", O.with_ledger(f"""SELECT substr("timestamp", 1, 13) || ':00' AS hour, status,
   count(*) AS count, {_AVG_LAT} AS avg_latency FROM ledger GROUP BY 1, 2"""))
 def q_hourly_stream(spark, sf):

@@ -6,7 +6,7 @@ one file is bounded work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions.text import js_number, json_cell
@@ -35,24 +35,32 @@ def export_csv(ledger: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
     return header.unionByName(rows)
 
 
+def _json_value(c: str) -> Column:
+    if c in NUMERIC:
+        return F.coalesce(js_number(F.col(c)), F.lit("null"))
+    text = F.to_json(F.array(F.col(c)))
+    return F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+
+
 def export_json_rows(ledger: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
     """(row_no, json): one JSON object per exported event, 13 fields in ledger order."""
-    def field(c):
-        if c in NUMERIC:
-            v = F.coalesce(js_number(F.col(c)), F.lit("null"))
-        else:
-            v = F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2))
-        return F.concat(F.lit(f'"{c}":'), v)
-    obj = F.concat(F.lit("{"), F.concat_ws(",", *[field(c) for c in LEDGER_COLUMNS]), F.lit("}"))
+    obj = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), _json_value(c)) for c in LEDGER_COLUMNS]), F.lit("}"))
     return _ranked(ledger, n).select("row_no", obj.alias("json"))
 
 
 def export_json(ledger: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
-    """One row with the JSON array of the exported events (bounded by ``n``)."""
-    rows = export_json_rows(ledger, n)
-    arr = F.array_sort(F.collect_list(F.struct("row_no", "json")))
-    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(arr, lambda s: s["json"]), ","),
-                             F.lit("]")).alias("json"))
+    """(row_no, line): the JSON array of the exported events, indented by two spaces, as the dashboard saves it.
+
+    A line of the result holds the whole of one event (its own text has line ends), or one
+    of the array's brackets; an empty ledger gives ``[]``.
+    """
+    fields = F.concat_ws(",\n", *[F.concat(F.lit(f'    "{c}": '), _json_value(c)) for c in LEDGER_COLUMNS])
+    rows = _ranked(ledger, n).withColumn("last", F.lead("row_no").over(Window.orderBy("row_no")).isNull())
+    events = rows.select("row_no", "last", F.concat(F.lit("  {\n"), fields, F.lit("\n  }"), F.when(F.col("last"), "").otherwise(",")).alias("line"))
+    # One row more than n at most: the brackets stand before the first event and after the last one.
+    ends = events.agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("k")).select(F.explode(F.when(F.col("k") == 0, F.array(F.struct(F.lit(0).alias("row_no"), F.lit("[]").alias("line"))))
+        .otherwise(F.array(F.struct(F.lit(0).alias("row_no"), F.lit("[").alias("line")), F.struct((F.col("k") + 1).alias("row_no"), F.lit("]").alias("line"))))).alias("e")).select("e.*")
+    return events.select("row_no", "line").unionByName(ends)
 
 
 def write_single_file(df: DataFrame, path: str, col: str) -> None:

@@ -150,28 +150,93 @@ def retention_batch_writer(spark: SparkSession, snapshot_root: str, max_events:
 
     Each batch is unioned with the current snapshot (at most ``max_events``
     rows), cut to the newest ``max_events`` and written as a new version; the
-    version number is the batch id, so a replayed batch rewrites the same one.
+    version number is the batch id, so a replayed batch rewrites the same one. The
+    newest two versions are kept.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         prev = _latest_snapshot(spark, snapshot_root, batch_id)
         merged = batch if prev is None else prev.unionByName(batch.select(*prev.columns))
         L.prune_max_events(merged, max_events).write.mode("overwrite").parquet(f"{snapshot_root}/v={batch_id:09d}")
+        # A replay of this batch starts from the snapshot before it; older ones are done with.
+        for v in _versions(spark, snapshot_root, batch_id)[:-1]:
+            _remove(spark, f"{snapshot_root}/v={v:09d}")
     return write
 
 
-def _latest_snapshot(spark: SparkSession, root: str, before: int):
+COUNTS = "status string, count long, batch long"
+
+
+def counters_batch_writer(root: str):
+    """foreachBatch function that adds each batch's counts per status to the stored totals.
+
+    A batch's counts are a folder of their own, named by its number, so a replayed batch
+    replaces its counts instead of adding to them; pruning the ledger touches none of it.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("status").agg(F.count(F.lit(1)).alias("count")).withColumn("batch", F.lit(batch_id).cast("long")) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{root}/delta/v={batch_id:09d}")
+    return write
+
+
+def stored_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(status, count) over the newest base and the batches after it; empty before the first batch."""
+    base = _versions(spark, f"{root}/base", 1 << 62)[-1:]
+    parts = [f"{root}/base/v={v:09d}" for v in base] + [f"{root}/delta/v={v:09d}" for v in _versions(spark, f"{root}/delta", 1 << 62) if not base or v > base[0]]
+    if not parts:
+        return spark.createDataFrame([], COUNTS).select("status", "count")
+    return spark.read.schema(COUNTS).parquet(*parts).groupBy("status").agg(F.sum("count").alias("count"))
+
+
+def stored_counters(spark: SparkSession, root: str) -> DataFrame:
+    """The four totals, one row, as ``counters_total`` gives them for a ledger that was never pruned."""
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("count"))), F.lit(0)).cast("long")
+    return stored_counts(spark, root).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_processed"), of(R.STATUS_BLOCKED).alias("total_blocked"),
+        of(R.STATUS_SANITIZED).alias("total_sanitized"), of(R.STATUS_PASSED).alias("total_passed"))
+
+
+def compact_counters(spark: SparkSession, root: str, keep: int = 1) -> None:
+    """Fold all batches but the newest ``keep`` into a base of their sum, then remove what it holds.
+
+    A batch that may still be replayed, the newest, is never folded. The new base is
+    complete before anything is removed, and readers take batches after it only, so a
+    compaction that is cut off loses and doubles nothing.
+    """
+    deltas = _versions(spark, f"{root}/delta", 1 << 62)
+    bases = _versions(spark, f"{root}/base", 1 << 62)
+    fold = [v for v in deltas[:len(deltas) - keep] if not bases or v > bases[-1]]
+    if fold:
+        parts = [f"{root}/base/v={v:09d}" for v in bases[-1:]] + [f"{root}/delta/v={v:09d}" for v in fold]
+        total = spark.read.schema(COUNTS).parquet(*parts).groupBy("status").agg(F.sum("count").alias("count"))
+        total.withColumn("batch", F.lit(fold[-1]).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{root}/base/v={fold[-1]:09d}")
+        bases = bases + fold[-1:]
+    for v in bases[:-1]:
+        _remove(spark, f"{root}/base/v={v:09d}")
+    for v in deltas:
+        if bases and v <= bases[-1]:
+            _remove(spark, f"{root}/delta/v={v:09d}")
+
+
+def _versions(spark: SparkSession, root: str, before: int) -> list[int]:
+    """Numbers below ``before`` of the complete version folders under ``root``, ascending."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p)
-                      if s.getPath().getName().startswith("v=") and int(s.getPath().getName()[2:]) < before
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")))
-    if not versions:
-        return None
-    return spark.read.parquet(f"{root}/v={versions[-1]:09d}")
+        return []
+    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p)
+                  if s.getPath().getName().startswith("v=") and int(s.getPath().getName()[2:]) < before
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _latest_snapshot(spark: SparkSession, root: str, before: int):
+    versions = _versions(spark, root, before)
+    return spark.read.parquet(f"{root}/v={versions[-1]:09d}") if versions else None
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:

@@ -101,3 +101,27 @@ def test_score_stream_reads_the_rules_of_each_batch(spark):
     q.awaitTermination()
     got = sorted((r.batch, r.status, r.matched_rule) for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [(0, "PASSED", None), (1, "BLOCKED", "codeword"), (2, "PASSED", None)]
+
+
+def test_counters_survive_pruning_replays_and_compaction(spark):
+    """Totals equal those of the whole ledger before and after a prune, a replayed batch and a compaction."""
+    root = scratch_path(spark, "stored-counters")
+    count, prune = H.counters_batch_writer(f"{root}/counts"), H.retention_batch_writer(spark, f"{root}/snapshots", 3)
+    assert tuple(H.stored_counters(spark, f"{root}/counts").first()) == (0, 0, 0, 0)
+    batches = [spark.createDataFrame([(f"{b}-{i}", float(10 * b + i), s) for i, s in enumerate(rows)], "id string, unix_ts double, status string")
+               for b, rows in enumerate((["BLOCKED", "PASSED", "PASSED"], ["SANITIZED", "odd", "BLOCKED", "BLOCKED"], ["PASSED"], ["BLOCKED", "SANITIZED"]))]
+    for b, batch in enumerate(batches):
+        count(batch, b)
+        prune(batch, b)
+        if b == 2:
+            H.compact_counters(spark, f"{root}/counts")
+    want = (10, 4, 2, 3)
+    assert tuple(H.stored_counters(spark, f"{root}/counts").first()) == want
+    count(batches[3], 3)
+    prune(batches[3], 3)
+    H.compact_counters(spark, f"{root}/counts")
+    H.compact_counters(spark, f"{root}/counts")
+    assert tuple(H.stored_counters(spark, f"{root}/counts").first()) == want
+    assert H._versions(spark, f"{root}/counts/delta", 99) == [3] and H._versions(spark, f"{root}/counts/base", 99) == [2]
+    assert sorted(r.id for r in H.latest_snapshot(spark, f"{root}/snapshots").collect()) == ["2-0", "3-0", "3-1"]
+    assert H._versions(spark, f"{root}/snapshots", 99) == [2, 3]
