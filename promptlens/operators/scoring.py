@@ -50,8 +50,8 @@ def load_policy_rules(rules_df: DataFrame) -> DataFrame:
     return _enabled_rules(rules_df)
 
 
-def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection: bool = True,
-                  enable_pii: bool = True,
+def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection: bool | Column = True,
+                  enable_pii: bool | Column = True,
                   custom_rules: DataFrame | None = None,
                   key_col: str | None = None) -> DataFrame:
     """Full verdict per prompt.
@@ -60,17 +60,22 @@ def score_prompts(df: DataFrame, text_col: str = "prompt", *, enable_injection:
     BLOCKED (first built-in phrase, then first enabled custom rule; text kept,
     0 masked), else SANITIZED when the PII alternation matches (MEDIUM), else
     PASSED (LOW, no rule). The regex runs on unblocked rows only, and the
-    replacement only on rows whose count is positive. ``key_col`` is not read:
-    custom rules meet prompts by their text.
+    replacement only on rows whose count is positive. The switches may be columns
+    (settings in force at each row). ``key_col`` is not read: custom rules meet
+    prompts by their text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    verdict = (R.injection_verdict(text) if enable_injection
-               else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
+    if isinstance(enable_injection, Column):
+        verdict = F.when(enable_injection, R.injection_verdict(text))
+    else:
+        verdict = (R.injection_verdict(text) if enable_injection
+                   else F.lit(None).cast("struct<severity:string,rule:string,rank:int>"))
     out = df.withColumn("__v", verdict)
     if custom_rules is not None:
         out = _apply_custom_rules(out, text_col, custom_rules)
-    if enable_pii:
-        out = _redact_once(out.withColumn("__r", F.when(F.col("__v").isNull(), R.pii_redact(text))), text)
+    if isinstance(enable_pii, Column) or enable_pii:
+        wanted = F.col("__v").isNull() & enable_pii if isinstance(enable_pii, Column) else F.col("__v").isNull()
+        out = _redact_once(out.withColumn("__r", F.when(wanted, R.pii_redact(text))), text)
         out = out.withColumn("__n", F.coalesce(F.col("__n"), F.lit(0)))
     else:
         out = out.withColumn("__r", F.lit(None).cast("string")).withColumn("__n", F.lit(0))

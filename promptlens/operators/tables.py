@@ -7,7 +7,7 @@ key, so a hot key costs one row per task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.schemas import DEFAULT_SETTINGS
@@ -62,6 +62,54 @@ def settings_map(settings: DataFrame) -> DataFrame:
     return settings.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("settings"))
 
 
+def settings_versions(changes: DataFrame) -> DataFrame:
+    """(at, in_force): from each time of change on, the value of every setting, as a struct of texts.
+
+    ``changes`` are (unix_ts, seq, key, value); at one time the highest seq wins. Unset keys
+    have their defaults. The log is an administrator's: as many rows as settings were
+    changed, ordered in one window.
+    """
+    keys = [k for k, _ in DEFAULT_SETTINGS]
+    at = changes.groupBy(F.col("unix_ts").cast("double").alias("at")).agg(
+        *[F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("seq"))).alias(k) for k in keys])
+    so_far = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return at.select("at", F.struct(*[F.coalesce(F.last(k, ignorenulls=True).over(so_far), F.lit(v)).alias(k) for k, v in DEFAULT_SETTINGS]).alias("in_force"))
+
+
+def settings_as_of(rows: DataFrame, changes: DataFrame, ts_col: str = "unix_ts") -> DataFrame:
+    """Adds ``settings``: the settings in force at each row's time, a struct of texts.
+
+    A change holds from its own time on; rows before the first one, or without a time, have
+    the defaults. Versions are cut at the starts of the days that have rows, so rows meet
+    them by an equi-join on the day and a comparison within it; only the days and the
+    changes are ordered together.
+    """
+    day = lambda c: F.floor(c / 86400).cast("long")
+    versions = settings_versions(changes)
+    days = rows.select(day(F.col(ts_col)).alias("d")).where("d is not null").distinct().select((F.col("d") * 86400).cast("double").alias("at"))
+    marks = versions.withColumn("changed", F.lit(1)).unionByName(days.withColumn("changed", F.lit(0)), allowMissingColumns=True)
+    # A day's start comes before a change at that time: its stretch is then empty.
+    so_far = Window.orderBy("at", "changed").rowsBetween(Window.unboundedPreceding, 0)
+    filled = marks.withColumn("in_force", F.last("in_force", ignorenulls=True).over(so_far)).withColumn("__day", day(F.col("at")))
+    stretches = filled.select("__day", F.col("at").alias("__from"), "in_force",
+                              F.lead("at").over(Window.partitionBy("__day").orderBy("at", "changed")).alias("__to"))
+    base = F.struct(*[F.lit(v).alias(k) for k, v in DEFAULT_SETTINGS])
+    ts = F.col(ts_col).cast("double")
+    joined = rows.withColumn("__at", ts).withColumn("__d", day(F.col(ts_col))).join(
+        stretches, (F.col("__d") == F.col("__day")) & (F.col("__at") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("__at") < F.col("__to"))), "left")
+    return joined.withColumn("settings", F.coalesce("in_force", base)).drop("__at", "__d", "__day", "__from", "__to", "in_force")
+
+
+def switched_on(setting: str) -> "F.Column":
+    """A switch among ``settings``; Python's ``True`` and JSON's ``true`` are one."""
+    return F.lower(F.col(f"settings.{setting}")) == F.lit("true")
+
+
+def number_of(setting: str) -> "F.Column":
+    """A number among ``settings``; the default where the text is none."""
+    return F.coalesce(F.expr(f"try_cast(settings.{setting} as bigint)"), F.lit(int(dict(DEFAULT_SETTINGS)[setting])))
+
+
 def python_str(c, kind: str) -> "F.Column":
     """``str(value)`` of a JSON scalar as the reference stores settings values."""
     if kind == "boolean":

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
+from promptlens.operators import gateway as GW
 from promptlens.operators import ledger as L
 from promptlens.operators import ratelimit as RL
 from promptlens.operators import reports as E
@@ -260,6 +261,39 @@ def q_gateway(spark, sf):
                                                                                           "message")
 
 
+def _gateway_changes(spark, sf) -> DataFrame:
+    """A change of a setting with every 500th event: both switches, and the payload limit, in turn."""
+    i = F.col("event_id") / 500
+    turn = F.floor(i).cast("long")
+    return TD.table(spark, sf, "events").filter("event_id % 500 = 0").select(
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)).alias("unix_ts"), F.col("event_id").alias("seq"),
+        F.when(turn % 3 == 0, "enable_pii_detection").when(turn % 3 == 1, "enable_injection_detection").otherwise("max_payload_size").alias("key"),
+        F.when(turn % 3 == 2, ((turn % 5 + 1) * 1000).cast("string")).when(turn % 2 == 0, "False").otherwise("true").alias("value"))
+
+
+_GATEWAY_PIPELINE_SQL = ("WITH RECURSIVE " + O.with_ledger("").replace("WITH ", "", 1).rstrip() + ",\n" + _rl_ctes() + f""",
+turns AS (SELECT epoch_us(ts) / 1000000.0 AS at, event_id AS seq, event_id // 500 AS turn FROM events WHERE event_id % 500 = 0),
+chg AS (SELECT at, seq, turn % 3 AS k, CASE WHEN turn % 3 = 2 THEN (turn % 5 + 1) * 1000 WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS v FROM turns),
+pii AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 0 GROUP BY at),
+injd AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 1 GROUP BY at),
+siz AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 2 GROUP BY at),
+r AS (SELECT q.id, q.unix_ts, q.doc_id, rl.admitted, coalesce(pii.v, 1) = 1 AS pii_on, coalesce(injd.v, 1) = 1 AS inj_on, coalesce(siz.v, 10240) AS most
+  FROM requests q JOIN rl USING (id) ASOF LEFT JOIN pii ON q.unix_ts >= pii.at ASOF LEFT JOIN injd ON q.unix_ts >= injd.at ASOF LEFT JOIN siz ON q.unix_ts >= siz.at),
+texts AS (SELECT doc_id, prompt, inj_rank, {O.pii_count_sql('prompt')} AS n FROM inj),
+o AS (SELECT r.id, CASE WHEN NOT admitted THEN 'DENIED' WHEN strlen(prompt) > most THEN 'TOO_LARGE' ELSE 'SCORED' END AS outcome,
+    CASE WHEN inj_on THEN inj_rank END AS inj_rank, CASE WHEN inj_on AND inj_rank IS NOT NULL OR NOT pii_on THEN 0 ELSE n END AS n FROM r JOIN texts USING (doc_id))
+SELECT id, outcome, CASE WHEN outcome <> 'SCORED' THEN NULL WHEN inj_rank IS NOT NULL THEN 'BLOCKED' WHEN n > 0 THEN 'SANITIZED' ELSE 'PASSED' END AS status,
+  CASE WHEN outcome <> 'SCORED' THEN NULL WHEN inj_rank IS NOT NULL THEN {O.rank_to(1)} WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE WHEN outcome <> 'SCORED' THEN NULL WHEN inj_rank IS NOT NULL THEN {O.rank_to(2)} WHEN n > 0 THEN {O.q(R.PII_RULE_LABEL)} END AS matched_rule,
+  CASE WHEN outcome = 'SCORED' THEN CAST(n AS INTEGER) END AS tokens_masked FROM o""")
+
+
+@query("gateway_pipeline", _GATEWAY_PIPELINE_SQL)
+def q_gateway_pipeline(spark, sf):
+    requests = TD.requests(spark, sf).join(TD.prompts(spark, sf), "doc_id")
+    return GW.gateway(requests, _gateway_changes(spark, sf), limit=RL_LIMIT, window=RL_WINDOW).select("id", "outcome", "status", "severity", "matched_rule", "tokens_masked")
+
+
 # ---------------------------------------------------------------------------
 # D. Ledger filters and listings
 # ---------------------------------------------------------------------------
