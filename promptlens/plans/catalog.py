@@ -272,13 +272,13 @@ def _gateway_changes(spark, sf) -> DataFrame:
 
 
 _GATEWAY_PIPELINE_SQL = ("WITH RECURSIVE " + O.with_ledger("").replace("WITH ", "", 1).rstrip() + ",\n" + _rl_ctes() + f""",
-turns AS (SELECT epoch_us(ts) / 1000000.0 AS at, event_id AS seq, event_id // 500 AS turn FROM events WHERE event_id % 500 = 0),
-chg AS (SELECT at, seq, turn % 3 AS k, CASE WHEN turn % 3 = 2 THEN (turn % 5 + 1) * 1000 WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS v FROM turns),
-pii AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 0 GROUP BY at),
-injd AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 1 GROUP BY at),
-siz AS (SELECT at, arg_max(v, seq) AS v FROM chg WHERE k = 2 GROUP BY at),
+turns AS (SELECT epoch_us(ts) / 1000000.0 AS since, event_id AS seq, event_id // 500 AS turn FROM events WHERE event_id % 500 = 0),
+chg AS (SELECT since, seq, turn % 3 AS k, CASE WHEN turn % 3 = 2 THEN (turn % 5 + 1) * 1000 WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS v FROM turns),
+pii AS (SELECT since, arg_max(v, seq) AS v FROM chg WHERE k = 0 GROUP BY since),
+injd AS (SELECT since, arg_max(v, seq) AS v FROM chg WHERE k = 1 GROUP BY since),
+siz AS (SELECT since, arg_max(v, seq) AS v FROM chg WHERE k = 2 GROUP BY since),
 r AS (SELECT q.id, q.unix_ts, q.doc_id, rl.admitted, coalesce(pii.v, 1) = 1 AS pii_on, coalesce(injd.v, 1) = 1 AS inj_on, coalesce(siz.v, 10240) AS most
-  FROM requests q JOIN rl USING (id) ASOF LEFT JOIN pii ON q.unix_ts >= pii.at ASOF LEFT JOIN injd ON q.unix_ts >= injd.at ASOF LEFT JOIN siz ON q.unix_ts >= siz.at),
+  FROM requests q JOIN rl USING (id) ASOF LEFT JOIN pii ON q.unix_ts >= pii.since ASOF LEFT JOIN injd ON q.unix_ts >= injd.since ASOF LEFT JOIN siz ON q.unix_ts >= siz.since),
 texts AS (SELECT doc_id, prompt, inj_rank, {O.pii_count_sql('prompt')} AS n FROM inj),
 o AS (SELECT r.id, CASE WHEN NOT admitted THEN 'DENIED' WHEN strlen(prompt) > most THEN 'TOO_LARGE' ELSE 'SCORED' END AS outcome,
     CASE WHEN inj_on THEN inj_rank END AS inj_rank, CASE WHEN inj_on AND inj_rank IS NOT NULL OR NOT pii_on THEN 0 ELSE n END AS n FROM r JOIN texts USING (doc_id))
