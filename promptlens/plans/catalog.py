@@ -804,6 +804,18 @@ def q_dedup_stream(spark, sf):
     return spark.read.schema(LEDGER).parquet(H.run_available_now(H.dedup_stream(redelivered), "dedup_stream"))
 
 
+@query("dedup_into_ledger", O.with_ledger(f"SELECT {LCOLS} FROM ledger"))
+def q_dedup_into_ledger(spark, sf):
+    """Every event delivered twice, into a ledger that already holds those of even numbers."""
+    root = scratch_path(spark, "dedup-ledger")
+    led = ledger(spark, sf)
+    IO.ledger_append(led.filter(F.substring("id", -1, 1).cast("int") % 2 == 0), f"{root}/ledger")
+    twice = _ledger_stream(spark, sf).unionByName(_ledger_stream(spark, sf))
+    twice.writeStream.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True) \
+        .foreachBatch(H.dedup_batch_writer(spark, f"{root}/ledger")).start().awaitTermination()
+    return IO.ledger_scan(spark, f"{root}/ledger").select(*LEDGER.fieldNames())
+
+
 @query("retention_stream", O.with_ledger(f"SELECT {LCOLS} FROM ledger ORDER BY unix_ts DESC, id LIMIT 500"))
 def q_retention_stream(spark, sf):
     root = scratch_path(spark, "retention")

@@ -5,7 +5,8 @@ DataFrames; only the stateful parts differ:
 
 * counters / hourly figures: streaming aggregations (complete mode, or a
   watermark + event-time window in append mode, where late rows are dropped);
-* dedup: ``dropDuplicates`` on the event id, without a watermark;
+* dedup: ``dropDuplicates`` on the event id, without a watermark, or an anti-join
+  to the ledger's partitions of the arriving dates, without state;
 * scoring: the batch projection on the stream itself; with custom rules, per
   micro-batch, the rule table read anew each time;
 * rate limiting: ``transformWithState`` with a list of at most ``limit``
@@ -19,6 +20,7 @@ so a restarted query resumes from its last committed batch.
 
 from __future__ import annotations
 
+import datetime
 from bisect import bisect
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -35,8 +37,9 @@ from promptlens.operators import ledger as L
 from promptlens.operators import scoring
 from promptlens.operators.ratelimit import NULL_KEY, admit_run
 from promptlens.operators.reports import avg4, cents
-from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S
+from promptlens.schemas import DEFAULT_RATE_LIMIT, DEFAULT_RATE_WINDOW_S, LEDGER_PARTITION
 from promptlens.session import scratch_path
+from promptlens.sources import ledger_io
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -73,6 +76,37 @@ def dedup_stream(ledger_stream: DataFrame) -> DataFrame:
     return ledger_stream.dropDuplicates(["id"])
 
 
+def dedup_batch_writer(spark: SparkSession, path: str, horizon_days: int = 1):
+    """foreachBatch function that appends to the ledger only events whose id it does not hold.
+
+    The ledger itself is the memory, so no state grows with the ids ever seen. A batch is
+    made unique first; its ids are then looked up in the ledger's partitions from
+    ``horizon_days`` before its oldest event to as many after its newest: a repeated delivery
+    bears its event's time, give or take the horizon. Late first arrivals are looked up among
+    the dates of their own time and kept. A replayed batch finds what it wrote before.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            arrived = ledger_io.with_partition(L.ledger_dedup(batch))
+            day = F.col(LEDGER_PARTITION)
+            first, last, some = arrived.agg(F.min(day), F.max(day), F.count(F.lit(1))).first()
+            if not some:
+                return
+            if _exists(spark, path):
+                held = ledger_io.ledger_scan(spark, path)
+                if first is not None:
+                    margin = datetime.timedelta(days=horizon_days)
+                    held = held.filter(day.isNull() | day.between(F.lit(first - margin), F.lit(last + margin)))
+                else:
+                    held = held.filter(day.isNull())
+                arrived = arrived.join(held.select("id"), "id", "left_anti")
+            ledger_io.ledger_append(arrived, path)
+        finally:
+            batch.unpersist()
+    return write
+
+
 def admit_arrivals(ts: np.ndarray, hits: deque, limit: int, window: float) -> np.ndarray:
     """Decide requests ``ts`` (sorted) that arrive after the remembered ``hits`` (sorted), which are updated.
 
@@ -229,6 +263,11 @@ def _versions(spark: SparkSession, root: str, before: int) -> list[int]:
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -9,7 +9,9 @@ import model
 from tests.paths import SF_SMALL
 from promptlens.operators.scoring import event_project, score_prompts
 from promptlens.plans import testdata as TD
+from promptlens.schemas import LEDGER
 from promptlens.session import scratch_path
+from promptlens.sources import ledger_io
 from promptlens.streaming import streams as H
 
 
@@ -125,3 +127,17 @@ def test_counters_survive_pruning_replays_and_compaction(spark):
     assert H._versions(spark, f"{root}/counts/delta", 99) == [3] and H._versions(spark, f"{root}/counts/base", 99) == [2]
     assert sorted(r.id for r in H.latest_snapshot(spark, f"{root}/snapshots").collect()) == ["2-0", "3-0", "3-1"]
     assert H._versions(spark, f"{root}/snapshots", 99) == [2, 3]
+
+
+def test_dedup_into_ledger_keeps_late_first_arrivals(spark):
+    """Batches out of order, repeated ids within and across them, a replayed batch, and an empty one."""
+    path = scratch_path(spark, "dedup-ledger")
+    row = lambda i, day, payload: (i, f"2024-01-{day:02d} 10:00:00", 86400.0 * day, "PASSED", "LOW", 1.0, 0, 1, None, payload, payload, None, payload)
+    batches = [[row("a", 20, "a"), row("b", 21, "b"), row("a", 20, "a2")], [row("late", 3, "late"), row("b", 21, "again"), row("c", 22, "c")], [],
+               [row("late", 3, "again"), row("a", 20, "again"), row("late2", 4, "late2")], [row("d", 5, "d")]]
+    write = H.dedup_batch_writer(spark, path)
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, LEDGER), i)
+    write(spark.createDataFrame(batches[-1], LEDGER), len(batches) - 1)
+    got = sorted((r.id, r.full_payload) for r in ledger_io.ledger_scan(spark, path).collect())
+    assert [i for i, _ in got] == ["a", "b", "c", "d", "late", "late2"] and all(p in (i, "a2") for i, p in got)
