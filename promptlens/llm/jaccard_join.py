@@ -13,6 +13,11 @@ which the sizes of a band bound, so linked sketches of a band agree on m - d blo
   documents still in different components meet each other, under the Hamming bound of a
   second, bit-level parity sketch.
 
+Where more than ``OUTSIDE`` documents of a block stay outside its pivot's component (texts of
+one template), they do not meet directly. A second pigeonhole level takes the shingles as
+the finest blocks: of a set's rarest shingles one more than a partner of a given size may
+miss, so linked sets meet at a rare shingle, by pairs of sizes that leave room for a link.
+
 Every surviving pair is verified on the whole shingle sets. Documents with equal sets are
 one vertex from the start.
 """
@@ -35,6 +40,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SALTS = [np.uint64(0x243F6A8885A308D3 * (2 * i + 1) & (1 << 64) - 1) for i in range(8)]
 BYTES = 1 << 21
 SKETCH_WORDS = 8  # of the bit-level sketch
+# Documents of a block outside its pivot's component that meet the others directly; both ways find the same links.
+OUTSIDE = 64
+# Cells of the shingle counts that order shingles by rarity: 8 MB of them in a task, whatever the data.
+RARITY_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -201,6 +210,83 @@ def _linked(measure: Measure):
     return run
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mixed(h ^ SALTS[7]) % np.uint64(RARITY_CELLS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(RARITY_CELLS, np.int64)
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            np.add.at(counts, _cells(np.frombuffer(x, np.uint64)), 1)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts[cell], pa.int64())], names=["cell", "n"])
+
+
+def _rarest(measure: Measure, counts):
+    """(doc_id, n, c, s, p): of each set the rarest shingles s, by their place p, that a linked set cannot miss altogether."""
+    names = ["doc_id", "n", "c", "s", "p"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for b in batches:
+            for i, c, x in zip(*(b.column(k).to_pylist() for k in range(3))):
+                h = np.frombuffer(x, np.uint64)
+                first = np.lexsort((h, counts.value[_cells(h)]))[:len(h) + 1 - -(-measure.num * len(h) // measure.den)]
+                k = len(first)
+                parts.append([np.full(k, i), np.full(k, len(h)), np.full(k, c), h[first].view(np.int64), np.arange(1, k + 1)])
+                if len(parts) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*parts)], names=names)
+                    parts = []
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*parts)], names=names)
+    return run
+
+
+def _by_size(sets: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
+    """(key, side, want, doc_id, c): ``members`` (doc_id, c) under the rare shingles and pairs of sizes by which links must meet.
+
+    Linked sets of sizes n and n2 share ``need`` shingles, so the rarest that they share is
+    followed in each by need - 1 shingles at least, in any one order of all shingles. The
+    order is by counts per cell of shingle hashes. A key is a shingle and two sizes; the
+    sets of one size (``side``) meet those of the other (``want``).
+    """
+    of = written(sets.join(members, "doc_id").select("doc_id", "c", "shingles"), "hot-sets")
+    found = of.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(RARITY_CELLS, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    rows = written(of.mapInArrow(_rarest(measure, shared), "doc_id long, n long, c long, s long, p long"), "rare-shingles")
+    sizes = rows.groupBy("s", F.col("n").alias("n2")).agg(F.count("*").alias("k"))
+    need = f"({measure.num} * (n + n2) + {measure.den + measure.num - 1}) div {measure.den + measure.num}"
+    return rows.join(sizes, "s").where(f"n <> n2 or k > 1").where(f"{measure.den} * least(n, n2) >= {measure.num} * greatest(n, n2)") \
+        .where(f"{need} <= n - p + 1 and {need} <= n2") \
+        .select(F.xxhash64("s", F.least("n", "n2"), F.greatest("n", "n2")).alias("key"), (F.col("n") > F.col("n2")).alias("side"),
+                (F.col("n") < F.col("n2")).alias("want"), "doc_id", "c")
+
+
+def _hot_links(sets: DataFrame, members: DataFrame, links: DataFrame, measure: Measure, verified) -> DataFrame:
+    """Links among ``members`` (doc_id, c) that, with ``links``, span the components of all links among them.
+
+    As for blocks, pivots come first, and then documents still in different components. So a
+    key's work grows with the product of its documents outside the pivot's component and the
+    others only where sets agree up to their last possible shingle and still do not link.
+    """
+    pair = [F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")]
+    rows = written(_by_size(sets, members, measure), "rare-blocks")
+    pivot = rows.groupBy("key", F.col("side").alias("want")).agg(F.min("doc_id").alias("doc2"))
+    first = verified(rows.join(pivot, ["key", "want"]).where("doc_id <> doc2").select(*pair).distinct())
+    labels = components(links.unionByName(first))
+    placed = written(rows.drop("c").join(labels, F.col("doc_id") == F.col("v"), "left")
+                     .select("key", "side", "want", "doc_id", F.coalesce("component", "doc_id").alias("c")), "rare-placed")
+    spread = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min_by("c", F.struct("side", "doc_id")).alias("home")) \
+        .where("_lo < _hi").select("key", "home")
+    at = written(placed.join(spread, "key"), "rare-open")
+    other = at.select("key", F.col("side").alias("want"), F.col("doc_id").alias("doc2"), F.col("c").alias("c2"))
+    rest = at.where("c <> home").join(other, ["key", "want"]).where("c <> c2").select(*pair).distinct()
+    return first.unionByName(verified(rest))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, component): the least vertex reachable, for every vertex of ``edges`` (a, b).
 
@@ -271,6 +357,11 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, measure: Measure) -> Dat
     at = placed.join(open_keys, "key").join(pivot.select("key", "pivot"), "key")
     home = at.where("doc_id = pivot").select("key", F.col("c").alias("home"))
     at = written(at.drop("pivot").join(home, "key"), "open-blocks")
+    hot = written(at.where("c <> home").groupBy("key").agg(F.count("*").alias("_outside")).where(F.col("_outside") > OUTSIDE).select("key"), "hot-blocks")
+    if not hot.isEmpty():
+        members = written(at.join(hot, "key").select("doc_id", "c").distinct(), "hot-documents")
+        links = written(links.unionByName(_hot_links(sets, members, links, measure, verified)), "links")
+        at = at.join(hot, "key", "left_anti")
     other = at.select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("c").alias("c2"))
     rest = at.where("c <> home").join(other, "key").where("c <> c2 and (c2 = home or doc_id < doc2)").where(ratio).where(f"{hamming} <= {furthest}") \
         .select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")).distinct()

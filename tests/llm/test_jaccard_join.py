@@ -62,6 +62,42 @@ def test_components_are_those_of_all_pairs(make, measure):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, measure)
 
 
+def templated(seed):
+    """Texts of one template whose own parts lie on both sides of the threshold, the bare template, and groups of near copies of some."""
+    rng, fill = random.Random(seed), [f"t{i}" for i in range(40)]
+    texts = []
+    for n in (9, 12, 40):
+        for k in range(45):
+            own = [f"x{n}x{k}x{j}" for j in range(rng.choice([1, 1, 2, 4, 6]))]
+            texts.append(" ".join(fill[:n] + own))
+            if k % 9 == 0:
+                texts += [" ".join(fill[:n] + own + [f"y{j}"]) for j in range(6)]
+    texts += [" ".join(fill[:n]) for n in (9, 12, 39, 40)]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("measure, outside", [(J.Measure(), 0), (J.NEAR, 5), (J.Measure(words=1, num=60), 0)])
+def test_hot_blocks_lose_no_link(make, monkeypatch, measure, outside):
+    monkeypatch.setattr(J, "OUTSIDE", outside)
+    texts = templated(outside)
+    got = J.jaccard_classes(make([(i, t, None, "s") for i, t in texts.items()]).repartition(5), measure=measure).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, measure)
+
+
+def test_texts_of_one_template_do_not_all_meet(make, monkeypatch):
+    fill, met = " ".join(f"t{i}" for i in range(11)), []
+    monkeypatch.setattr(J, "written", lambda df, name, w=J.written: _counted(w(df, name), name, met))
+    got = J.jaccard_classes(make([(i, f"{fill} x{i}", None, "s") for i in range(600)])).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert sum(n for name, n in met if name == "rare-blocks") == 0 and any(name == "hot-sets" for name, _ in met)
+
+
+def _counted(df, name, met):
+    met.append((name, df.count() if name == "rare-blocks" else None))
+    return df
+
+
 def test_query_over_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMOKE}/documents.parquet").collect()}
     got = queries.op5_jaccard(spark, SF_SMOKE).collect()
