@@ -1,10 +1,12 @@
 """Exact dedup: an extendible-hash index on shared files.
 
 Every normalised text has a 64-bit key. A directory over the leading key bits starts
-with one bucket and doubles: a bucket with more than ``bucket_entries`` entries splits
-on its next bit, others keep their depth. Each bucket is a contiguous key range that one
-owner task sorts, chains and writes to the shared folder. Texts that share a key are
-compared byte by byte; those that differ become links of the key's chain.
+with one bucket and doubles: a bucket with more than ``bucket_entries`` keys splits
+on its next bit, others keep their depth. Each bucket is a contiguous key range with one
+owner task. Copies are pre-aggregated where they lie and their entries routed to the bucket
+that the directory names; the owner sorts a key's entries by their bytes into a chain, a
+link for each text that differs, and a link's entries are one group. A key seen once
+needs no text to be compared.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ def _slot(depth: int) -> Column:
     return F.expr(f"case when {depth} = 0 then 0L else shiftrightunsigned(key, 64 - {depth}) end")
 
 
-def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def directory(keys: DataFrame, bucket_entries: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(slot, depth): for every slot of the fully doubled directory the depth of its bucket.
 
-    A slot's bucket is its shortest leading prefix that holds at most ``bucket_entries`` entries.
+    A slot's bucket is its shortest leading prefix that holds at most ``bucket_entries`` of ``keys``.
     The counts per slot come first, so each doubling adds up at most 2^max_depth rows.
     """
-    slots = entries.groupBy(_slot(max_depth).alias("slot")).agg(F.count("*").alias("n"))
+    slots = keys.groupBy(_slot(max_depth).alias("slot")).agg(F.count("*").alias("n"))
     doubled = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")) \
         .withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)"))
     fits = doubled.groupBy("depth", "prefix").agg(F.sum("n").alias("held")) \
@@ -58,20 +60,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     normal = _normal(docs, id_col, text_col)
     rows = written(normal.select("doc_id", text_key("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
-    keys = rows.groupBy("key").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"),
-                                   F.min("text_sha256").alias("text_sha256"))
-    single = keys.where("group_size = 1")
-    # Only texts of a key seen twice are read again, compared whole and pre-aggregated before they move.
-    again = maybe_in(normal.withColumn("key", text_key("norm")), "key", bit_filter(keys.where("group_size > 1"), "key"), "_again")
-    equal = (again.where("_again").groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
-             .select("key", "group_size", "keep_id", F.sha2("norm", 256).alias("text_sha256")))
-    equal = equal.join(single.select("key"), "key", "left_anti")
-    entries = written(single.unionByName(equal), "dedup-entries")
-    index = (entries.withColumn("slot", _slot(max_depth)).join(directory(entries, bucket_entries, max_depth), "slot")
-             .withColumn("bucket", F.expr("case when depth = 0 then 0L else shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth) end"))
-             .repartition("bucket")
-             .withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")))
-             .select("bucket", "depth", "key", "chain", "text_sha256", "keep_id", "group_size"))
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("text_sha256").alias("text_sha256")), "dedup-keys")
+    slots = written(directory(keys, bucket_entries, max_depth), "dedup-directory")
+    twice = keys.where("n > 1").select("key")
+    maybe = maybe_in(normal.withColumn("key", text_key("norm")), "key", bit_filter(twice, "key"), "_again").where("_again").drop("_again")
+    # Copies are merged per input partition, so a hot text sends its owner one entry of each.
+    merged = maybe.groupBy("key", "norm", F.spark_partition_id().alias("_at")).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
+    merged = merged.select("key", "norm", "n", "keep_id", F.sha2("norm", 256).alias("text_sha256"))
+    alone = keys.where("n = 1").select("key", F.lit(None).cast("string").alias("norm"), "n", "keep_id", "text_sha256")
+    bucket = F.expr("case when depth = 0 then 0L else shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth) end")
+    # The directory has at most 2^max_depth slots, so it may be broadcast.
+    routed = merged.unionByName(alone).withColumn("slot", _slot(max_depth)).join(F.broadcast(slots), "slot") \
+        .withColumn("bucket", bucket).drop("slot").repartition("bucket")
+    # The filter lets some keys through that are seen once; their text is not looked at.
+    of_key = Window.partitionBy("bucket", "key")
+    chained = routed.withColumn("_alone", F.max(F.col("norm").isNull()).over(of_key)).where(F.col("norm").isNull() | ~F.col("_alone")) \
+        .withColumn("chain", F.dense_rank().over(of_key.orderBy("norm")))
+    index = chained.groupBy("bucket", "depth", "key", "chain").agg(
+        F.min("text_sha256").alias("text_sha256"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return written(index, "dedup-index"), rows
 
 

@@ -51,6 +51,23 @@ def test_colliding_keys_are_chained_by_their_bytes(make, monkeypatch):
     assert {tuple(r) for r in got} == brute(texts)
 
 
+def test_directory_decides_the_groups(make, monkeypatch):
+    table = make([(i, f"text {i % 5}", None, "a") for i in range(20)])
+    whole = X.directory
+    # A directory without the slots of one half of the keys leaves their texts without an owner, and so without a group.
+    monkeypatch.setattr(X, "directory", lambda keys, *a: whole(keys, *a).where(F.col("slot") < 2**(X.MAX_DEPTH - 1)))
+    index, rows = X.build_index(table)
+    upper = {r.key for r in rows.collect() if r.key < 0}
+    assert upper and {r.key for r in index.collect()} == {r.key for r in rows.collect()} - upper
+    assert len(X.exact_dedup(table).collect()) == sum(r.key >= 0 for r in rows.collect())
+
+
+def test_hot_text_reaches_its_owner_merged(make):
+    texts = {i: "the same" if i % 3 else f"own {i}" for i in range(300)}
+    table = make([(i, t, None, "a") for i, t in texts.items()]).repartition(7)
+    assert {tuple(r) for r in X.exact_dedup(table).collect()} == brute(texts)
+
+
 def test_stage_keeps_one_of_each_group(make):
     got = X.drop_copies(make([(3, "a  b", None, "s"), (1, "a\tb", None, "s"), (2, "c", None, "s"), (9, None, None, None)]))
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 9]
