@@ -186,7 +186,11 @@ MIN_SCORE = 0.4
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` less the rows that are ``und`` or score under ``min_score``; all columns, no row moves."""
+    """``docs`` less the rows that are ``und`` or score under ``min_score``; all columns, no row moves.
+
+    Without any labelled row no language is known that a text could fail to be in: then only
+    rows whose text is null or has no letter go.
+    """
     filters = learn(_learnable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))))
     shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text_col)
 
@@ -194,6 +198,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             keep: list[bool] = []
             for _, texts in slices(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(at)], names=["id", "text"])])):
+                if not shared.value.languages:
+                    keep += n_grams(texts)[2].tolist()
+                    continue
                 lang, score = classify(texts, shared.value)
                 keep += [x != UNDETERMINED and s >= min_score for x, s in zip(lang, score)]
             yield b.filter(pa.array(keep, pa.bool_()))

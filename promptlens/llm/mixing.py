@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The documents of a source are shuffled (by MD5 of the id) and laid end to end, and that
+The documents of a source are shuffled (by MD5 of the id, or of the text's hash where there is no id) and laid end to end, and that
 stream is cut into blocks of ``block_words`` words. Slot t of the mix has the golden-ratio
 point frac(t * phi); the cumulative weights map the point to a source, and the slot's rank
 among the slots of its source says which block it takes, from a second pass over the
@@ -29,6 +29,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _order(doc_id: Column, digest: Column) -> Column:
+    """The place of a row in its shuffled source; rows without an id are told apart by their texts."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), digest.cast("string"))))
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(src, source, source_size, weight, target) for each row (source, source_size).
 
@@ -70,13 +79,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents of their own; an empty table gives three empty results.
     """
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-                                F.monotonically_increasing_id().alias("row")), "mix-sizes")
+                                _digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     recipe = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-recipe")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = _order(F.col("doc_id"), F.col("digest"))
     rows = sized.join(recipe.select("src", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))) \
-        .select("row", "doc_id", "size", "src", order.alias("order")) \
+        .select("row", "doc_id", "size", "src", "digest", order.alias("order")) \
         .withColumn("d1", F.substring("order", 1, 2)).withColumn("d2", F.substring("order", 3, 2))
-    rows = written(running(rows, "src", ("d1", "d2"), ["order", "doc_id", "row"], F.col("size"), "start"), "mix-rows")
+    rows = written(running(rows, "src", ("d1", "d2"), ["order", "doc_id", "digest", "row"], F.col("size"), "start"), "mix-rows")
     slots = schedule(recipe, block_words)
     end = F.col("start") + F.col("size")
     parts = rows.where("size > 0").select("src", "row", "doc_id", "start", end.alias("end"), F.explode(F.sequence(
@@ -136,17 +145,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A source's blocks follow its shuffled stream, so what the last pass takes ends at one
     document. That document's order key is the source's cut: a text stays where it is and
-    compares its own key with the cut of its source (one row per source).
+    compares its own key with the cut of its source (one row per source). Rows are ordered by
+    id and text, rows without an id by text alone; only rows that repeat both are taken together.
     """
     takes, rows, recipe = mix(docs, id_col, text_col, source_col, **kw)
     per_doc = takes.groupBy("row", "src").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken")) \
-        .join(rows.select("row", "size", "order", "doc_id"), "row") \
+        .join(rows.select("row", "size", "order", "doc_id", "digest"), "row") \
         .withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
-    key = F.struct("order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    # The id as it is: ties are ordered as in the stream.
+    key = F.struct("order", "doc_id", "digest")
     cuts = per_doc.groupBy("src").agg(*[F.max(F.when(F.col("times") >= k, key)).alias(f"_cut{k}") for k in range(1, PASSES + 1)])
     cuts = recipe.join(cuts, "src").select(F.col("source").alias("_source"), *[f"_cut{k}" for k in range(1, PASSES + 1)])
-    own_id = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    own = F.struct(F.md5(own_id).alias("order"), own_id.alias("id"))
+    own_digest = _digest(F.col(f"_doc.`{text_col}`"))
+    own = F.struct(_order(F.col("_id"), own_digest).alias("order"), F.col("_id").alias("doc_id"), own_digest.alias("digest"))
     times = sum((F.when(own <= F.col(f"_cut{k}"), 1).otherwise(0) for k in range(2, PASSES + 1)), F.when(own <= F.col("_cut1"), 1).otherwise(0))
     return (whole_rows(docs, _id=id_col, _of=source_col).join(cuts, F.col("_of").eqNullSafe(F.col("_source")))
             .withColumn("_times", F.when(F.coalesce(F.col(f"_doc.`{text_col}`").rlike(WORD), F.lit(False)), times).otherwise(0))

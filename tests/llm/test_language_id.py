@@ -46,3 +46,8 @@ def test_n_grams_against_plain_ones():
     doc, _, letters = L.n_grams(texts)
     assert np.bincount(doc, minlength=len(texts)).tolist() == [plain(t) for t in texts]
     assert letters.tolist() == [True, True, False, False, True, True]
+
+
+def test_stage_without_labels_drops_only_texts_without_letters(make):
+    got = L.keep_identified(make([(1, "some words", None, "a"), (2, "123 !", None, "a"), (3, None, None, "a"), (None, "mots", None, None)]))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]

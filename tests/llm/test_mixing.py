@@ -76,3 +76,14 @@ def test_documents_come_as_often_as_taken(make):
     got = Counter(r.doc_id for r in mixing.mixed_documents(table, block_words=16).collect())
     words = {r.doc_id: (r["size"], r.taken) for r in mixing.mixed_words(table, block_words=16).collect()}
     assert {i: int(t / n + 0.5) for i, (n, t) in words.items() if int(t / n + 0.5)} == got
+
+
+def test_rows_without_ids_keep_the_targets(make):
+    rows = [(None if i % 2 else i, f"t{i} " + " ".join(["w"] * (i % 9)), "en", "abc"[i % 3]) for i in range(600)]
+    rows += [(5000 + i % 20, f"again {i}", "en", "a") for i in range(60)]  # ids that repeat with other texts
+    size, got = Counter(), Counter()
+    for _, t, _, s in rows:
+        size[s] += len(t.split())
+    for r in mixing.mixed_documents(make(rows), block_words=16).collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - want) <= 10 for s, want in fill(size).items())
