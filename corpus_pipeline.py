@@ -15,7 +15,8 @@ from promptlens.llm.common import written
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter or in none of them go.
 
-    The filters learn from the rows of ``docs`` itself that have a text and a language.
+    The filters learn from the rows of ``docs`` itself that have a text and a language; where
+    there are none, only documents without a letter go.
     """
     return language_id.keep_identified(docs)
 
@@ -31,7 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often (0, 1 or 2 times) as the mix takes it; documents without words are not taken."""
+    """Every document as often (0, 1 or 2 times) as the mix takes it; documents without words are not taken.
+
+    Rows that repeat both id and text (or lack an id and repeat the text) are taken together.
+    """
     return mixing.mixed_documents(docs)
 
 
@@ -48,7 +52,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-# Language filters and the tokenizer are beyond SQL; tests hold the rows against a brute-force version.
+# Language filters and the tokenizer are beyond SQL; tests hold the stages against examples and edge rows.
 ORACLE_SQL = None
 
 
