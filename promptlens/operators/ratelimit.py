@@ -8,7 +8,7 @@ ordered recurrence per key.
 
 Plan (one key with a third of all rows is spread over its segments):
 
-1. Only (key, ts, id) enter the limiter; the decisions are joined back by id,
+1. Only (key, ts, id) enter the limiter; the decisions are joined back by these,
    so payload columns never cross into Python.
 2. Split points from counts. Time is cut into cells, CELLS of them a little
    longer than the window, and hits are counted per (key, cell) with a map-side
@@ -41,6 +41,7 @@ point is valid for any earlier state), so segment ids need not be unique.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 
 import numpy as np
@@ -57,6 +58,8 @@ NULL_KEY = "\u0000"
 
 # Cells per window: finer cells find more split points.
 CELLS = 8
+# Parts of a group of requests with one id, time and key, where only some of them are admitted.
+SALTS = 64
 
 
 def _widen(window: float) -> float:
@@ -158,14 +161,34 @@ def rate_limit_admit(df: DataFrame, key_col: str = "ip_address", ts_col: str = "
                      window: float = DEFAULT_RATE_WINDOW_S) -> DataFrame:
     """Every request with an ``admitted`` flag (denied ones are never scored or stored).
 
-    Requests that repeat an id are told apart by time and key, and equal ones by their number.
+    Decisions are counted per (id, time, key) and joined back by these, so requests that
+    repeat an id or have none are spread by time and key. Requests equal in all three are
+    in no order: where only some of them are admitted, these are the first by a digest of
+    the whole row.
     """
-    same = lambda i, t, k: F.row_number().over(Window.partitionBy(i).orderBy(t, k))
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(NULL_KEY))
     decided = rate_limit_decisions(df, key_col, ts_col, id_col, limit, window, with_order=True)
-    decided = decided.select(F.col(id_col).alias("__id"), "admitted", same(F.col(id_col), F.col("__ts"), F.col("__k")).alias("__no2"))
-    numbered = df.withColumn("__no", same(F.col(id_col), F.col(ts_col).cast("double"), key))
-    return numbered.join(decided, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__no") == F.col("__no2"))).drop("__id", "__no", "__no2")
+    groups = (decided.groupBy(F.col(id_col).alias("__gi"), F.col("__ts").alias("__gt"), F.col("__k").alias("__gk"))
+              .agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("admitted")).alias("__a")))
+    same = F.col(id_col).eqNullSafe(F.col("__gi")) & F.col(ts_col).cast("double").eqNullSafe(F.col("__gt")) & (key == F.col("__gk"))
+    mixed = (F.col("__a") > 0) & (F.col("__a") < F.col("__n"))
+    alike = df.join(groups.filter(~mixed), same).withColumn("admitted", F.col("__a") > 0)
+    numbered = _numbered(df.join(groups.filter(mixed), same), df).withColumn("admitted", F.col("__no") <= F.col("__a"))
+    return alike.select(*df.columns, "admitted").union(numbered.select(*df.columns, "admitted"))
+
+
+def _numbered(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds ``__no``, the number of a row in its group, by a digest of its columns.
+
+    A group is numbered in SALTS parts by digest, each after the counts of the parts before it.
+    """
+    plain = [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    rows = (rows.withColumn("__g", F.struct("__gi", "__gt", "__gk")).withColumn("__h", F.xxhash64(*plain))
+            .withColumn("__s", F.pmod(F.col("__h"), F.lit(SALTS))))
+    sizes = rows.groupBy("__g", "__s").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.select("__g", "__s", (F.sum("__c").over(Window.partitionBy("__g").orderBy("__s")) - F.col("__c")).alias("__b"))
+    in_part = F.row_number().over(Window.partitionBy("__g", "__s").orderBy("__h"))
+    return rows.join(before, ["__g", "__s"]).withColumn("__no", F.col("__b") + in_part)
 
 
 def rate_limit_denials(decided: DataFrame, key_col: str = "ip_address") -> DataFrame:

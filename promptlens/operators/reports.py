@@ -114,10 +114,14 @@ def chart_dense_12h(ledger: DataFrame, now_unix: float) -> DataFrame:
 
 
 def top_patterns(ledger: DataFrame, k: int = 10) -> DataFrame:
-    """Blocked rules by count (top k, ties by rule); severity = most severe seen for the rule."""
+    """Blocked rules by count (top k, ties by rule); severity = most severe seen for the rule.
+
+    Rows are hashed into counts per (rule, severity); only these few are sorted by rule.
+    """
     return (_blocked(ledger).filter(F.col("matched_rule").isNotNull())
+            .groupBy("matched_rule", "severity").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("matched_rule")
-            .agg(F.count(F.lit(1)).alias("count"),
+            .agg(F.sum("n").alias("count"),
                  F.max_by("severity", R.severity_rank(F.col("severity"))).alias("severity"))
             .orderBy(F.col("count").desc(), F.col("matched_rule").asc()).limit(k))
 

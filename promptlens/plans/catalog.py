@@ -250,15 +250,19 @@ SELECT l.id, CASE WHEN NOT rl.admitted THEN 429 WHEN l.status = 'BLOCKED' THEN 4
             || {O.q(S.BLOCKED_DETAIL.split('{rule}')[1])}
        WHEN l.tokens_masked > 0 THEN '[' || l.status || '] ' || CAST(l.tokens_masked AS VARCHAR)
             || {O.q(S.MASKED_MESSAGE.split('{n}')[1])}
-       ELSE {O.q(S.CLEAN_MESSAGE)} END AS message
+       ELSE {O.q(S.CLEAN_MESSAGE)} END AS message,
+  CASE WHEN http_status <> 200 THEN '{{"detail":' || CAST(to_json(message) AS VARCHAR) || '}}'
+       ELSE '{{"status":"' || l.status || '","event_id":"' || l.id || '","severity":"' || l.severity || '","processed_prompt":'
+            || CAST(to_json(l.sanitized_payload) AS VARCHAR) || ',"telemetry":{{"latency_ms":' || CAST(l.latency_ms AS VARCHAR)
+            || ',"tokens_masked":' || CAST(l.tokens_masked AS VARCHAR) || ',"routing_target":"{S.ROUTING_TARGET}"}},"response":'
+            || CAST(to_json(message) AS VARCHAR) || '}}' END AS body
 FROM ledger l JOIN rl USING (id)""")
 
 
 @query("gateway_response", _GATEWAY_SQL)
 def q_gateway(spark, sf):
     decisions = RL.rate_limit_decisions(TD.requests(spark, sf), "ip_address", "unix_ts", "id", RL_LIMIT, RL_WINDOW)
-    return S.gateway_response(ledger(spark, sf).join(decisions, "id"), "admitted").select("id", "http_status",
-                                                                                          "message")
+    return S.gateway_response(ledger(spark, sf).join(decisions, "id"), "admitted")
 
 
 def _gateway_changes(spark, sf) -> DataFrame:
@@ -631,11 +635,16 @@ def q_expired(spark, sf):
 # ---------------------------------------------------------------------------
 @query("prompts_ingest", f"""WITH {O.prompts_cte()}
 SELECT doc_id, 'text' AS kind, true AS valid, prompt FROM prompts
-UNION ALL SELECT doc_id, 'number', false, NULL FROM prompts""")
+UNION ALL SELECT doc_id, 'number', false, NULL FROM prompts
+UNION ALL SELECT doc_id, 'twice', true, prompt FROM prompts
+UNION ALL SELECT doc_id, 'trailing', false, NULL FROM prompts""")
 def q_ingest(spark, sf):
     docs = TD.table(spark, sf, "documents").select("doc_id", TD.planted_text().alias("prompt"), "n_chars")
+    body = F.to_json(F.struct("prompt"))
     bodies = docs.select("doc_id", F.explode(F.array(
-        F.struct(F.lit("text").alias("kind"), F.to_json(F.struct("prompt")).alias("value")),
+        F.struct(F.lit("text").alias("kind"), body.alias("value")),
+        F.struct(F.lit("twice").alias("kind"), F.concat(F.lit('{"prompt": "first", '), F.substr(body, F.lit(2))).alias("value")),
+        F.struct(F.lit("trailing").alias("kind"), F.concat(body, F.lit(" junk")).alias("value")),
         F.struct(F.lit("number").alias("kind"),
                  F.concat(F.lit('{"prompt": '), F.coalesce(F.col("n_chars").cast("string"), F.lit("0")),
                           F.lit("}")).alias("value")))).alias("b")).select("doc_id", "b.kind", "b.value")

@@ -102,3 +102,29 @@ def test_busy_key_without_idle_gap_is_split(spark):
     assert segs > 1000
     got = RL.rate_limit_decisions(df, limit=6, window=10.0)
     assert got.filter("admitted").count() == 2000
+
+
+def test_requests_that_share_id_time_and_key_get_as_many_admissions_as_the_loop(spark):
+    """Null ids, repeated ids, identical rows and null keys; limit 3 in 10 s."""
+    rows = [(None, "a", 100.0, f"p{i}") for i in range(200)]                                   # only three of these
+    rows += [("x", "a", 105.0, "late")] * 2 + [("x", "a", 120.0, "again")] * 2 + [("x", "b", 120.0, "other key")]
+    rows += [(None, None, 100.0, "same")] * 5 + [("y", None, 100.0, None)]
+    df = spark.createDataFrame(rows, "id string, ip_address string, unix_ts double, note string")
+    out = RL.rate_limit_admit(df, limit=3, window=10.0)
+    assert out.columns == ["id", "ip_address", "unix_ts", "note", "admitted"]
+    got = {}
+    for r in out.collect():
+        n, a = got.get((r.id, r.ip_address, r.unix_ts), (0, 0))
+        got[r.id, r.ip_address, r.unix_ts] = (n + 1, a + r.admitted)
+    assert got == {(None, "a", 100.0): (200, 3), ("x", "a", 105.0): (2, 0), ("x", "a", 120.0): (2, 2), ("x", "b", 120.0): (1, 1),
+                   (None, None, 100.0): (5, 3), ("y", None, 100.0): (1, 0)}
+    again = RL.rate_limit_admit(df.repartition(3), limit=3, window=10.0)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+    assert RL.rate_limit_admit(df.limit(0), limit=3, window=10.0).collect() == []
+
+
+def test_admission_numbers_no_payload_of_distinct_requests(spark):
+    df = spark.createDataFrame([(f"r{i}", "k", float(i), "text") for i in range(50)], "id string, ip_address string, unix_ts double, note string")
+    plan = RL.rate_limit_admit(df, limit=3, window=10.0)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line]
+    assert windows and all("__h" in line for line in windows)
