@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-# Language filters and the tokenizer are beyond SQL; tests hold the stages against examples and edge rows.
+# Language filters and the tokenizer are beyond SQL; a test holds the whole run against plain versions of its stages.
 ORACLE_SQL = None
 
 
