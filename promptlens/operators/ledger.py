@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from promptlens.functions import rules as R
 from promptlens.functions.text import VIEW_CHARS, VIEW_SUFFIX, literal_search, sqlite_like_search
 from promptlens.operators.bits import bit_filter, maybe_in
-from promptlens.schemas import LEDGER_COLUMNS, LEDGER_PARTITION
+from promptlens.operators.references import by_reference, with_texts
+from promptlens.schemas import LEDGER_COLUMNS, LEDGER_PARTITION, PAYLOAD_COLUMNS
 
 # Bounds of the events listing (reference: 1..500, default 50).
 MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 1, 500, 50
@@ -93,16 +94,25 @@ def ledger_dedup(ledger: DataFrame) -> DataFrame:
 
     Most ids come once, and their rows never move: the repeated ids, found by counting ids
     alone, make a bit filter of bounded size, and only rows that may be among them are
-    ranked. The rank sorts (id, time, digest), payloads ride along, and each task keeps one
-    row per id before anything is shuffled, so a hot id costs one row per task.
+    ranked, by ``first_writes``.
     """
     repeated = ledger.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(F.coalesce("id", F.lit("")).alias("__id"))
     marked = maybe_in(ledger.withColumn("__id", F.coalesce("id", F.lit(""))), "__id", bit_filter(repeated, "__id"), "__maybe").drop("__id")
+    ranked = with_texts(*first_writes(marked.filter("__maybe").select(*ledger.columns)))
+    return marked.filter("not __maybe").select(*ledger.columns).unionByName(ranked.select(*ledger.columns))
+
+
+def first_writes(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row per id, with references to its payload texts, and these (see ``by_reference``).
+
+    The rank sorts (id, time, digest) of rows without payloads, and each task keeps one row
+    per id before anything is shuffled, so a hot id costs one short row per task. A payload
+    is moved once, however many rows bear it.
+    """
     digest = F.xxhash64(*[F.col(c) for c in ledger.columns if c != "id"])
+    rows, texts = by_reference(ledger.withColumn("__digest", digest), [c for c in PAYLOAD_COLUMNS if c in ledger.columns])
     first = Window.partitionBy("id").orderBy("unix_ts", "__digest")
-    ranked = (marked.filter("__maybe").withColumn("__digest", digest)
-              .withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1))
-    return marked.filter("not __maybe").select(*ledger.columns).unionByName(ranked.select(*ledger.columns))
+    return rows.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1).drop("__rank", "__digest"), texts
 
 
 def _newest_first(ledger: DataFrame) -> DataFrame:

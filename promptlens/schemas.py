@@ -24,6 +24,8 @@ LEDGER = T.StructType([
     T.StructField("snippet", T.StringType(), False),
 ])
 LEDGER_COLUMNS = [f.name for f in LEDGER.fields]
+# The texts of a row, as long as the prompt or made from it.
+PAYLOAD_COLUMNS = ["full_payload", "sanitized_payload", "snippet"]
 # Physical layout adds the partition column derived from ``timestamp``.
 LEDGER_PARTITION = "event_date"
 
