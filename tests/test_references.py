@@ -42,3 +42,21 @@ def test_first_writes_rank_rows_without_payloads(spark):
     assert not set(PAYLOAD_COLUMNS) & set(rows.columns)
     got = sorted(tuple(r) for r in L.ledger_dedup(led).select("id", *PAYLOAD_COLUMNS).collect())
     assert got == [("a", "first", "[REDACTED]", "fir"), ("b", "first", "", "fir")]
+
+
+def test_append_stores_an_unchanged_payload_once(spark):
+    rows = [_row("a", 1, "same", "same"), _row("b", 1, "mail a@b.co", "mail [REDACTED]"), _row("c", 2, "blocked", ""), _row("d", 3, "", "")]
+    path = scratch_path(spark, "test-once")
+    IO.ledger_append(spark.createDataFrame(rows, LEDGER).repartition(2), path)
+    IO.ledger_append(spark.createDataFrame([_row("e", 3, "late", "late")], LEDGER), path)
+    stored = spark.read.parquet(path)
+    assert sorted((r.id, r.sanitized_payload) for r in stored.filter("sanitized_payload is not null").collect()) == [("b", "mail [REDACTED]"), ("c", "")]
+    assert sorted(tuple(r) for r in IO.ledger_scan(spark, path).select(*LEDGER_COLUMNS).collect()) == rows + [_row("e", 3, "late", "late")]
+    assert spark.conf.get(IO.WRITERS) == "0"
+
+
+def test_append_moves_no_payload(spark):
+    """One file per task and day: the rows are written where they are."""
+    path = scratch_path(spark, "test-unmoved")
+    IO.ledger_append(spark.createDataFrame([_row(f"{i}", 1 + i % 2, "p", "p") for i in range(40)], LEDGER).repartition(3), path)
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 6
