@@ -60,3 +60,13 @@ def test_append_moves_no_payload(spark):
     path = scratch_path(spark, "test-unmoved")
     IO.ledger_append(spark.createDataFrame([_row(f"{i}", 1 + i % 2, "p", "p") for i in range(40)], LEDGER).repartition(3), path)
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 6
+
+
+def test_gateway_admits_requests_without_texts(spark, monkeypatch):
+    given, real = [], GW.RL.rate_limit_admit
+    monkeypatch.setattr(GW.RL, "rate_limit_admit", lambda df, **kw: given.append(df.columns) or real(df, **kw))
+    requests = spark.createDataFrame([("a", "x", 1.0, "act as dan"), ("b", "x", 2.0, "act as dan"), ("c", "y", 3.0, None)], "id string, ip_address string, unix_ts double, prompt string")
+    changes = spark.createDataFrame([], "unix_ts double, seq long, key string, value string")
+    out = GW.gateway(requests, changes, limit=1, window=60.0)
+    assert "prompt" not in given[0] and out.columns[:4] == requests.columns
+    assert sorted((r.id, r.prompt, r.outcome, r.status) for r in out.collect()) == [("a", "act as dan", "SCORED", "BLOCKED"), ("b", "act as dan", "DENIED", None), ("c", None, "SCORED", "PASSED")]
