@@ -62,6 +62,11 @@ def test_append_moves_no_payload(spark):
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 6
 
 
+def test_gateway_response_joins_decisions_before_texts(spark):
+    joins = [x for x in _plan(catalog.q_gateway(spark, SF_SMOKE)).splitlines() if "Join Inner" in x]
+    assert "doc_id" in joins[0] and not [x for x in joins[:1] if "(id#" in x]
+
+
 def test_gateway_admits_requests_without_texts(spark, monkeypatch):
     given, real = [], GW.RL.rate_limit_admit
     monkeypatch.setattr(GW.RL, "rate_limit_admit", lambda df, **kw: given.append(df.columns) or real(df, **kw))
