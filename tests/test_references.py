@@ -62,6 +62,14 @@ def test_append_moves_no_payload(spark):
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 6
 
 
+def test_dedup_stream_is_given_arrivals_without_texts(spark, monkeypatch):
+    given, real = [], H.dedup_stream
+    monkeypatch.setattr(H, "dedup_stream", lambda s: given.append(s.columns) or real(s))
+    out = catalog.q_dedup_stream(spark, SF_SMOKE)
+    assert given and not {"prompt", *PAYLOAD_COLUMNS} & set(given[0])
+    assert out.count() == out.select("id").distinct().count() == TD.requests(spark, SF_SMOKE).count()
+
+
 def test_gateway_response_joins_decisions_before_texts(spark):
     joins = [x for x in _plan(catalog.q_gateway(spark, SF_SMOKE)).splitlines() if "Join Inner" in x]
     assert "doc_id" in joins[0] and not [x for x in joins[:1] if "(id#" in x]
