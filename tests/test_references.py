@@ -83,3 +83,8 @@ def test_gateway_admits_requests_without_texts(spark, monkeypatch):
     out = GW.gateway(requests, changes, limit=1, window=60.0)
     assert "prompt" not in given[0] and out.columns[:4] == requests.columns
     assert sorted((r.id, r.prompt, r.outcome, r.status) for r in out.collect()) == [("a", "act as dan", "SCORED", "BLOCKED"), ("b", "act as dan", "DENIED", None), ("c", None, "SCORED", "PASSED")]
+
+
+def test_filters_on_verdicts_repeat_no_regex(spark):
+    plan = _plan(catalog.q_diff(spark, SF_SMOKE))
+    assert plan.count("regexp_replace(") == 2  # with and without "@"
