@@ -88,3 +88,16 @@ def test_gateway_admits_requests_without_texts(spark, monkeypatch):
 def test_filters_on_verdicts_repeat_no_regex(spark):
     plan = _plan(catalog.q_diff(spark, SF_SMOKE))
     assert plan.count("regexp_replace(") == 2  # with and without "@"
+
+
+def test_guarded_patterns_match_as_the_plain_alternation(spark):
+    """The first-character guard and the possessive run against the patterns without them."""
+    rnd = random.Random(3)
+    parts = ["sk-", "ſk-", "SK-", "a" * 21, "B1" * 12, "AI_KEY_", "ghp_", "x" * 36, "AKIA", "ABCDEFGHIJ123456", "Bearer ", "bearer\x1c", "t.n+/=", "password", ":", "= ", "@", "a@b.co",
+             "x.y%z@", "é@q.org", "K@b.com", ".", "-", " ", "\n", "123-45-6789", "4111 1111 1111 1111", "٣", "+49", "(555)", "867-5309", "(", "+", "_", "漢", "İ@a.bc", "1", "12"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = "(?iuU)" + "|".join(f"({R._java_form(p)})" for p, _ in R.PII_PATTERNS)
+    marked = F.lit("[" + "|".join(f"${g}" for g in range(1, 11)) + "]")
+    differ = df.filter(R._by_at(F.col("t"), lambda regex: F.regexp_replace("t", regex, marked)) != F.regexp_replace("t", F.lit(plain), marked))
+    assert differ.count() == 0 and R.PII_REGEX_NO_AT.startswith("(?iuU)(?=")
