@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ END_ID = 0
 GROUP_TOKENS = 1 << 24
 ROUNDS = 3
 # Units whose ids a Python worker remembers; a full memory is cleared before the next batch.
-REMEMBERED = 1_000_000
-BATCH_CHARS = PART_CHARS = 1_500_000
+REMEMBERED = 250_000
+# Texts are encoded together up to this many bytes: a worker's arrays are about 100 times as large.
+BATCH_BYTES = PART_CHARS = 1 << 18
 # Bytes that no plain word has (tails of two-byte letters are looked at apart): controls, apostrophe, other lead bytes.
 ODD_BYTE = np.zeros(256, bool)
 ODD_BYTE[[*range(10), *range(11, 32), 39, 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = True
@@ -172,15 +174,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _batches(rows: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of up to BATCH_BYTES and one more text; only these leave the Arrow batch."""
     lo = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= BATCH_CHARS:
-            yield lo, i + 1
+    for i, size in enumerate(pc.binary_length(rows.column(1)).fill_null(0).to_numpy().tolist() + [BATCH_BYTES]):
+        n += size
+        if n >= BATCH_BYTES or i >= rows.num_rows:
+            part = rows.slice(lo, i + 1 - lo)
+            if part.num_rows:
+                yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
@@ -198,10 +201,9 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids = _WORKER[path]
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in _batches(texts):
+            for keys, texts in _batches(b):
                 out: list[list] = [[], [], [], [], [], []]
-                for key, tokens in zip(keys[lo:hi], ids.encode(texts[lo:hi])):
+                for key, tokens in zip(keys, ids.encode(texts)):
                     raw = tokens.tobytes() + end
                     for k, at in enumerate(range(0, len(raw), 4 * max_tokens)):
                         part = raw[at:at + 4 * max_tokens]

@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF_SMOKE
 from hypothesis import given, settings
@@ -106,3 +108,20 @@ def test_sequences_hold_the_ids(spark, words):
     got = b"".join(sorted(r.ids for r in P.packed_ids(docs).collect()))
     want = [np.asarray(direct(words, "some words here " * (i % 40 * 30)) + [0], "<u4") for i in range(30)]
     assert sorted(np.frombuffer(got, "<u4").tolist()) == sorted(np.concatenate(want).tolist())
+
+
+def test_a_worker_reads_a_batch_in_small_parts():
+    """Every row once and in order; what a worker holds at once is bounded, however many rows and units a batch has."""
+    texts = ["".join(f" w{i * 70 + j:07d}" for j in range(70)) for i in range(3000)] + [None, "", "x" * 9, None]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(P._batches(rows))
+    assert [k for keys, _ in parts for k in keys] == list(range(len(texts)))
+    assert [t for _, part in parts for t in part] == [t or "" for t in texts]
+    assert max(len("".join(part[:-1])) for _, part in parts) < P.BATCH_BYTES
+    assert list(P._batches(rows.slice(0, 0))) == []
+    ids = P.WordIds(P.default_tokenizer())
+    tracemalloc.start()
+    for _, part in P._batches(rows):
+        ids.encode(part)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
