@@ -279,3 +279,61 @@ def test_verdicts_do_not_depend_on_keys_or_rule_count(spark, n):
         scored = S.score_prompts(df, custom_rules=table, key_col=key)
         assert scored.columns[:2] == ["k", "prompt"]
         assert sorted(((r.prompt, r.matched_rule) for r in scored.collect()), key=str) == want
+
+
+def _rules_and_texts(seed, n):
+    import random
+    rnd = random.Random(seed)
+    alphabet = ["a", "b", "é", " ", "İ", "😀"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 4, 25, 70]))) for _ in range(120)]
+    rules = []
+    for j in range(n):
+        t = rnd.choice(texts)
+        at = rnd.randrange(0, len(t) + 1)
+        pat = t[at:at + rnd.choice([1, 2, 4, 7, 8, 14, 15, 40])] + rnd.choice(["", "", "b", "Z"])
+        rules.append((None if j == 5 else f"r{j:04d}", f"rule {j}", pat, "HIGH", True, rnd.choice([None, "2024-01-01", "2024-01-02"])))
+    # The very common ones come last, so that some texts are left to the others.
+    return texts, sorted(rules, key=lambda r: (len(r[2]) < 4, r[0] or ""))
+
+
+def test_first_rule_against_loop(monkeypatch):
+    """Patterns of 1 to 41 characters in texts of up to 70, by blocks and pairs of all sizes."""
+    import pyarrow as pa
+    from promptlens.operators import rule_search as RS
+    for seed, block, pairs in [(1, 1, 1), (2, 16, 7), (3, 1 << 16, 1 << 18)]:
+        monkeypatch.setattr(RS, "PAIRS", pairs)
+        monkeypatch.setattr(RS.FirstRule, "FIRST_PART", seed)
+        monkeypatch.setattr(RS.FirstRule, "GROWTH", seed + 1)
+        texts, rules = _rules_and_texts(seed, 60)
+        patterns = list(dict.fromkeys(r[2] for r in rules if r[2]))
+        want = [next((j for j, p in enumerate(patterns) if p in t), -1) for t in texts]
+        found = RS.FirstRule(patterns).first(*RS.strings(pa.array(["before", *texts])[1:]), block)
+        assert found.tolist() == want
+        assert len(set(want)) > 5
+
+
+@pytest.mark.parametrize("in_task,chars", [(1, 1 << 22), (25, 1 << 22), (25, 30), (25, 0), (1 << 15, 1 << 22)])
+def test_rules_beyond_those_of_a_task(spark, monkeypatch, in_task, chars):
+    """The first rule wins wherever the list that goes to every task ends; null times and ids come first."""
+    texts, rules = _rules_and_texts(4, 70)
+    rules_df = spark.createDataFrame(rules, "id string, name string, pattern string, severity string, enabled boolean, created_at string")
+    lower = dict(spark.createDataFrame([(x,) for x in {r[2] for r in rules} | set(texts)], "x string").selectExpr("x", "lower(x)").collect())
+    order = sorted((r for r in rules if r[2]), key=lambda r: (r[5] or "", r[0] or ""))
+    want = [next((r[1] for r in order if lower[r[2]] in lower[t]), None) for t in texts]
+    monkeypatch.setattr(S, "RULES_IN_TASK", in_task)
+    monkeypatch.setattr(S, "RULE_CHARS", chars)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, prompt string")
+    got = S.score_prompts(df, custom_rules=S.load_policy_rules(rules_df)).collect()
+    assert [r.matched_rule for r in sorted(got)] == want
+    assert len(set(want)) > 5
+
+
+def test_texts_stay_where_they_are(spark, capsys):
+    """Neither texts nor pairs of text and rule are shuffled where the rules fit a task."""
+    rules = spark.range(3000).selectExpr("cast(id as string) AS id", "concat('rule ', id) AS name", "conv(id, 10, 36) AS pattern",
+                                         "'HIGH' AS severity", "true AS enabled", "'2024' AS created_at")
+    df = spark.range(50).selectExpr("id", "repeat(concat(id, ' '), 50) AS prompt")
+    scored = S.score_prompts(df, custom_rules=S.load_policy_rules(rules))
+    assert scored.filter("status = 'BLOCKED'").count() == 50
+    scored.explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
