@@ -5,13 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REF = "__ref"
 # Digests of texts that a task remembers; beyond them it starts anew, and may pass a text on again.
 SEEN = 1 << 20
+# Bytes of texts that stay in their row: a reference and a join cost as much.
+SHORT = 64
+
+
+def reference(texts: list[str]) -> Column:
+    """A digest (16 bytes) of the columns ``texts`` together; nulls are not empty texts."""
+    whole = F.sha2(F.concat(*[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in texts]), 256)
+    return F.substring(F.unhex(whole), 1, 16)
+
+
+def first_in_task(ref: Column) -> Column:
+    """Whether a reference comes for the first time in its task (null: never); beyond SEEN of them, again."""
+    most = SEEN
+
+    @F.arrow_udf("boolean")
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen: set = set()
+        for refs in batches:
+            new = []
+            for r in refs.to_pylist():
+                new.append(r is not None and r not in seen)
+                seen.add(r)
+            if len(seen) > most:
+                seen.clear()
+            yield pa.array(new, pa.bool_())
+
+    return first.asNondeterministic()(ref)
 
 
 def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +59,7 @@ def by_reference(df: DataFrame, texts: list[str]) -> tuple[DataFrame, DataFrame]
     Copies are left out in the tasks that read them, so that one row per task and text is
     shuffled at most, and of these one stays. ``with_texts`` undoes it.
     """
-    ref = F.unhex(F.sha2(F.concat(*[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in texts]), 256)).alias(REF)
+    ref = reference(texts).alias(REF)
     rows = df.select(*[c for c in df.columns if c not in texts], ref)
     schema = T.StructType([T.StructField(REF, T.BinaryType())] + [df.schema[c] for c in texts])
     own = df.select(ref, *texts).mapInArrow(_first_in_task, schema)

@@ -62,6 +62,61 @@ def test_append_moves_no_payload(spark):
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 6
 
 
+def _long(c):
+    return f"{c} " * 50
+
+
+def _stored_texts(spark, path):
+    return spark.read.schema(IO.LEDGER_ON_DISK).parquet(path).filter(IO.IS_TEXT)
+
+
+def test_ledger_holds_a_long_text_once_per_task(spark):
+    """Days share a text; a day that is dropped takes no text of another, and rows of before are read as they are."""
+    path = scratch_path(spark, "test-texts")
+    texts = [(_long("same"), _long("same")), (_long("mail"), _long("[REDACTED]")), (_long("blocked"), ""), ("short", "short"), ("", "")]
+    rows = sorted(_row(f"{i:03d}", 1 + i % 7, *texts[i % len(texts)]) for i in range(140))
+    IO.ledger_append(spark.createDataFrame(rows[:70], LEDGER).coalesce(1), path)
+    IO.ledger_append(spark.createDataFrame(rows[70:], LEDGER).repartition(2), path)
+    stored = _stored_texts(spark, path)
+    assert 6 <= stored.count() <= 9 and stored.select(IO.STORED_REF).distinct().count() == 3
+    old = [_row("zzz", 2, _long("old"), _long("old"))]
+    unchanged = F.col("sanitized_payload") == F.col("full_payload")
+    IO.with_partition(spark.createDataFrame(old, LEDGER).withColumn(IO.UNCHANGED, unchanged).withColumn("sanitized_payload", F.lit(None).cast("string"))) \
+        .write.mode("append").partitionBy("event_date").parquet(path)
+    back = lambda: sorted(tuple(r) for r in IO.ledger_scan(spark, path).select(*LEDGER_COLUMNS).collect())
+    assert back() == rows + old
+    assert [r[0].day for r in IO.expired_partitions(spark, path, 86400.0 * 3.5, 0).orderBy("event_date").collect()] == [1, 2, 3]
+    H._remove(spark, f"{path}/event_date=2024-01-01")
+    assert back() == [r for r in rows if not r[1].startswith("2024-01-01")] + old
+    IO.ledger_reset(spark, path)
+    assert _stored_texts(spark, path).count() == 0
+
+
+def test_undated_rows_lie_beside_the_texts(spark):
+    path = scratch_path(spark, "test-undated")
+    rows = [("a", None, 5.0, _long("x")), (None, None, None, _long("x")), (None, None, None, "short"), ("b", "2024-01-01 00:00:00", 9e9, None)]
+    led = spark.createDataFrame([(i, t, u, p, p) for i, t, u, p in rows], "id string, timestamp string, unix_ts double, full_payload string, sanitized_payload string")
+    led = led.select(*[F.col(c) if c in led.columns else F.lit(None).cast(LEDGER[c].dataType).alias(c) for c in LEDGER_COLUMNS])
+    IO.ledger_append(led.coalesce(1), path)
+    assert IO.ledger_scan(spark, path).count() == 4 and _stored_texts(spark, path).count() == 1
+    assert sorted(map(str, IO.ledger_scan(spark, path).select(*LEDGER_COLUMNS).collect())) == sorted(map(str, led.collect()))
+    assert IO.expired_partitions(spark, path, 1e12, 0).count() == 1  # the dated one
+
+
+def test_an_append_leaves_no_shuffle_files(spark):
+    from promptlens.session import FREES_SHUFFLES
+    path = scratch_path(spark, "test-freed")
+    before, seen = spark.conf.get(FREES_SHUFFLES), []
+    led = spark.createDataFrame([_row("a", 1, "p", "p")], LEDGER)
+    real = IO.settings
+    try:
+        IO.settings = lambda s, conf: seen.append(conf) or real(s, conf)
+        IO.ledger_append(led, path)
+    finally:
+        IO.settings = real
+    assert seen[0][FREES_SHUFFLES] == "true" and spark.conf.get(FREES_SHUFFLES) == before
+
+
 def test_dedup_stream_is_given_arrivals_without_texts(spark, monkeypatch):
     given, real = [], H.dedup_stream
     monkeypatch.setattr(H, "dedup_stream", lambda s: given.append(s.columns) or real(s))
