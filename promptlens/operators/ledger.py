@@ -8,19 +8,24 @@ no global sort). Ties in every ordering are broken by ``id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
 from promptlens.functions.text import VIEW_CHARS, VIEW_SUFFIX, literal_search, sqlite_like_search
 from promptlens.operators.bits import bit_filter, maybe_in
-from promptlens.operators.references import by_reference, with_texts
+from promptlens.operators.references import IS_TEXT, stored_apart, texts_apart, with_texts
 from promptlens.schemas import LEDGER_COLUMNS, LEDGER_PARTITION, PAYLOAD_COLUMNS
+from promptlens.session import FREES_SHUFFLES, remove_path, scratch_path, settings
 
 # Bounds of the events listing (reference: 1..500, default 50).
 MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 1, 500, 50
 # Retention's cut-off: cells of a histogram, and the rows up to which the last cell is ordered.
 CUT_CELLS, CUT_ROWS = 1024, 10_000
+# A row's digest, and the rows that are ranked at once.
+DIGEST, RANKED = "__digest", 1 << 23
 
 
 def _no_filter(status: str | None) -> bool:
@@ -92,27 +97,63 @@ def ledger_view(ledger: DataFrame) -> DataFrame:
 def ledger_dedup(ledger: DataFrame) -> DataFrame:
     """First write wins per id (``id`` is the primary key); equal times go by the row's digest.
 
-    Most ids come once, and their rows never move: the repeated ids, found by counting ids
-    alone, make a bit filter of bounded size, and only rows that may be among them are
-    ranked, by ``first_writes``.
+    Ids are counted alone. Where most ids come once, the rows that may be others, found by a
+    bit filter of bounded size, are ranked by ``first_writes``, and the rest never move. Else
+    every row is: the two ways are a choice of plan, not of result.
+    """
+    spark, columns = ledger.sparkSession, ledger.columns
+    counts = ledger.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
+    with settings(spark, {FREES_SHUFFLES: "true"}):
+        n, repeated = counts.agg(F.sum("__n"), F.sum(F.when(F.col("__n") > 1, F.col("__n")))).first()
+    if not repeated:
+        return ledger
+    if 2 * repeated > n:
+        return with_texts(*first_writes(ledger)).select(*columns)
+    keys = counts.filter(F.col("__n") > 1).select(F.coalesce("id", F.lit("")).alias("__id"))
+    marked = maybe_in(ledger.withColumn("__id", F.coalesce("id", F.lit(""))), "__id", bit_filter(keys, "__id"), "__maybe").drop("__id")
+    ranked = with_texts(*first_writes(marked.filter("__maybe").select(*columns)))
+    return marked.filter("not __maybe").select(*columns).unionByName(ranked.select(*columns))
+
+
+def row_digest(ledger: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in ledger.columns if c != "id"]).alias(DIGEST)
+
+
+def first_of_ids(rows: DataFrame) -> DataFrame:
+    """The first row per id by (time, digest). Each task keeps one row per id before anything is shuffled."""
+    first = Window.partitionBy("id").orderBy("unix_ts", DIGEST)
+    return rows.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1).drop("__rank", DIGEST)
+
+
+def in_parts(rows: DataFrame, decide: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], path: str) -> DataFrame:
+    """Writes what ``decide`` makes of each part of the ids to ``path``, and reads it.
+
+    A part holds about RANKED of ``rows`` (stored ones) and takes its own ids of every table that ``decide``
+    hands to the function it is given. A part's shuffle files are gone before the next one begins, so
+    that their disk is bounded, for one more reading of short columns per part.
     """
-    repeated = ledger.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(F.coalesce("id", F.lit("")).alias("__id"))
-    marked = maybe_in(ledger.withColumn("__id", F.coalesce("id", F.lit(""))), "__id", bit_filter(repeated, "__id"), "__maybe").drop("__id")
-    ranked = with_texts(*first_writes(marked.filter("__maybe").select(*ledger.columns)))
-    return marked.filter("not __maybe").select(*ledger.columns).unionByName(ranked.select(*ledger.columns))
+    spark, parts = rows.sparkSession, rows.count() // RANKED + 1
+    place = F.pmod(F.xxhash64(F.lit(parts), F.coalesce("id", F.lit(""))), F.lit(parts))
+    for k in range(parts):
+        made = decide(lambda df: df.filter(place == k))
+        with settings(spark, {FREES_SHUFFLES: "true"}):
+            made.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def first_writes(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first row per id, with references to its payload texts, and these (see ``by_reference``).
 
-    The rank sorts (id, time, digest) of rows without payloads, and each task keeps one row
-    per id before anything is shuffled, so a hot id costs one short row per task. A payload
-    is moved once, however many rows bear it.
+    Rows and texts are stored apart in one pass. The rank sorts (id, time, digest) of rows without
+    payloads, part by part, so a hot id costs one short row per task and part. A payload is
+    moved once, however many rows bear it.
     """
-    digest = F.xxhash64(*[F.col(c) for c in ledger.columns if c != "id"])
-    rows, texts = by_reference(ledger.withColumn("__digest", digest), [c for c in PAYLOAD_COLUMNS if c in ledger.columns])
-    first = Window.partitionBy("id").orderBy("unix_ts", "__digest")
-    return rows.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1).drop("__rank", "__digest"), texts
+    spark, texts = ledger.sparkSession, [c for c in PAYLOAD_COLUMNS if c in ledger.columns]
+    path = scratch_path(spark, "first-writes")
+    rows = stored_apart(ledger.withColumn(DIGEST, row_digest(ledger)), texts, f"{path}/apart")
+    first = in_parts(rows, lambda part: first_of_ids(part(rows)), f"{path}/first")
+    remove_path(spark, f"{path}/apart/{IS_TEXT}=false")
+    return first, texts_apart(spark, texts, f"{path}/apart")
 
 
 def _newest_first(ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from promptlens.functions import rules as R
@@ -11,7 +12,7 @@ from promptlens.operators import references as P
 from promptlens.plans import catalog
 from promptlens.plans import testdata as TD
 from promptlens.schemas import LEDGER, LEDGER_COLUMNS, PAYLOAD_COLUMNS
-from promptlens.session import scratch_path
+from promptlens.session import FREES_SHUFFLES, remove_path, scratch_path
 from promptlens.sources import ledger_io as IO
 from promptlens.streaming import streams as H
 from tests.paths import SF_SMOKE
@@ -86,7 +87,7 @@ def test_ledger_holds_a_long_text_once_per_task(spark):
     back = lambda: sorted(tuple(r) for r in IO.ledger_scan(spark, path).select(*LEDGER_COLUMNS).collect())
     assert back() == rows + old
     assert [r[0].day for r in IO.expired_partitions(spark, path, 86400.0 * 3.5, 0).orderBy("event_date").collect()] == [1, 2, 3]
-    H._remove(spark, f"{path}/event_date=2024-01-01")
+    remove_path(spark, f"{path}/event_date=2024-01-01")
     assert back() == [r for r in rows if not r[1].startswith("2024-01-01")] + old
     IO.ledger_reset(spark, path)
     assert _stored_texts(spark, path).count() == 0
@@ -104,7 +105,6 @@ def test_undated_rows_lie_beside_the_texts(spark):
 
 
 def test_an_append_leaves_no_shuffle_files(spark):
-    from promptlens.session import FREES_SHUFFLES
     path = scratch_path(spark, "test-freed")
     before, seen = spark.conf.get(FREES_SHUFFLES), []
     led = spark.createDataFrame([_row("a", 1, "p", "p")], LEDGER)
@@ -117,6 +117,52 @@ def test_an_append_leaves_no_shuffle_files(spark):
     assert seen[0][FREES_SHUFFLES] == "true" and spark.conf.get(FREES_SHUFFLES) == before
 
 
+def _by_model(rows):
+    """The first row per id by time, null times first, as the tuples of ``rows`` (no ties)."""
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0)):
+        first.setdefault(r[0], r)
+    return sorted(map(str, first.values()))
+
+
+def test_dedup_ranks_in_parts_and_moves_a_text_once(spark, monkeypatch):
+    """Mostly repeated ids, more rows than are ranked at once, one text in every task, and a task's memory that is too small."""
+    monkeypatch.setattr(L, "RANKED", 40)
+    monkeypatch.setattr(P, "SEEN", 2)
+    rnd = random.Random(7)
+    rows = [(rnd.choice([None, "", "hot", f"id{rnd.randrange(60)}"]), f"t{i}", rnd.choice([None, 1.0]) if i == 0 else float(i), _long(f"p{i % 9}") if i % 2 else "", None if i % 3 else "s") for i in range(300)]
+    led = spark.createDataFrame(rows, "id string, timestamp string, unix_ts double, full_payload string, sanitized_payload string").repartition(6)
+    sizes, real = [], L.first_of_ids
+    monkeypatch.setattr(L, "first_of_ids", lambda df: sizes.append(df.count()) or real(df))
+    assert sorted(str(tuple(r)) for r in L.ledger_dedup(led).collect()) == _by_model(rows)
+    assert len(sizes) == 8 and sum(sizes) == 300
+    path = scratch_path(spark, "test-apart")
+    P.stored_apart(led, ["full_payload", "sanitized_payload"], path)
+    records = spark.read.parquet(path).filter(f"{P.IS_TEXT} = 'true'")
+    moved, _ = P.of_one_task(records, P.REF, records.select(P.REF))
+    assert moved.select(P.REF).distinct().count() == len({r[3:] for r in rows}) and moved.select(P.REF, P.TASK).distinct().count() < records.count() / 2
+
+
+@pytest.mark.parametrize("repeated", [0, 5, 40])
+def test_dedup_plans_agree(spark, repeated):
+    """No id, a few and most ids repeated: where few are, the others are neither stored nor joined to texts."""
+    rows = [(f"{i}", "t", float(i), _long(i % 3), None) for i in range(50)] + [(f"{i}", "late", 100.0 + i, "late", None) for i in range(repeated)]
+    led = spark.createDataFrame(rows, "id string, timestamp string, unix_ts double, full_payload string, sanitized_payload string").repartition(4)
+    got = L.ledger_dedup(led)
+    assert sorted(str(tuple(r)) for r in got.collect()) == _by_model(rows)
+    plan = _plan(got)
+    assert ("Join" in plan) == (repeated > 0) and ("Union" in plan) == (repeated == 5)
+
+
+def test_dedup_frees_its_shuffle_files(spark, monkeypatch):
+    """Ids are counted, rows stored and ranked in jobs whose shuffle files go with them."""
+    held, real = [], L.settings
+    for module in (L, P):
+        monkeypatch.setattr(module, "settings", lambda s, conf: held.append(conf[FREES_SHUFFLES]) or real(s, conf))
+    L.ledger_dedup(spark.createDataFrame([("a", "t", 1.0, "x")] * 3, "id string, timestamp string, unix_ts double, full_payload string"))
+    assert held == ["true"] * 3
+
+
 def test_dedup_stream_is_given_arrivals_without_texts(spark, monkeypatch):
     given, real = [], H.dedup_stream
     monkeypatch.setattr(H, "dedup_stream", lambda s: given.append(s.columns) or real(s))
