@@ -163,6 +163,24 @@ def test_dedup_frees_its_shuffle_files(spark, monkeypatch):
     assert held == ["true"] * 3
 
 
+def test_dedup_writer_stores_only_texts_that_the_ledger_lacks(spark, monkeypatch):
+    """Parts of a batch, a text that other days hold, a rejected row's text, a replay, and nothing left behind."""
+    monkeypatch.setattr(L, "RANKED", 5)
+    path = scratch_path(spark, "test-writer")
+    row = lambda i, day, text, t=0.0: _row(i, day, _long(text), _long(text), t)
+    IO.ledger_append(spark.createDataFrame([row("a", 1, "known"), row("b", 2, "known")], LEDGER).coalesce(1), path)
+    batch = [row("a", 1, "rejected"), row("c", 2, "known"), row("d", 3, "new"), row("d", 3, "late", 9.0), row("e", 2, "new"), _row("f", 1, "short", "short")] + [row(f"g{i}", 2, "new") for i in range(9)]
+    want = sorted([row("a", 1, "known"), row("b", 2, "known"), batch[1], batch[2], batch[4], batch[5], *batch[6:]])
+    made, real = [], H.scratch_path
+    monkeypatch.setattr(H, "scratch_path", lambda s, n: made.append(real(s, n)) or made[-1])
+    write = H.dedup_batch_writer(spark, path)
+    for k, rows in enumerate((batch + batch, batch)):
+        write(spark.createDataFrame(rows, LEDGER).repartition(4), k)
+        assert sorted(tuple(r) for r in IO.ledger_scan(spark, path).select(*LEDGER_COLUMNS).collect()) == want
+        assert sorted(r[0][0].split()[0] for r in _stored_texts(spark, path).select(IO.TEXTS).collect()) == ["known", "new"]
+    assert len(made) == 2 and not [p for p in made if H._exists(spark, p)]
+
+
 def test_dedup_stream_is_given_arrivals_without_texts(spark, monkeypatch):
     given, real = [], H.dedup_stream
     monkeypatch.setattr(H, "dedup_stream", lambda s: given.append(s.columns) or real(s))
